@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: One word: a run of anything but ASCII white space. bytes.split() cuts at exactly these characters.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +58,12 @@ def utf8(column) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python stages get their rows in batches of few bytes, so that workers stay small however long texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def bare(df: DataFrame, **columns: str) -> DataFrame:
     """Only the columns named, under the names given: extra columns and clashing names stay behind."""
+    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bare, utf8
+from .common import bare, small_batches, utf8
 
 #: Measurements of a text, all counts.
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -140,6 +140,7 @@ def keep(docs: DataFrame, version: int = CURRENT, text: str = "text") -> DataFra
             seen = (dict(zip(MEASURES, measure(t))) for t in utf8(batch.column(place)))
             yield batch.filter(pa.array([not any(eval(code, {}, m) for _, code in rules) for m in seen], pa.bool_()))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(kept, docs.schema)
 
 

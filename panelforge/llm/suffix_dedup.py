@@ -27,15 +27,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, utf8, width
+from .common import bare, staged, utf8, width
 
 WINDOW = 100
 GRAM = 36
 REACH = WINDOW - GRAM
 SHALLOW_RIGHT, SHALLOW_LEFT = 48, 16
 HOT = 20_000
-CHUNK = 24_000_000  #: bytes of text whose anchors are reduced together
-SLAB = 1 << 20  #: bytes hashed at a time
+CHUNK = 8_000_000  #: bytes of text whose anchors are reduced together
+SLAB = 1 << 18  #: bytes hashed at a time
 NO_ID = -(1 << 63)  #: stands for a null id: before all others
 
 REC = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("tie", "<u4"), ("pos", "<i4")])
@@ -470,7 +470,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_
     in the order of a hash of their texts. An empty table gives no rows. Other columns are not read.
     """
     spark, parts = docs.sparkSession, width(docs.sparkSession)
-    source = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    source = bare(docs, doc_id=key, text=text).select(F.col("doc_id").cast("long"), "text")
     blobs = "kind tinyint, slot int, body binary"
     buckets = 8 * parts
 
