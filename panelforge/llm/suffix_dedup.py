@@ -477,12 +477,12 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_
     def bucket(c: str):
         return F.pmod(F.xxhash64(F.coalesce(c, F.lit(NO_ID))), F.lit(buckets)).cast("int").alias("bucket")
 
-    dealt = source.mapInArrow(_sampled(parts), blobs).repartition(parts, "slot")
+    dealt = source.mapInArrow(_sampled(parts), blobs).repartitionById(parts, "slot")
     marks = staged(dealt.mapInArrow(_grouped, MARKS), "dedup-marks")
     texts = source.select(bucket("doc_id"), "doc_id", "text").groupBy("bucket")
     wanted = marks.filter("a is not null").select(bucket("doc"), "*").groupBy("bucket")
     fetched = texts.cogroup(wanted).applyInArrow(_fetched(parts), blobs)
-    borders = fetched.repartition(parts, "kind", "slot").mapInArrow(_resolved, MARKS)
+    borders = fetched.repartitionById(parts, "slot").mapInArrow(_resolved, MARKS)
     spans = marks.filter("a is null").union(borders).select(bucket("doc"), "*").groupBy("bucket")
     if with_text:
         return texts.cogroup(spans).applyInArrow(_cut, DIGEST + ", kept binary")
