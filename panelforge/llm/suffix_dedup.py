@@ -94,7 +94,8 @@ def anchors(texts: list[bytes], hasher: _Hasher) -> tuple[np.ndarray, ...]:
     text = np.searchsorted(ends, chosen, "right")
     low, high = np.maximum(chosen - REACH, starts[text]), np.minimum(chosen + WINDOW, ends[text])
     context = hasher.of(sums, low, high) ^ _mixed(((chosen - low) * 256 + (high - chosen)).astype(_U))
-    return grams[chosen], context, text, chosen - starts[text]
+    # least hashes are small numbers: mixed again, they spread over all ranges
+    return _mixed(grams[chosen]), context, text, chosen - starts[text]
 
 
 def _slabs(texts: list[bytes]) -> Iterator[tuple[list[bytes], list[int], list[int]]]:
