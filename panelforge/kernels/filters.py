@@ -168,14 +168,20 @@ def _mode(obs: _Observation, f_pred, h_pred, w_f, w_h):
 def run_filter(b: Batch, y: np.ndarray, kind: str = BIF, predict_first: bool = True, init_factor_var: float | None = None) -> Filtered:
     """Filters R runs, y (R, T, N). BIF carries information, BF covariances; both use the same update. The first update
     sees a predicted state, or the initial one without predict_first. init_factor_var: 1 for BIF, 1e6 for BF, unless given."""
-    r, t_all, _ = y.shape
-    k = b.mu.shape[-1]
+    r, k = len(y), b.mu.shape[-1]
     if kind not in (BIF, BF):
         raise ValueError(f"no such filter: {kind}")
-    f, h = np.zeros((r, k)), b.mu.copy()
     var = init_factor_var if init_factor_var is not None else (1.0 if kind == BIF else 1e6)
     p_f, p_h = np.broadcast_to(_eye(k, var), (r, k, k)), lyapunov(b.phi_h, b.q_h)
     w_f, w_h = np.linalg.inv(p_f + _eye(k, 1e-6)), np.linalg.inv(p_h + _eye(k, 1e-6))
+    return run_filter_from(b, y, np.zeros((r, k)), b.mu.copy(), w_f, w_h, kind, predict_first)
+
+
+def run_filter_from(b: Batch, y: np.ndarray, f: np.ndarray, h: np.ndarray, w_f: np.ndarray, w_h: np.ndarray, kind: str = BIF, predict_first: bool = True) -> Filtered:
+    """The recursion from a given state (f, h) with information blocks w_f and w_h."""
+    r, t_all, _ = y.shape
+    k = b.mu.shape[-1]
+    p_f, p_h = np.linalg.inv(w_f), np.linalg.inv(w_h)
     obs = _Observation(b)
     alpha, ll = np.empty((r, t_all, 2 * k)), np.empty((r, t_all))
     cov_f, cov_h, clamped = np.empty((r, t_all, k, k)), np.empty((r, t_all, k, k)), np.zeros(r, bool)
