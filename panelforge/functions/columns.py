@@ -128,19 +128,19 @@ def portfolio_deciles(name: Col) -> tuple[Column, Column]:
 
 
 def shown(x: Col, digits: int = 4, missing: str = "N/A") -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", _c(x).cast("double")), F.lit(missing))
+    return F.when(_c(x).isNotNull(), F.format_string(f"%.{digits}f", _c(x).cast("double"))).otherwise(missing)
 
 
 def shown_adaptive(x: Col) -> Column:
     """Three decimals from 0.01 on, scientific below; N/A for missing."""
     v = _c(x).cast("double")
-    return F.coalesce(F.when((F.abs(v) >= 0.01) | (v == 0), F.format_string("%.3f", v)).otherwise(F.format_string("%.2e", v)), F.lit("N/A"))
+    return F.when(v.isNull(), "N/A").when((F.abs(v) >= 0.01) | (v == 0), F.format_string("%.3f", v)).otherwise(F.format_string("%.2e", v))
 
 
 def shown_units(millions: Col) -> Column:
     """Millions as '1.50B' from a thousand on, else '12.00M'."""
     v = _c(millions).cast("double")
-    return F.coalesce(F.when(v >= 1000, F.format_string("%.2fB", v / 1000)).otherwise(F.format_string("%.2fM", v)), F.lit("N/A"))
+    return F.when(v.isNull(), "N/A").when(v >= 1000, F.format_string("%.2fB", v / 1000)).otherwise(F.format_string("%.2fM", v))
 
 
 def seed_of(*parts: Col) -> Column:

@@ -40,7 +40,7 @@ class Params:
             raise KeyError(f"missing parameters: {', '.join(missing)}")
         lam = np.atleast_2d(np.asarray(values["lambda_r"], float))
         N, K = values.get("N", N), values.get("K", K)
-        N, K = N if N is not None else lam.shape[0], K if K is not None else lam.shape[1]
+        N, K = int(N if N is not None else lam.shape[0]), int(K if K is not None else lam.shape[1])
         if lam.shape != (N, K):
             raise ValueError(f"lambda_r has shape {lam.shape}, wanted {(N, K)}")
 
@@ -65,6 +65,12 @@ class Params:
         return Params(N, K, lam, square("Phi_f"), square("Phi_h"), vector("mu", K), vector("sigma2", N), square("Q_h"))
 
 
+def _lists(v):
+    """Nested arrays and rows as lists."""
+    v = v.tolist() if hasattr(v, "tolist") else v
+    return [_lists(x) for x in v] if isinstance(v, (list, tuple)) else v
+
+
 def as_params(values) -> Params:
     """A Params, a dictionary or a Spark row as checked Params; TypeError for anything else."""
     if isinstance(values, Params):
@@ -72,7 +78,7 @@ def as_params(values) -> Params:
     if hasattr(values, "asDict"):
         values = values.asDict()
     if isinstance(values, dict):
-        return Params.from_dict({k: [list(r) for r in v] if k in ("lambda_r", "Phi_f", "Phi_h", "Q_h") and np.ndim(v) != 0 and len(np.shape(v[0] if len(v) else v)) else v for k, v in values.items()})
+        return Params.from_dict({k: _lists(v) for k, v in values.items()})
     raise TypeError(f"parameters can't be made of {type(values).__name__}")
 
 
