@@ -27,7 +27,7 @@ PATTERNS = {
 }
 #: Texts without this have no match.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-CUE = r"""(?<![\p{L}\p{N}_.-])([\p{L}_.-]{2,32}+)[:=]\x20?+["']?+([^\s"',;<>()]{3,64}+)"""
+CUE = r"""(?<![\p{L}\p{N}_.-])([\p{L}_.-]{2,32}+)[:=]\x20?+["']?+([^\s"',;<>()]{1,64}+)"""
 ROUNDS = 4
 MIN_SEEDS = 5  #: different seed values that a pattern must announce
 CONFIDENCE = 0.8  #: of a pattern, to yield values
@@ -105,6 +105,14 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     shared folder, as later steps read it often."""
     rows = bare(docs, doc_id=key, text=text).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     out = rows.select("doc_id", F.xxhash64("text").alias("h"), *[base_spans(F.col("text"), k).alias(k) for k in KINDS], announced(F.col("text")).alias("announced"))
+    every = F.concat(*KINDS)
+
+    def whole(x: Column) -> Column:
+        """The announced value; of a seed all of it, white space included."""
+        seed = F.get(F.filter(every, lambda s: (s["start"] >= x["start"] - 1) & (s["start"] < x["end"])), F.lit(0))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.coalesce(seed["value"], x["value"]).alias("value"), x["cue"].alias("cue"))
+
+    out = out.withColumn("announced", F.transform("announced", whole))
     plain = [F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k in KINDS]
     return staged(out.select("doc_id", "h", *plain, "announced"), "pii")
 
@@ -140,7 +148,7 @@ def bootstrap(rows: DataFrame) -> DataFrame:
         values = staged(graph.join(cues, ["cue", "of"]).groupBy("value", "of").agg(F.greatest(F.max("seed"), F.max(F.when(F.col("good") >= CONFIDENCE, F.col("good")).otherwise(0.0))).alias("score")), "pii-values")
     sure = graph.join(values, ["value", "of"]).groupBy("cue", "of").agg(F.avg("score").alias("good")).filter(F.col("good") >= CONFIDENCE)
     best = sure.groupBy("cue").agg(F.max_by("of", F.struct("good", "of")).alias("of"))
-    fresh = seen.filter(~F.col("touched") & F.col("value").rlike("[0-9@]"))
+    fresh = seen.filter(~F.col("touched") & F.col("value").rlike("[0-9@]") & (F.length("value") >= 3))
     return fresh.join(best, "cue").select("doc_id", "h", F.col("of").alias("kind"), "start", "end").distinct()
 
 
