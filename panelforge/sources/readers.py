@@ -16,7 +16,7 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, date: st
     """CSV with a header. Without a schema every column is a string, so that no pass is spent on guessing."""
     reader = spark.read.option("header", True)
     df = (reader.schema(schema) if schema else reader).csv(path)
-    return df.withColumn(date, F.try_to_date(F.col(date).cast("string"), F.lit(date_format))) if date else df
+    return df.withColumn(date, F.try_to_date(F.col(date).cast("string"), date_format)) if date else df
 
 
 def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -31,7 +31,7 @@ def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, text) of one file, from 1. Read as one record, as a file's lines have no number otherwise."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
 
 
@@ -64,7 +64,7 @@ def read_block(spark: SparkSession, path: str, header_line: int, before_line: in
     names = [n.strip() for n in header.split(",")][1:]
     body = lines.filter((F.col("line") > header_line) & (F.col("line") < (before_line or 2**31 - 1)))
     cells = body.select(F.transform(F.split("text", ","), F.trim).alias("c")).filter(F.get("c", F.lit(0)).rlike(r"^\d+$"))
-    date = F.try_to_date(F.get("c", F.lit(0)), F.lit(date_format))
+    date = F.try_to_date(F.get("c", F.lit(0)), date_format)
     values = [F.when(F.get("c", F.lit(i + 1)).isin(*nulls), F.lit(None)).otherwise(F.get("c", F.lit(i + 1)).try_cast("double")).alias(n) for i, n in enumerate(names)]
     out = cells.select(date.alias("Date"), *values).filter("Date is not null")
     present = sum((F.col(f"`{n}`").isNotNull().cast("int") for n in names), F.lit(0))
@@ -108,4 +108,4 @@ def read_arrays(spark: SparkSession, path: str, glob: str = "*.np[yz]") -> DataF
 def read_dates(spark: SparkSession, path: str, date_format: str = "yyyy-MM-dd") -> DataFrame:
     """(t, date) of a text file with one date a line."""
     lines = numbered_lines(spark, path).filter(F.trim("text") != "")
-    return lines.select((F.col("line") - 1).alias("t"), F.try_to_date(F.trim("text"), F.lit(date_format)).alias("date"))
+    return lines.select((F.col("line") - 1).alias("t"), F.try_to_date(F.trim("text"), date_format).alias("date"))
