@@ -2,7 +2,7 @@
 
 Two zstandard dictionaries are built, from well and from badly labelled text. A document is compressed with either one in
 blocks of BLOCK bytes, all of it; the difference of the sizes, per byte, says which kind it resembles. Logistic regression
-on held-in rows turns that difference, with the ratio of the better size and the length, into a probability.
+on held-in rows turns that difference, with the better size and the length, into a probability.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from .common import bare, utf8
 SAMPLE = 3000  #: labelled rows of either kind that are read to learn from, at most
 SAMPLE_BYTES = 20_000  #: of each, at most; only what is learned from is cut, never what is scored
 DICTIONARY = 64 * 1024
-BLOCK = 2048
+BLOCK = 1024
 LEVEL = 3
 THRESHOLD = 0.7
 SEED = 7
@@ -53,7 +53,8 @@ def _compressors(good: bytes, bad: bytes):
 
 
 def features(text: bytes | None, pair) -> tuple[float, ...]:
-    """Normalised size difference, size per byte with the better dictionary, and log length, of a whole text."""
+    """Of a whole text: the normalised size difference, the size per byte with the better dictionary, the log length, and
+    their products."""
     text = text or b""
     good = bad = 0
     for i in range(0, len(text), BLOCK):
@@ -61,8 +62,11 @@ def features(text: bytes | None, pair) -> tuple[float, ...]:
         good += len(pair[0].compress(part))
         bad += len(pair[1].compress(part))
     n = len(text)
-    difference = (bad - good) / max(good, bad, 1)
-    return difference, min(good, bad) / max(n, 1), min(good, bad) * difference / max(n, 1), math.log1p(n)
+    difference, size, length = (bad - good) / max(good, bad, 1), min(good, bad) / max(n, 1), math.log1p(n)
+    return difference, size, length, difference * size, difference * length, size * length, difference**2, size**2, length**2
+
+
+N_FEATURES = 9
 
 
 def _build(samples: list[bytes]) -> bytes:
@@ -99,7 +103,7 @@ def fit(rows: list[tuple[bytes | None, int]]) -> Model:
     y = np.array([q for _, q in half[1]], float)
     if len(set(y.tolist())) < 2:
         share = min(max(float(np.mean([q for _, q in rows])) if rows else 0.5, 1e-3), 1 - 1e-3)
-        return Model(good, bad, (0.0,) * 4, (1.0,) * 4, (0.0,) * 4 + (math.log(share / (1 - share)),))
+        return Model(good, bad, (0.0,) * N_FEATURES, (1.0,) * N_FEATURES, (0.0,) * N_FEATURES + (math.log(share / (1 - share)),))
     pair = _compressors(good, bad)
     x = np.array([features(t, pair) for t, _ in half[1]])
     mean, scale = x.mean(0), x.std(0) + 1e-9
