@@ -142,7 +142,7 @@ def test_ablation(docs):
     all_ = ledger.collect()
     kept = lambda mask: sum(not r["failed"] & mask for r in all_)
     mask = quality_rules.POLICIES[2]
-    for r in quality_rules.ablation(ledger).collect():
+    for r in quality_rules.ablation(ledger, 2).collect():
         bit = next(1 << x.bit for x in quality_rules.RULES if x.name == r["rule"])
         assert r["kept_without"] == kept(mask & ~bit) and r["fails"] == sum(bool(x["failed"] & bit) for x in all_)
 
