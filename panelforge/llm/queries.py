@@ -60,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_rule_ledger": quality_rules.SQL, "op9_redirect_url_rules": url_rules.SQL}
+    return {"op2_rule_ledger": quality_rules.SQL, "op3_suffix_array_dedup": suffix_dedup.SQL, "op5_contextual_pii": pii.SQL, "op9_redirect_url_rules": url_rules.SQL}

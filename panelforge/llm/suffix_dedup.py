@@ -488,3 +488,20 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_
     if with_text:
         return texts.cogroup(spans).applyInArrow(_cut, DIGEST + ", kept binary")
     return texts.cogroup(spans).applyInArrow(_digest, DIGEST)
+
+
+#: The digest in DuckDB, window by window: for small tables.
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(n - 99)) AS p FROM d WHERE n >= 100)),
+r AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1),
+j AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 1 ELSE 0 END AS new FROM r),
+g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM j),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM g GROUP BY doc_id, g),
+t AS (SELECT doc_id, count(*)::BIGINT AS n_spans, sum(b - a)::BIGINT AS n_removed FROM s GROUP BY doc_id),
+e AS (SELECT doc_id, a AS upto, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM s
+      UNION ALL SELECT doc_id, d.n, coalesce(max(b), 0) FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id, d.n),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * since + 1, 2 * (upto - since)), '' ORDER BY since, upto) AS kept FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, lower(sha256(unhex(kept))) AS kept_sha256
+FROM d JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
