@@ -15,7 +15,8 @@ after.
 4. Spans are cut out of the texts.
 
 Groups of copies are reduced to their first context where they are read, before any shuffle. An anchor with more than HOT
-different contexts (a passage in very many documents) isn't sorted in one task: its windows are dealt by their own hash.
+different contexts (a passage in very many documents), or more than HOT_HERE in one chunk, isn't sorted in one task: its
+windows are dealt by their own hash, and a chunk sends its anchor's task one row in place of all contexts.
 Texts cross the network once; the exchange is used for both joins.
 """
 
@@ -33,7 +34,8 @@ WINDOW = 100
 GRAM = 36
 REACH = WINDOW - GRAM
 SHALLOW_RIGHT, SHALLOW_LEFT = 48, 16
-HOT = 20_000
+HOT = 150_000  #: different contexts of one anchor that a task sorts, about 50 MB
+HOT_HERE = 400  #: different contexts of one anchor in one chunk, beyond which the chunk sends word of them only
 CHUNK = 8_000_000  #: bytes of text whose anchors are reduced together
 SLAB = 1 << 18  #: bytes hashed at a time
 NO_ID = -(1 << 63)  #: stands for a null id: before all others
@@ -154,7 +156,8 @@ def _ids(column) -> list[int]:
 
 
 def _sampled(parts: int):
-    """Documents to their anchors. kind 0: first ones by range of hash; kind 1: spans of contexts already seen here."""
+    """Documents to their anchors. kind 0: first ones by range of hash; kind 1: spans of contexts already seen here; kind 2:
+    the contexts of anchors that are hot here, of which kind 0 has one row, at place -1."""
 
     def reduced(held: list[tuple[int, bytes]], hasher: _Hasher):
         held.sort(key=lambda x: x[0])
@@ -180,7 +183,13 @@ def _sampled(parts: int):
         for f, x in (("doc", later["doc"]), ("tie", later["tie"]), ("start", later["pos"] - REACH), ("end", later["pos"] + WINDOW)):
             spans[f][: len(later)] = x
         spans[len(later) :] = np.array(whole, SPAN) if whole else np.zeros(0, SPAN)
-        rows = [(0, s, body) for s, body in _dealt(heads, parts)]
+        new = np.r_[True, heads["a"][1:] != heads["a"][:-1]][: len(heads)]
+        hot = np.bincount(np.cumsum(new) - 1, minlength=1)[np.cumsum(new) - 1] > HOT_HERE
+        word = heads[hot & new].copy()
+        word["b"], word["doc"], word["tie"], word["pos"] = 0, NO_ID, 0, -1
+        sent = np.concatenate([heads[~hot], word])
+        rows = [(0, s, body) for s, body in _dealt(sent[np.argsort(sent["a"], kind="stable")], parts)]
+        rows += [(2, i % parts, heads[hot][i : i + 50_000].tobytes()) for i in range(0, int(hot.sum()), 50_000)]
         rows += [(1, i % parts, spans[i : i + 50_000].tobytes()) for i in range(0, len(spans), 50_000)]
         return _blobs(rows)
 
@@ -226,8 +235,10 @@ def _bodies(batches: Iterator, kinds: dict[int, np.dtype]) -> dict[int, np.ndarr
 
 def _grouped(batches: Iterator) -> Iterator:
     """All anchors of a range of hashes: spans of contexts seen before, and the places whose contexts are wanted (a set)."""
-    got = _bodies(batches, {0: REC, 1: SPAN})
-    spans = got[1]
+    got = _bodies(batches, {0: REC, 1: SPAN, 2: REC})
+    spans, sent = got[1], got[2]
+    if len(sent):
+        yield _marks(sent["doc"], sent["tie"], sent["pos"], sent["pos"], np.ascontiguousarray(sent["a"]), np.ones(len(sent), bool))
     if len(spans):
         yield _marks(spans["doc"], spans["tie"], spans["start"], spans["end"])
     heads, later = first_ones(got[0])
@@ -235,8 +246,11 @@ def _grouped(batches: Iterator) -> Iterator:
         yield _marks(later["doc"], later["tie"], later["pos"] - REACH, later["pos"] + WINDOW)
     new = np.ones(len(heads), bool)
     new[1:] = heads["a"][1:] != heads["a"][:-1]
-    size = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] if len(heads) else np.zeros(0, int)
-    want, many = heads[size > 1], size[size > 1] > HOT
+    at = np.cumsum(new) - 1
+    size = np.bincount(at, minlength=1)[at]
+    hot = (size > HOT) | (np.bincount(at, heads["pos"] < 0, minlength=1)[at] > 0)
+    taken = ((size > 1) | hot) & (heads["pos"] >= 0)
+    want, many = heads[taken], hot[taken]
     if len(want):
         yield _marks(want["doc"], want["tie"], want["pos"], want["pos"], np.ascontiguousarray(want["a"]), many)
 

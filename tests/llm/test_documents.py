@@ -201,18 +201,24 @@ def test_passages_with_many_borders(spark):
     assert compare_dedup(repetitive(spark)) > 5000
 
 
-def test_hot_anchors_take_the_other_way(spark, monkeypatch):
+@pytest.mark.parametrize("limit", ["HOT", "HOT_HERE"])
+def test_hot_anchors_take_the_other_way(spark, monkeypatch, limit):
     rows_ = repetitive(spark).collect()
     want = plain_dedup([(r["doc_id"], r["text"]) for r in rows_])
-    monkeypatch.setattr(suffix_dedup, "HOT", 1)
+    monkeypatch.setattr(suffix_dedup, limit, 2 if limit == "HOT" else 3)
     # in this process, where the patch holds: the kernels one after another
     held = suffix_dedup._sampled(4)
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in rows_]), pa.array([r["text"] for r in rows_])], ["doc_id", "text"])
-    marks = pa.Table.from_batches(list(suffix_dedup._grouped(iter(list(held(iter([batch])))))))
+    def of(part):
+        return pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in part]), pa.array([r["text"] for r in part])], ["doc_id", "text"])
+
+    batch = of(rows_)
+    blobs = [b for part in (rows_[::2], rows_[1::2]) for b in held(iter([of(part)]))]  # two chunks
+    marks = pa.Table.from_batches(list(suffix_dedup._grouped(iter(blobs))))
     wanted = marks.filter(pa.compute.is_valid(marks["a"]))
     assert any(wanted["hot"].to_pylist())
+    assert not all(wanted["hot"].to_pylist())
     borders = list(suffix_dedup._resolved(iter(suffix_dedup._fetched(4)(pa.Table.from_batches([batch]), wanted).to_batches())))
     spans = pa.concat_tables([marks.filter(pa.compute.is_null(marks["a"])), pa.Table.from_batches(borders)])
     for r in suffix_dedup._digest(pa.Table.from_batches([batch]), spans).to_pylist():
