@@ -92,3 +92,10 @@ def objectives(params: list[Params], y: np.ndarray, kind: str = "BIF", priors: d
             value = value - np.array([log_prior(done[i], **priors) for i in good])
         out[good] = value
     return out
+
+
+def boundary_penalty(p: Params, radius: float = 0.95, least_variance: float = 0.01, weight: float = 100.0) -> float:
+    """A penalty that grows as eigenvalues near the unit circle and as variances near 0, before the gate closes."""
+    sizes = np.abs(np.r_[np.linalg.eigvals(p.Phi_f), np.linalg.eigvals(p.Phi_h)])
+    low = np.maximum(least_variance - np.r_[p.sigma2, np.diag(p.Q_h)], 0) / least_variance
+    return float(weight * (np.maximum(sizes - radius, 0) ** 2).sum() / (1 - radius) ** 2 + weight * (low**2).sum())

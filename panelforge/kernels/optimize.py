@@ -252,3 +252,27 @@ def fit(y: np.ndarray, start: Params, kind: str = "BIF", optimizer: str | None =
         got = minimize(values, flatten(base, free), name, max_steps=max_steps, rate=learning_rate, log=log)
     return Fit(kind, name, transformed, fix_mu, "none" if priors is None else "custom", got.success, got.code, got.value, got.steps, time.perf_counter() - began, got.message,
                back(unflatten(got.x, base, free)), got.losses, [back(unflatten(v, base, free)) for v in got.points])
+
+
+def minimize_with_recovery(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, name: str = "Adam", max_steps: int = 200, rate: float = 1e-2, patience: int = 20, least_rate: float = 1e-6, **options) -> Minimum:
+    """Runs of `patience` steps from the best point so far: a run that fails or doesn't improve by a thousandth halves the
+    rate, and the next begins at the best point. Values that aren't finite count as very large."""
+    def safe(points: np.ndarray) -> np.ndarray:
+        return np.nan_to_num(f(points), nan=1e10, posinf=1e10, neginf=1e10)
+
+    best = Minimum(np.asarray(x, float), float(safe(np.asarray(x, float)[None])[0]), 0, False, "max_steps_reached")
+    while best.steps < max_steps:
+        got = minimize(safe, best.x, name, max_steps=min(patience, max_steps - best.steps), rate=rate, **options)
+        best.steps += max(got.steps, 1)
+        gained = got.value < best.value - 1e-3 * max(1.0, abs(best.value))
+        if got.value < best.value:
+            best.x, best.value = got.x, got.value
+        if got.success and not gained:
+            best.success, best.code = True, "successful"
+            break
+        if not gained:
+            rate /= 2
+            if rate < least_rate:
+                best.code = "stalled"
+                break
+    return best

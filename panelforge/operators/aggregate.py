@@ -97,3 +97,17 @@ def compare(a: DataFrame, b: DataFrame, keys: Sequence[str], values: Sequence[st
     same = l_.eqNullSafe(r_) | (F.abs(l_ - r_) <= atol + rtol * F.abs(r_))
     status = F.when(F.col("__r").isNull(), "left only").when(F.col("__l").isNull(), "right only").when(~F.coalesce(same, F.lit(False)), "differs")
     return out.withColumn("status", status).filter("status is not null").drop("__l", "__r")
+
+
+def rescaled(df: DataFrame, value: str, by: float = 100.0, most: float = 10.0) -> DataFrame:
+    """value divided throughout where its mean or deviation shows that it is in other units; else as it is."""
+    one = df.agg((F.abs(F.avg(value)) > most).alias("m"), (F.stddev_samp(value) > most).alias("s"))
+    large = one.select((F.coalesce("m", F.lit(False)) | F.coalesce("s", F.lit(False))).alias("__large"))
+    return df.crossJoin(large).withColumn(value, F.when(F.col("__large"), F.col(value) / by).otherwise(F.col(value))).drop("__large")
+
+
+def paired_effect(df: DataFrame, by: Sequence[str], flag: str, value: str) -> DataFrame:
+    """(keys, with_flag, without_flag, effect_pct): means by a boolean, side by side; rows whose flag is unknown are in
+    neither."""
+    g = df.groupBy(*by).agg(F.avg(F.when(F.col(flag), F.col(value))).alias("with_flag"), F.avg(F.when(~F.col(flag), F.col(value))).alias("without_flag"))
+    return g.withColumn("effect_pct", guarded_ratio(100.0 * (F.col("with_flag") - F.col("without_flag")), F.abs("without_flag"), 1e-12, None))

@@ -291,3 +291,48 @@ def pca_df(panel: DataFrame, run: str = "run_id") -> DataFrame:
         return pd.DataFrame({"run_id": pdf[run].iloc[0], "component": range(1, len(got["ratio"]) + 1), "eigenvalue": got["eigenvalues"], "ratio": got["ratio"], "cumulative": got["cumulative"]})
 
     return panel.select(run, "t", "y").groupBy(run).applyInPandas(go, "run_id string, component int, eigenvalue double, ratio double, cumulative double")
+
+
+def complete_loglik_df(simulated: DataFrame, params: DataFrame) -> DataFrame:
+    """(run_id, observation, factors, volatility, joint): complete-data log likelihoods of runs whose states are known."""
+    key = "run_id" if "run_id" in params.columns else "param_id"
+    p = params.select(F.col(key).alias("run_id"), F.lit(0).alias("t"), F.struct(*DESIGN).alias("p"))
+    rows = simulated.select("run_id", "t", "y", "f", "h").join(p, ["run_id", "t"], "left")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, pdf = _design(pdf), pdf.sort_values("t")
+        y, f, h = (np.array(pdf[c].tolist(), float) for c in ("y", "f", "h"))
+        parts = likelihoods.observation_loglik(q, y, f).sum(), likelihoods.factor_loglik(q, f, h).sum(), likelihoods.volatility_loglik(q, h).sum()
+        return pd.DataFrame([[pdf["run_id"].iloc[0], *parts, sum(parts)]], columns=["run_id", "observation", "factors", "volatility", "joint"])
+
+    return rows.groupBy("run_id").applyInPandas(run, "run_id string, observation double, factors double, volatility double, joint double")
+
+
+def fit_quality_df(panel: DataFrame, states: DataFrame, params: DataFrame) -> DataFrame:
+    """(run_id, series, r2, rmse) of the returns that states imply; built-in expressions. A constant series has no r2."""
+    key = "run_id" if "run_id" in params.columns else "param_id"
+    rows = panel.select("run_id", "t", "y").join(states.select("run_id", "t", "state"), ["run_id", "t"]).join(params.select(F.col(key).alias("run_id"), "lambda_r"), "run_id")
+    implied = F.transform("lambda_r", lambda row: F.aggregate(F.zip_with(row, F.slice("state", F.lit(1), F.size(row)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))
+    cells = rows.select("run_id", F.posexplode(F.zip_with("y", implied, lambda a, b: F.struct(a.alias("y"), b.alias("x")))).alias("series", "c"))
+    squares = F.sum((F.col("c.y") - F.col("c.x")) ** 2)
+    whole = F.var_pop("c.y") * F.count("*")
+    return cells.groupBy("run_id", "series").agg(F.when(whole > 1e-20, 1 - squares / whole).alias("r2"), F.sqrt(squares / F.count("*")).alias("rmse"))
+
+
+def smoothing_gain_df(filtered: DataFrame, smoothed: DataFrame, truth: DataFrame) -> DataFrame:
+    """(run_id, kind, k, filtered and smoothed rmse and corr, gain_pct)."""
+    a = accuracy_df(filtered, truth).withColumnsRenamed({"rmse": "filtered_rmse", "corr": "filtered_corr"})
+    b = accuracy_df(smoothed, truth).withColumnsRenamed({"rmse": "smoothed_rmse", "corr": "smoothed_corr"})
+    return a.join(b, ["run_id", "kind", "k"]).withColumn("gain_pct", F.when(F.col("filtered_rmse") > 0, 100 * (1 - F.col("smoothed_rmse") / F.col("filtered_rmse"))))
+
+
+def simulation_summary_df(simulated: DataFrame) -> DataFrame:
+    """(run_id, series, mean, std, autocorr, autocorr_sq): what a simulated panel looks like; windows and aggregates."""
+    from pyspark.sql import Window
+
+    from ..functions import guarded_corr
+
+    cells = simulated.filter("t > 0").select("run_id", "t", F.posexplode("y").alias("series", "v"))
+    w = Window.partitionBy("run_id", "series").orderBy("t")
+    back = cells.withColumn("b", F.lag("v").over(w))
+    return back.groupBy("run_id", "series").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), guarded_corr("v", "b").alias("autocorr"), guarded_corr(F.col("v") ** 2, F.col("b") ** 2).alias("autocorr_sq"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import guarded_corr, present_across
+from ..functions import guarded_corr, portfolio_deciles, present_across
 
 
 def melt(df: DataFrame, ids: Sequence[str], series: str = "series_id", value: str = "value") -> DataFrame:
@@ -129,3 +129,11 @@ def common_dates(df: DataFrame, at: str, by: str) -> DataFrame:
     n = df.select(by).distinct().count()
     shared = df.groupBy(at).agg(F.count_distinct(by).alias("__n")).filter(F.col("__n") == n).select(at)
     return df.join(shared, at, "left_semi")
+
+
+def grid_correlation(pairs: DataFrame) -> DataFrame:
+    """(size_decile, value_decile, mean_corr, n): each portfolio cell's mean correlation with the other series. pairs: (a,
+    b, corr) for a <= b, a and b names that hold deciles."""
+    ends = pairs.filter("a != b and corr is not null").select(F.explode(F.array("a", "b")).alias("name"), "corr")
+    size, value = portfolio_deciles("name")
+    return ends.groupBy(size.alias("size_decile"), value.alias("value_decile")).agg(F.avg("corr").alias("mean_corr"), F.count("*").alias("n"))

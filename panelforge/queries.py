@@ -497,3 +497,50 @@ def parameter_errors(spark, sf):
     a = models.params_df(spark, {str(i): realistic(4, 2, i) for i in range(6)})
     b = models.params_df(spark, {str(i): realistic(4, 2, i + 100) for i in range(6)})
     return models.param_errors_df(a, b)
+
+
+@query(f"WITH m AS ({_MONTHLY.replace('l_returnflag AS series_id', 'p_size AS series_id').replace('FROM lineitem', 'FROM lineitem JOIN part ON l_partkey = p_partkey')}), c AS (SELECT x.series_id AS a, y.series_id AS b, corr(x.value, y.value) AS corr FROM m x JOIN m y USING (month) WHERE x.series_id < y.series_id GROUP BY 1, 2), e AS (SELECT a AS n, corr FROM c UNION ALL SELECT b, corr FROM c) SELECT n::INT AS size_decile, 2::INT AS value_decile, round(avg(corr), 6) AS mean_corr, count(*) AS n FROM e GROUP BY e.n")
+def grid_mean_correlation(spark, sf):
+    items = _t(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
+    parts = _t(spark, sf, "part").select("p_partkey", F.format_string("ME%d BM2", "p_size").alias("series_id"))
+    orders = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), _month("o_orderdate").alias("month"))
+    cells = items.join(parts, "p_partkey").join(orders, "l_orderkey").groupBy("month", "series_id").agg(F.sum("v").alias("value"))
+    return _rounded(panel.grid_correlation(panel.correlation_matrix(cells, "month")))
+
+
+@query("SELECT p_partkey, round(CASE WHEN (SELECT abs(avg(p_retailprice)) > 10 OR stddev_samp(p_retailprice) > 10 FROM part) THEN p_retailprice / 100 ELSE p_retailprice END, 6) AS price FROM part")
+def rescale_when_large(spark, sf):
+    return _rounded(aggregate.rescaled(_t(spark, sf, "part").select("p_partkey", F.col("p_retailprice").alias("price")), "price"))
+
+
+@query("WITH g AS (SELECT l_returnflag, avg(l_extendedprice) FILTER (l_tax > 0.04) AS a, avg(l_extendedprice) FILTER (NOT l_tax > 0.04) AS b FROM lineitem GROUP BY 1) SELECT l_returnflag, round(a, 4) AS with_flag, round(b, 4) AS without_flag, round(100 * (a - b) / abs(b), 5) AS effect_pct FROM g")
+def flag_effect(spark, sf):
+    e = aggregate.paired_effect(_t(spark, sf, "lineitem").withColumn("flag", F.col("l_tax") > 0.04), ["l_returnflag"], "flag", "l_extendedprice")
+    return e.select("l_returnflag", _r("with_flag", 4).alias("with_flag"), _r("without_flag", 4).alias("without_flag"), _r("effect_pct", 5).alias("effect_pct"))
+
+
+@query()
+def implied_fit_quality(spark, sf):
+    dense = _dense_by_region(spark, sf)
+    p = _shared_params(spark, dense)
+    return models.fit_quality_df(dense, models.filter_df(dense, p), p)
+
+
+@query()
+def smoothing_gain(spark, sf):
+    params = models.params_df(spark, {"a": _flag_params()})
+    sim = models.simulate_df(params, 120, 4)
+    p = models.run_params(sim, params)
+    return models.smoothing_gain_df(models.filter_df(sim, p), models.smooth_df(sim, p), sim)
+
+
+@query()
+def complete_likelihoods(spark, sf):
+    params = models.params_df(spark, {"a": _flag_params()})
+    sim = models.simulate_df(params, 120, 4)
+    return models.complete_loglik_df(sim, models.run_params(sim, params))
+
+
+@query()
+def simulated_panel_summary(spark, sf):
+    return models.simulation_summary_df(models.simulate_df(models.params_df(spark, {"a": _flag_params()}), 200, 4))

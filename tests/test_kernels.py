@@ -301,3 +301,11 @@ def test_linear_factor_model_improves():
     y, f, _ = S.simulate(p, 300, 1)
     a, b = G.fit_linear_factors(y, 1, rounds=1), G.fit_linear_factors(y, 1, rounds=25)
     assert b.loglik > a.loglik and abs(np.corrcoef(b.states[:, 0], f[:, 0])[0, 1]) > 0.9
+
+
+def test_recovery_and_boundary():
+    f = lambda v: np.where(np.abs(v[:, 0]) > 3, np.nan, ((v - 1) ** 2).sum(1))
+    r = O.minimize_with_recovery(f, np.array([2.5, -2.0]), "Adam", max_steps=600, rate=0.5)
+    assert r.value < 1e-2 and r.steps <= 600
+    p = small()
+    assert L.boundary_penalty(p.replace(Phi_f=np.array([[0.5]]), Phi_h=np.array([[0.5]]))) == 0 < L.boundary_penalty(p.replace(sigma2=np.array([0.1, 0.1, 1e-4])))

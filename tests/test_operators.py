@@ -233,3 +233,28 @@ def test_online_filter_is_the_batch_filter(spark, tmp_path):
     want = filters.run_filter(filters.Batch.of([flag()]), y[None])
     assert [r["t"] for r in got] == list(range(20)) and got[-1]["late"] == 2
     assert np.allclose([r["state"] for r in got], want.alpha[0]) and abs(got[-1]["total_loglik"] - want.loglik.sum()) < 1e-8
+
+
+def test_complete_likelihood_quality_and_gain(spark, simulated):
+    from panelforge.kernels import likelihoods
+
+    params, sim = simulated
+    p = models.run_params(sim, params)
+    y, f, h = ks.simulate(flag(), 60, 6)
+    got = models.complete_loglik_df(sim, p).filter("run_id = 'a/1'").first()
+    assert abs(got["joint"] - likelihoods.joint_loglik(flag(), y, f, h)) < 1e-8
+    states = models.filter_df(sim, p)
+    x = np.array([r["state"] for r in states.filter("run_id = 'a/1'").orderBy("t").collect()])
+    q = {r["series"]: r for r in models.fit_quality_df(sim, states, p).filter("run_id = 'a/1'").collect()}
+    e = y - x[:, :1] @ flag().lambda_r.T
+    assert all(abs(q[i]["r2"] - (1 - (e[:, i] ** 2).sum() / (y[:, i].var() * 60))) < 1e-9 and abs(q[i]["rmse"] - np.sqrt((e[:, i] ** 2).mean())) < 1e-9 for i in range(3))
+    gain = models.smoothing_gain_df(states, models.smooth_df(sim, p), sim).collect()
+    assert len(gain) == 8 and np.mean([r["gain_pct"] for r in gain if r["kind"] == "f"]) > 0
+    assert models.simulation_summary_df(sim).count() == 12
+
+
+def test_rescaling_and_effects(spark):
+    d = spark.createDataFrame([(1, True, 2.0), (1, False, 1.0), (1, None, 50.0), (2, True, 3.0)], "k int, f boolean, v double")
+    got = {r["k"]: r for r in aggregate.paired_effect(d, ["k"], "f", "v").collect()}
+    assert got[1]["effect_pct"] == 100.0 and got[2]["without_flag"] is None and got[2]["effect_pct"] is None
+    assert aggregate.rescaled(d, "v").agg(F.max("v")).first()[0] == 0.5 and aggregate.rescaled(d.filter("v < 5"), "v").agg(F.max("v")).first()[0] == 3.0
