@@ -34,12 +34,18 @@ def _y(pdf: pd.DataFrame) -> np.ndarray:
     return np.array(pdf.sort_values("t")["y"].tolist(), float)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by key over all shuffle partitions. A group costs far more than its bytes, by which adaptive execution would
+    put small partitions together into one task; a stated number of partitions is left alone, and serves the group-by."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def with_params(panel: DataFrame, params: DataFrame) -> DataFrame:
     """panel (run_id, t, y) with its run's parameters on its first row only: the others carry none across the shuffle.
     params: param_id, or run_id, names the run."""
     key = "run_id" if "run_id" in params.columns else "param_id"
     p = params.select(F.col(key).alias("run_id"), F.lit(0).alias("t"), F.struct(*DESIGN).alias("p"))
-    return panel.select("run_id", "t", "y").join(p, ["run_id", "t"], "left")
+    return spread(panel.select("run_id", "t", "y").join(p, ["run_id", "t"], "left"), "run_id")
 
 
 def _design(pdf: pd.DataFrame) -> Params:
@@ -123,7 +129,7 @@ def loglik_df(panel: DataFrame, candidates: DataFrame, kind: str = "BIF", partic
     """(run_id, param_id, filter_type, loglik, loglik_constant) of every candidate on every run. A run's candidates are
     evaluated in one batch; loglik_constant is to be added to a mode filter's value before filters are compared."""
     packed = panel.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("t", "y"))).alias("ys"))
-    pairs = packed.crossJoin(candidates)
+    pairs = spread(packed.crossJoin(candidates), "run_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -223,7 +229,7 @@ def series_tests_df(df: DataFrame, by: str, at: str, value: str, lb_lags=(5, 10,
             rows.append((str(pdf[by].iloc[0]), name, k, s, p, None if p is None else bool(p <= 0.05 if name == "adf" else p > 0.05)))
         return pd.DataFrame(rows, columns=["series", "test", "lags", "statistic", "p_value", "passed"])
 
-    return df.select(by, at, value).groupBy(by).applyInPandas(run, "series string, test string, lags int, statistic double, p_value double, passed boolean")
+    return spread(df.select(by, at, value), by).groupBy(by).applyInPandas(run, "series string, test string, lags int, statistic double, p_value double, passed boolean")
 
 
 def multivariate_tests_df(residuals: DataFrame, run: str = "run_id", lags: int = 5) -> DataFrame:
@@ -237,7 +243,7 @@ def multivariate_tests_df(residuals: DataFrame, run: str = "run_id", lags: int =
         rows += [(k, *diagnostics.portmanteau(z, lags, k)[:2]) for k in ("hosking", "limcleod")] + [("student_df", diagnostics.student_df(z), None)]
         return pd.DataFrame([(pdf[run].iloc[0], *r) for r in rows], columns=["run_id", "test", "statistic", "p_value"])
 
-    return residuals.groupBy(run).applyInPandas(go, "run_id string, test string, statistic double, p_value double")
+    return spread(residuals, run).groupBy(run).applyInPandas(go, "run_id string, test string, statistic double, p_value double")
 
 
 def garch_df(df: DataFrame, by: str, at: str, value: str) -> DataFrame:
@@ -254,7 +260,7 @@ def garch_df(df: DataFrame, by: str, at: str, value: str) -> DataFrame:
             row = [name, *[None] * 9, str(e)]
         return pd.DataFrame([row], columns=[f.strip().split()[0] for f in schema.split(",")])
 
-    return df.select(by, at, value).groupBy(by).applyInPandas(run, schema)
+    return spread(df.select(by, at, value), by).groupBy(by).applyInPandas(run, schema)
 
 
 def dcc_df(panel: DataFrame, run: str = "run_id") -> DataFrame:
@@ -270,7 +276,7 @@ def dcc_df(panel: DataFrame, run: str = "run_id") -> DataFrame:
         r, h = garch.dcc_path(eps, sigma, a, b)
         return pd.DataFrame({"run_id": pdf[run].iloc[0], "t": np.sort(pdf["t"].to_numpy()), "a": a, "b": b, "corr": list(r.reshape(len(y), -1)), "cov": list(h.reshape(len(y), -1)), "dim": y.shape[1], "gmv": [garch.minimum_variance(c) for c in h]})
 
-    return panel.select(run, "t", "y").groupBy(run).applyInPandas(go, schema)
+    return spread(panel.select(run, "t", "y"), run).groupBy(run).applyInPandas(go, schema)
 
 
 def linear_factors_df(panel: DataFrame, k: int, run: str = "run_id") -> DataFrame:
@@ -281,7 +287,7 @@ def linear_factors_df(panel: DataFrame, k: int, run: str = "run_id") -> DataFram
         aic, bic = diagnostics.information_criteria(m.loglik, y.shape[1] * k + 2 * k * k + y.shape[1], len(y))
         return pd.DataFrame({"run_id": pdf[run].iloc[0], "t": np.sort(pdf["t"].to_numpy()), "state": list(m.states), "loglik": m.loglik, "aic": aic, "bic": bic})
 
-    return panel.select(run, "t", "y").groupBy(run).applyInPandas(go, "run_id string, t int, state array<double>, loglik double, aic double, bic double")
+    return spread(panel.select(run, "t", "y"), run).groupBy(run).applyInPandas(go, "run_id string, t int, state array<double>, loglik double, aic double, bic double")
 
 
 def pca_df(panel: DataFrame, run: str = "run_id") -> DataFrame:
@@ -290,14 +296,14 @@ def pca_df(panel: DataFrame, run: str = "run_id") -> DataFrame:
         got = diagnostics.pca(_y(pdf))
         return pd.DataFrame({"run_id": pdf[run].iloc[0], "component": range(1, len(got["ratio"]) + 1), "eigenvalue": got["eigenvalues"], "ratio": got["ratio"], "cumulative": got["cumulative"]})
 
-    return panel.select(run, "t", "y").groupBy(run).applyInPandas(go, "run_id string, component int, eigenvalue double, ratio double, cumulative double")
+    return spread(panel.select(run, "t", "y"), run).groupBy(run).applyInPandas(go, "run_id string, component int, eigenvalue double, ratio double, cumulative double")
 
 
 def complete_loglik_df(simulated: DataFrame, params: DataFrame) -> DataFrame:
     """(run_id, observation, factors, volatility, joint): complete-data log likelihoods of runs whose states are known."""
     key = "run_id" if "run_id" in params.columns else "param_id"
     p = params.select(F.col(key).alias("run_id"), F.lit(0).alias("t"), F.struct(*DESIGN).alias("p"))
-    rows = simulated.select("run_id", "t", "y", "f", "h").join(p, ["run_id", "t"], "left")
+    rows = spread(simulated.select("run_id", "t", "y", "f", "h").join(p, ["run_id", "t"], "left"), "run_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         q, pdf = _design(pdf), pdf.sort_values("t")
