@@ -14,6 +14,7 @@ import numpy as np
 from .params import Params
 
 SWEEPS, NEWTON = 10, 12
+CLOSE = 1e-7  #: a search ends when it moves no further than this
 H_MOST = 50.0  #: log volatilities are held within, so that their exponentials stay finite
 BIF, BF = "BIF", "BF"
 
@@ -85,16 +86,24 @@ class _Observation:
         i_ff = self.v - self.v @ np.linalg.solve(m, self.v)
         return m, (i_ff + np.swapaxes(i_ff, -1, -2)) / 2
 
-    def value(self, f: np.ndarray, h: np.ndarray, m: np.ndarray | None = None):
-        """(log likelihood, L' A^-1 (y - L f))."""
+    def residual(self, f: np.ndarray):
+        """What the likelihood needs of f alone: (L' D^-1 (y - L f), (y - L f)' D^-1 (y - L f))."""
+        vf = _mv(self.v, f)
+        return self.b - vf, self.yy - 2 * (f * self.b).sum(-1) + (f * vf).sum(-1)
+
+    def fit(self, v: np.ndarray, rr: np.ndarray, h: np.ndarray, m: np.ndarray | None = None):
+        """(log likelihood, M^-1 v) at h, for a residual()."""
         if m is None:
             m = _diag(1 / (np.exp(h) + 1e-8)) + self.v + _eye(self.k, 1e-6)
-        vf = _mv(self.v, f)
-        v = self.b - vf
         z = np.linalg.solve(m, v[..., None])[..., 0]
-        rr = self.yy - 2 * (f * self.b).sum(-1) + (f * vf).sum(-1)
         logdet = np.linalg.slogdet(m)[1] + h.sum(-1) + self.logdet_d
-        return -0.5 * (logdet + rr - (v * z).sum(-1)), v - _mv(self.v, z)
+        return -0.5 * (logdet + rr - (v * z).sum(-1)), z
+
+    def value(self, f: np.ndarray, h: np.ndarray, m: np.ndarray | None = None):
+        """(log likelihood, L' A^-1 (y - L f))."""
+        v, rr = self.residual(f)
+        ll, z = self.fit(v, rr, h, m)
+        return ll, v - _mv(self.v, z)
 
     def information(self, h: np.ndarray, i_ff: np.ndarray | None = None):
         """Expected information blocks of f and of h."""
@@ -132,35 +141,42 @@ def mode_gradient(f, h, f_pred, h_pred, omega_f, omega_h, y, lam, s2) -> tuple[n
 def _mode(obs: _Observation, f_pred, h_pred, w_f, w_h):
     """Block coordinate search: f in closed form for given h, then damped Newton steps in h with the expected information
     as curvature; a step that doesn't improve is halved, and dropped in the end. A run stops changing when it has
-    converged."""
+    converged, so that its result doesn't depend on the runs it is batched with."""
     f, h = f_pred, h_pred
+    searching = np.ones(len(h), bool)
     for _ in range(SWEEPS):
         f_old, h_old = f, h
         m, i_ff = obs.inner(h)
         z = np.linalg.solve(m, obs.b[..., None])[..., 0]
         f = np.linalg.solve(i_ff + w_f, (obs.b - _mv(obs.v, z) + _mv(w_f, f_pred))[..., None])[..., 0]
-        for _ in range(NEWTON):
-            m, i_ff = obs.inner(h)
-            ll, p = obs.value(f, h, m)
+        f = np.where(searching[:, None], f, f_old)
+        v, rr = obs.residual(f)
+        live = searching
+        for nth in range(NEWTON):
+            if nth:
+                m, i_ff = obs.inner(h)
+            ll, z = obs.fit(v, rr, h, m)
             d = h - h_pred
             wd = _mv(w_h, d)
             now = -ll + 0.5 * (d * wd).sum(-1)
-            e = np.exp(h)
-            gradient = 0.5 * e * (np.diagonal(i_ff, axis1=-2, axis2=-1) - p**2) + wd
+            gradient = 0.5 * np.exp(h) * (np.diagonal(i_ff, axis1=-2, axis2=-1) - (v - _mv(obs.v, z)) ** 2) + wd
             step = -np.linalg.solve(obs.information(h, i_ff)[1] + w_h, gradient[..., None])[..., 0]
+            live = live & (np.abs(step).max(-1) >= CLOSE)
+            if not live.any():
+                break
             scale = np.ones(len(h))
             for _ in range(12):
                 new = np.clip(h + scale[:, None] * step, -H_MOST, H_MOST)
                 d = new - h_pred
-                value = -obs.value(f, new)[0] + 0.5 * (d * _mv(w_h, d)).sum(-1)
-                worse = ~(value <= now + 1e-12)
+                value = -obs.fit(v, rr, new)[0] + 0.5 * (d * _mv(w_h, d)).sum(-1)
+                worse = live & ~(value <= now + 1e-12)
                 if not worse.any():
                     break
                 scale = np.where(worse, scale / 2, scale)
-            h = np.where(worse[:, None], h, new)
-            if np.abs(scale[:, None] * step * ~worse[:, None]).max() < 1e-9:
-                break
-        if max(np.abs(f - f_old).max(), np.abs(h - h_old).max()) < 1e-8:
+            h = np.where((live & ~worse)[:, None], new, h)
+            live = live & ~worse
+        searching = searching & (np.maximum(np.abs(f - f_old), np.abs(h - h_old)).max(-1) >= CLOSE)
+        if not searching.any():
             break
     return f, h
 

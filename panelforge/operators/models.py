@@ -7,7 +7,9 @@ the group is formed, so that nothing is broadcast that grows with the data.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -19,6 +21,7 @@ from ..kernels import diagnostics, filters, garch, likelihoods, optimize, partic
 from ..kernels.params import FIELDS, Params, as_params, as_row
 
 DESIGN = ("N", "K", *FIELDS)
+BATCH = 4_000_000  #: observations and covariances of runs that a kernel takes at once; one run beyond it goes alone
 
 
 def params_df(spark: SparkSession, params: dict[str, Params]) -> DataFrame:
@@ -34,10 +37,10 @@ def _y(pdf: pd.DataFrame) -> np.ndarray:
     return np.array(pdf.sort_values("t")["y"].tolist(), float)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, *key: str) -> DataFrame:
     """df dealt by key over all shuffle partitions. A group costs far more than its bytes, by which adaptive execution would
     put small partitions together into one task; a stated number of partitions is left alone, and serves the group-by."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
 
 
 def with_params(panel: DataFrame, params: DataFrame) -> DataFrame:
@@ -55,6 +58,55 @@ def _design(pdf: pd.DataFrame) -> Params:
     return _of(rows.iloc[0].asDict() if hasattr(rows.iloc[0], "asDict") else dict(rows.iloc[0]))
 
 
+class Run(NamedTuple):
+    """A whole run, in the order of t."""
+
+    run_id: str
+    t: np.ndarray
+    y: np.ndarray
+    p: Params
+
+
+def _whole_runs(batches: Iterator[pd.DataFrame]) -> Iterator[Run]:
+    """Runs out of rows that are sorted by run, however batches cut them."""
+    held: list[pd.DataFrame] = []
+
+    def run() -> Run:
+        pdf = pd.concat(held)
+        return Run(pdf["run_id"].iloc[0], np.sort(pdf["t"].to_numpy()), _y(pdf), _design(pdf))
+
+    for pdf in batches:
+        for _, part in pdf.groupby("run_id", sort=False, dropna=False):
+            if held and held[0]["run_id"].iloc[0] != part["run_id"].iloc[0]:
+                yield run()
+                held = []
+            held.append(part)
+    if held:
+        yield run()
+
+
+def by_batches(panel: DataFrame, params: DataFrame, kernel: Callable[[list[Run]], Iterator[pd.DataFrame]], schema) -> DataFrame:
+    """kernel over the runs of each partition, those of one shape in batches of at most BATCH numbers: a recursion's steps
+    cost about the same for one run as for many. A run's result doesn't depend on its batch."""
+
+    def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list[Run]] = defaultdict(list)
+        size = 0
+        for r in _whole_runs(batches):
+            n = len(r.t) * (r.p.N + 4 * r.p.K**2)
+            if size and size + n > BATCH:
+                for runs in held.values():
+                    yield from kernel(runs)
+                held.clear()
+                size = 0
+            held[len(r.t), r.p.N, r.p.K].append(r)
+            size += n
+        for runs in held.values():
+            yield from kernel(runs)
+
+    return with_params(panel, params).sortWithinPartitions("run_id", "t").mapInPandas(mapped, schema)
+
+
 def simulate_df(params: DataFrame, T: int, replicates: int = 1, seed: int = 0) -> DataFrame:
     """(run_id, t, y, f, h) for each parameter set and replicate; run_id is param_id/replicate. A replicate's seed depends
     on its own number only, so reruns agree."""
@@ -66,7 +118,7 @@ def simulate_df(params: DataFrame, T: int, replicates: int = 1, seed: int = 0) -
                 y, f, h = simulate.simulate(_of(r), T, seed + int(r["rep"]))
                 yield pd.DataFrame({"run_id": f"{r['param_id']}/{r['rep']}", "t": range(T), "y": list(y), "f": list(f), "h": list(h)})
 
-    return grid.repartition("param_id", "rep").mapInPandas(run, schemas.SIMULATED)
+    return spread(grid, "param_id", "rep").mapInPandas(run, schemas.SIMULATED)
 
 
 def run_params(simulated: DataFrame, params: DataFrame) -> DataFrame:
@@ -77,25 +129,26 @@ def run_params(simulated: DataFrame, params: DataFrame) -> DataFrame:
 
 def filter_df(panel: DataFrame, params: DataFrame, kind: str = "BIF", predict_first: bool = True, init_factor_var: float | None = None, covariances: bool = True) -> DataFrame:
     """Filtered states of each run: the mode filter in information (BIF) or covariance (BF) form."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, y = _design(pdf), _y(pdf)
-        x = filters.run_filter(filters.Batch.of([p]), y[None], kind, predict_first, init_factor_var)
-        cov = filters.full(x.cov_f[0], x.cov_h[0]).reshape(len(y), -1)
-        return pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "t": np.sort(pdf["t"].to_numpy()), "state": list(x.alpha[0]), "cov": list(cov) if covariances else None, "dim": 2 * p.K, "loglik": x.loglik[0], "clamped": bool(x.clamped[0])})
+    def kernel(runs: list[Run]) -> Iterator[pd.DataFrame]:
+        x = filters.run_filter(filters.Batch.of([r.p for r in runs]), np.stack([r.y for r in runs]), kind, predict_first, init_factor_var)
+        for i, r in enumerate(runs):
+            cov = list(filters.full(x.cov_f[i], x.cov_h[i]).reshape(len(r.t), -1)) if covariances else None
+            yield pd.DataFrame({"run_id": r.run_id, "t": r.t, "state": list(x.alpha[i]), "cov": cov, "dim": 2 * r.p.K, "loglik": x.loglik[i], "clamped": bool(x.clamped[i])})
 
-    return with_params(panel, params).groupBy("run_id").applyInPandas(run, schemas.FILTERED)
+    return by_batches(panel, params, kernel, schemas.FILTERED)
 
 
 def smooth_df(panel: DataFrame, params: DataFrame, kind: str = "BIF") -> DataFrame:
     """Smoothed states, covariances, and lag-one covariances (from t to t - 1; none at the first t)."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, y = _design(pdf), _y(pdf)
-        b = filters.Batch.of([p])
-        s = filters.smooth(b, filters.run_filter(b, y[None], kind))
-        lag = filters.full(s.lag_f[0], s.lag_h[0]).reshape(len(y) - 1, -1)
-        return pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "t": np.sort(pdf["t"].to_numpy()), "state": list(s.alpha[0]), "cov": list(filters.full(s.cov_f[0], s.cov_h[0]).reshape(len(y), -1)), "lag1_cov": [None, *lag], "dim": 2 * p.K})
-
-    return with_params(panel, params).groupBy("run_id").applyInPandas(run, schemas.SMOOTHED)
+    def kernel(runs: list[Run]) -> Iterator[pd.DataFrame]:
+        b = filters.Batch.of([r.p for r in runs])
+        s = filters.smooth(b, filters.run_filter(b, np.stack([r.y for r in runs]), kind))
+        for i, r in enumerate(runs):
+            cov = filters.full(s.cov_f[i], s.cov_h[i]).reshape(len(r.t), -1)
+            lag = filters.full(s.lag_f[i], s.lag_h[i]).reshape(len(r.t) - 1, -1)
+            yield pd.DataFrame({"run_id": r.run_id, "t": r.t, "state": list(s.alpha[i]), "cov": list(cov), "lag1_cov": [None, *lag], "dim": 2 * r.p.K})
+
+    return by_batches(panel, params, kernel, schemas.SMOOTHED)
 
 
 def particle_df(panel: DataFrame, params: DataFrame, particles: int = 1000, resample_below: float = 0.5, seed: int = 42, smoothed: bool = False) -> DataFrame:

@@ -19,6 +19,7 @@ from ..functions import filter_config, list_mean, seed_of
 from ..kernels import diagnostics, filters, particle, simulate
 from ..kernels.params import random_study
 from ..operators.aggregate import group_stats
+from ..operators.models import spread
 from ..operators.reshape import without_done
 
 
@@ -73,7 +74,7 @@ def run(runs: DataFrame, done: DataFrame | None = None) -> DataFrame:
             rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
             yield pd.DataFrame([_replicate(r) for r in rows], columns=names)
 
-    return todo.repartition("run_id").mapInPandas(go, schemas.METRICS)
+    return spread(todo, "run_id").mapInPandas(go, schemas.METRICS)
 
 
 METRIC_LISTS = ("rmse_f", "corr_f", "rmse_h", "corr_h")

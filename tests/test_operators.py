@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,3 +259,28 @@ def test_rescaling_and_effects(spark):
     got = {r["k"]: r for r in aggregate.paired_effect(d, ["k"], "f", "v").collect()}
     assert got[1]["effect_pct"] == 100.0 and got[2]["without_flag"] is None and got[2]["effect_pct"] is None
     assert aggregate.rescaled(d, "v").agg(F.max("v")).first()[0] == 0.5 and aggregate.rescaled(d.filter("v < 5"), "v").agg(F.max("v")).first()[0] == 3.0
+
+
+def test_runs_in_batches_match_runs_alone(spark):
+    p, q = kp.realistic(3, 1), kp.realistic(4, 2)
+    runs = {"a": (p, 12), "b": (q, 12), "c": (p, 30), "d": (p, 12), "e": (p, 1)}
+    ys = {r: ks.simulate(x, t, i)[0] for i, (r, (x, t)) in enumerate(runs.items())}
+    panel = spark.createDataFrame([(r, t, row.tolist()) for r, y in ys.items() for t, row in enumerate(y)], "run_id string, t int, y array<double>")
+    params = models.params_df(spark, {r: x for r, (x, _) in runs.items()})
+    got = {}
+    for r in models.filter_df(panel.orderBy(F.rand(1)), params).collect():
+        got.setdefault(r["run_id"], {})[r["t"]] = r["state"]
+    for r, (x, t) in runs.items():
+        alone = filters.run_filter(filters.Batch.of([x]), ys[r][None]).alpha[0]
+        assert np.allclose([got[r][i] for i in range(t)], alone, atol=1e-12)
+    assert models.smooth_df(panel.filter("t < 0"), params).count() == 0
+
+
+def test_whole_runs_however_batches_cut_them():
+    p = kp.as_row(kp.realistic(3, 1))
+    rows = [{"run_id": r, "t": t, "y": [0.1 * t] * 3, "p": p if t == 0 else None} for r in ("a", "b", "c") for t in range(4)]
+    for size in (1, 3, 5, 12):
+        cut = (pd.DataFrame(rows[i : i + size]) for i in range(0, len(rows), size))
+        found = list(models._whole_runs(cut))
+        assert [r.run_id for r in found] == ["a", "b", "c"]
+        assert all(r.t.tolist() == [0, 1, 2, 3] and r.y.shape == (4, 3) for r in found)
