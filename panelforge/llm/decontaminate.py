@@ -1,25 +1,25 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: gapped word-pair seeds, then Smith-Waterman alignment.
 
-The benchmark is a stated query set and is taken in blocks of bounded size, each against all documents. A first pass counts
-in how many documents each of a block's n-grams occurs; every item keeps as seeds its rarest half, and MIN_SEEDS at least.
-A second pass joins documents to items by their seeds, discards places whose shared words cannot reach the score, and
-aligns the others word by word.
+The benchmark is a stated query set and is taken in blocks of bounded size, each against all documents in one pass.
+
+Seeds lose no alignment that reaches the score. One of M matches whose skips cost E scores 2 M - E; a skip of a words of the
+item and b of the text costs max(a, b). If it scores S, its M - 1 steps from match to match cost 2 M - S, so counting 2 for
+a step without a skip and 1 for a step of cost 1, steps count S - 2 at least. Such a step is a pair of words that stand one
+or two apart in the item and in the text. All of an item's pairs are seeds; items whose pairs in a text, and then on
+neighbouring diagonals, count less than that are discarded, as are places with too few shared words. Others are aligned.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import bare, utf8
 
-GRAM = 3
-MIN_SEEDS = 24
 SCORE = 0.5  #: of the item's own score; chance agreement stays below 0.35
 MIN_WORDS = 8  #: an item shorter than twice this needs as many words in place, or all it has
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -33,77 +33,119 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Index:
-    """A block of the benchmark: its words as numbers, its n-grams, which of them are seeds, and where those stand."""
+    """A block of the benchmark: its words as numbers, and its pairs of words one or two apart with the places they have."""
 
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
         self.items = [(i, w) for i, w in ((i, words_of(t)) for i, t in items) if w]
         vocabulary = sorted({x for _, w in self.items for x in w})
         self.number = {w: n + 1 for n, w in enumerate(vocabulary)}  # 0: a word that no item has
-        self.coded = [np.array([self.number[x] for x in w], np.int64) for _, w in self.items]
-        grams = [self.grams(c) for c in self.coded]
-        self.known = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.int64)
-        self.own = grams
-        self.seeds: dict[int, list[tuple[int, int]]] = {}
+        self.coded = [self.code(w) for _, w in self.items]
         self.bags = [Counter(c.tolist()) for c in self.coded]
-
-    def grams(self, coded: np.ndarray) -> np.ndarray:
-        """The n-gram that begins at each word, as a number; -1 if it has a word that no item has. Shorter texts have one,
-        of all their words."""
-        n, base = min(GRAM, len(coded)), len(self.number) + 1
-        if not n:
-            return np.zeros(0, np.int64)
-        code, whole = np.zeros(len(coded) - n + 1, np.int64), np.ones(len(coded) - n + 1, bool)
-        for k in range(n):
-            part = coded[k : len(coded) - n + 1 + k]
-            # two numbers may share a code when the vocabulary is huge; alignment decides in the end
-            code, whole = code * base + part, whole & (part > 0)
-        code &= (1 << 62) - 1
-        code[~whole] = -1
-        return code
+        sizes = np.array([len(c) for c in self.coded], np.int64)
+        self.offset = np.cumsum(np.r_[0, sizes])  # an item's first place among all places
+        self.item_of = np.repeat(np.arange(len(sizes)), sizes)
+        every = np.concatenate(self.coded) if self.coded else np.zeros(0, np.int64)
+        codes, places, near = [], [], []
+        for apart in (1, 2):
+            at = np.flatnonzero(self.item_of[:-apart] == self.item_of[apart:])
+            codes.append(self.pair(every[at], every[at + apart]))
+            places.append(at)
+            near.append(np.full(len(at), apart == 1))
+        # an item of one word has no pair: the word itself is its seed
+        lone = np.flatnonzero(np.repeat(sizes, sizes) == 1)
+        code = np.concatenate([*codes, every[lone]])
+        order = np.argsort(code, kind="stable")
+        self.known, begins = np.unique(code[order], return_index=True)
+        self.begins = np.r_[begins, len(code)]
+        self.places = np.concatenate([*places, lone])[order]
+        self.near = np.concatenate([*near, np.ones(len(lone), bool)])[order]
+        self.touched = np.zeros(len(every), np.int8)
 
     def code(self, words: list[bytes]) -> np.ndarray:
         get = self.number.get
         return np.array([get(w, 0) for w in words], np.int64)
 
-    def choose(self, frequency: dict[int, int]) -> None:
-        """Seeds: of each item's distinct n-grams the rarest half in the corpus, MIN_SEEDS at least."""
-        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for n, grams in enumerate(self.own):
-            first: dict[int, list[int]] = defaultdict(list)
-            for at, g in enumerate(grams.tolist()):
-                first[g].append(at)
-            ranked = sorted(first, key=lambda g: (frequency.get(g, 0), g))
-            for g in ranked[: max(MIN_SEEDS, len(ranked) // 2)]:
-                places[g] += [(n, at) for at in first[g]]
-        self.seeds = dict(places)
-        self.known = np.array(sorted(places), np.int64)
-
-    def hits(self, grams: np.ndarray) -> np.ndarray:
-        """Positions of grams that are known."""
-        if not len(self.known) or not len(grams):
-            return np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
-        return np.flatnonzero(self.known[at] == grams)
+    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Two words as a number; 0 if no item has one of them. Numbers up to the vocabulary's size stand for one word."""
+        return np.where((a > 0) & (b > 0), a * (len(self.number) + 1) + b, 0)
+
+    def hits(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, seeds): where code has a seed, and which of known it is."""
+        if not len(self.known):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.flatnonzero(code)
+        seed = np.minimum(np.searchsorted(self.known, code[at]), len(self.known) - 1)
+        good = self.known[seed] == code[at]
+        return at[good], seed[good]
+
+    def postings(self, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of seeds, posting): every posting of seeds."""
+        sizes = self.begins[seeds + 1] - self.begins[seeds]
+        which = np.repeat(np.arange(len(seeds)), sizes)
+        return which, np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + self.begins[seeds][which]
+
+    def limits(self, n: int, score: float) -> tuple[float, int, int]:
+        """Of an item: the score it takes, what its steps count at least, and what its skips cost at most."""
+        size = len(self.coded[n])
+        least = max(score, min(1.0, MIN_WORDS / size))
+        return least, max(1, int(np.ceil(2 * least * size - 2 - 1e-6))), int(2 * size * (1 - least) + 1e-6)
+
+    def candidates(self, found: list[tuple[int, np.ndarray, np.ndarray]], score: float) -> list[int]:
+        """Items whose places with a hit count enough: 2 a place for neighbours in both, else 1."""
+        weak, strong = [], [np.zeros(0, np.int64)]
+        for apart, _, seeds in found:
+            _, at = self.postings(np.unique(seeds))
+            weak.append(self.places[at])
+            if apart < 2:
+                strong.append(self.places[at[self.near[at]]])
+        weak, strong = np.concatenate(weak), np.concatenate(strong)
+        self.touched[weak] = 1
+        self.touched[strong] = 2
+        places = np.unique(weak)
+        items, which = np.unique(self.item_of[places], return_inverse=True)
+        sums = np.bincount(which, self.touched[places])
+        self.touched[weak] = 0
+        return [n for n, total in zip(items.tolist(), sums.tolist()) if total >= self.limits(n, score)[1]]
+
+    def windows(self, n: int, found: list[tuple[int, np.ndarray, np.ndarray]], score: float) -> list[list[int]]:
+        """[first, end) of the text, apart from each other: where item n can align with the score it takes."""
+        _, count, skips = self.limits(n, score)
+        diagonals, counts = [], []
+        low, high = int(self.offset[n]), int(self.offset[n + 1])
+        for apart, at, seeds in found:
+            kinds, kind = np.unique(seeds, return_inverse=True)
+            which, posting = self.postings(kinds)
+            mine = (self.places[posting] >= low) & (self.places[posting] < high)
+            for k, p in zip(which[mine].tolist(), posting[mine].tolist()):
+                here = at[kind == k]
+                diagonals.append(here - (int(self.places[p]) - low))
+                counts.append(np.full(len(here), 2 if apart < 2 and self.near[p] else 1))
+        diagonal, weight = np.concatenate(diagonals), np.concatenate(counts)
+        order = np.argsort(diagonal, kind="stable")
+        diagonal, total = diagonal[order], np.cumsum(np.r_[0, weight[order]])
+        within = total[np.searchsorted(diagonal, diagonal + skips, "right")] - total[np.searchsorted(diagonal, diagonal, "left")]
+        out: list[list[int]] = []
+        for d in np.unique(diagonal[within >= count]).tolist():
+            if out and d - skips <= out[-1][1]:
+                out[-1][1] = d + skips + high - low
+            else:
+                out.append([d - skips, d + skips + high - low])
+        return out
 
     def matches(self, words: list[bytes], score: float = SCORE) -> list[tuple[int, float, int, int]]:
         """(item's id, score, first word, end): for each item that the text has a copy of, the best alignment."""
         text = self.code(words)
-        grams = self.grams(text)
-        found: dict[int, set[int]] = defaultdict(set)
-        for at in self.hits(grams).tolist():
-            for n, place in self.seeds[int(grams[at])]:
-                found[n].add(at - place)
+        found = [(0, *self.hits(text))] + [(k, *self.hits(self.pair(text[:-k], text[k:]))) for k in (1, 2)]
+        found = [f for f in found if len(f[1])]
+        if not found:
+            return []
         out = []
-        for n, starts in found.items():
+        for n in self.candidates(found, score):
             item, best = self.coded[n], (0.0, 0, 0)
-            least = max(score, min(1.0, MIN_WORDS / len(item)))
-            slack, need = max(4, len(item) // 4), least * len(item)
-            reach = -1
-            for start in sorted(starts):  # one window for all starts near each other
-                if start <= reach:
-                    continue
-                reach = start + slack
-                low, high = max(0, start - slack), min(len(text), reach + slack + len(item))
+            least = self.limits(n, score)[0]
+            need = least * len(item) - 1e-6
+            for low, high in self.windows(n, found, score):
+                low = max(0, low)
                 window = text[low:high]
                 shared = Counter(window.tolist())
                 if sum(min(k, shared[w]) for w, k in self.bags[n].items() if w in shared) < need:
@@ -157,20 +199,6 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
         yield held
 
 
-def _frequencies(index):
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        own, counts = index(), Counter()
-        for batch in batches:
-            for t in utf8(batch.column("text")):
-                grams = own.grams(own.code(words_of(t)))
-                counts.update(np.unique(grams[own.hits(grams)]).tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["gram", "n"])
-
-    return run
-
-
 def _matched(index, score: float):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -186,16 +214,9 @@ def _matched(index, score: float):
 
 
 def _indexed(docs: DataFrame, block: list[tuple[int, bytes]]):
-    """The block's index, its seeds chosen by a pass over all documents: a function that gives it on an executor."""
-    spark = docs.sparkSession
-    plain = spark.sparkContext.broadcast(pickle.dumps(Index(block)))
-    counted = docs.select("text").mapInArrow(_frequencies(lambda: pickle.loads(plain.value)), "gram bigint, n bigint")
-    # as many rows at most as the block has n-grams
-    frequency = {r["gram"]: r["n"] for r in counted.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
-    chosen = Index(block)
-    chosen.choose(frequency)
-    seeded = spark.sparkContext.broadcast(pickle.dumps(chosen))
-    return lambda: pickle.loads(seeded.value)
+    """The block's index: a function that gives it on an executor."""
+    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(Index(block)))
+    return lambda: pickle.loads(sent.value)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -513,6 +513,31 @@ def test_alignment_score():
         assert best == plain_align(item, window) == (plain_align(item, window[begin:end]) if best else 0)
 
 
+def test_edited_copies_are_all_found(spark):
+    """As Smith-Waterman over the whole text says, whatever edits leave of the item's n-grams."""
+    rng = np.random.default_rng(11)
+    v = [f"t{i}" for i in range(500)]
+    items = [(n, " ".join(rng.choice(v, int(rng.integers(20, 60))))) for n in range(12)] + [(12, "two words"), (13, "alone")]
+    noise = lambda: rng.choice(v, int(rng.integers(0, 30))).tolist()
+    texts = []
+    for _, t in items:
+        words = t.split()
+        edits = [[w if i % k else "zz" for i, w in enumerate(words, 1)] for k in (2, 3, 4, 5)]
+        edits += [[x for w in words for x in (w, "zz")][:-1], [w if rng.random() > 0.25 else "zz" for w in words], [w for w in words if rng.random() > 0.3]]
+        texts += [" ".join(noise() + e + noise()) for e in edits]
+    # the edited copies are many beside documents that hold each n-gram once
+    texts += [t for _, t in items]
+    expected = {}
+    for d, t in enumerate(texts):
+        for n, item in items:
+            score = plain_align(item.split(), t.split()) / (2 * len(item.split()))
+            if score >= max(0.5, min(1, 8 / len(item.split()))):
+                expected[d, n] = score
+    got = decontaminate.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in got.collect()} == expected
+    assert len(expected) > 60 and min(expected.values()) < 0.53
+
+
 def test_blocks_of_the_benchmark(spark, monkeypatch):
     b = spark.createDataFrame([(i, f"item {i} has some words in it") for i in range(10)], "item_id bigint, text string")
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
