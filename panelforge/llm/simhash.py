@@ -21,10 +21,11 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import bare, free_name, staged, utf8, width
+from .common import bare, free_name, small_batches, staged, utf8, width
 from .components import components
 
 SEED = 42
@@ -187,13 +188,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _with_prints(place: int, name: str = "fp"):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            values = pa.array([fingerprint(t) for t in utf8(batch.column(place))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])
+
+    return run
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without all but one row of each component, with all their columns: the row with the least id stays; of rows
-    that share that id and of those without an id, the first by text does."""
-    mine, nth = free_name(docs, "__component"), free_name(docs, "__nth")
-    found = classes(docs, key, text)
-    keepers = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(mine)).distinct()
-    kept = docs.join(keepers, F.col(f"`{key}`").eqNullSafe(F.col(mine)))
-    # ids repeat in no sound table; where they do, one row of each id stays
-    first = Window.partitionBy(mine).orderBy(F.col(f"`{text}`"))
-    return kept.withColumn(nth, F.row_number().over(first)).filter(F.col(nth) == 1).drop(mine, nth)
+    """docs without all but one row of each component, with all their columns: the row with the least id stays, one without
+    an id only where the component has no other; of rows that share that id the first by text does.
+
+    Ids needn't be unique: rows are told apart by their fingerprints' components. A component's row is a minimum that each
+    partition works out before the shuffle.
+    """
+    mine, root, all_of = (free_name(docs, n) for n in ("__fp", "__root", "__row"))
+    distinct = staged(bare(docs, text=text).mapInArrow(_with_prints(0), "text string, fp bigint").select("fp").distinct(), "simhash-distinct")
+    roots = components(links(distinct)).select(F.col("vertex").alias(f"{root}of"), F.col("root").alias(root))
+    small_batches(docs.sparkSession)
+    rows = docs.mapInArrow(_with_prints(docs.columns.index(text), mine), StructType([*docs.schema.fields, StructField(mine, LongType())]))
+    rows = rows.join(roots, F.col(mine) == F.col(f"{root}of"), "left").withColumn(root, F.coalesce(root, mine))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    order = F.struct(F.col(f"`{key}`").isNull(), F.col(f"`{key}`"), F.col(f"`{text}`"), F.xxhash64(*plain))
+    return rows.groupBy(root).agg(F.min_by(F.struct(*columns), order).alias(all_of)).select(f"{all_of}.*")

@@ -295,6 +295,17 @@ def test_keep_one(docs, clashing, empty):
     assert simhash.keep_one(empty).collect() == []
 
 
+def test_keep_one_keeps_every_component(spark):
+    """Whatever the ids: null ones, and one that unlinked texts share."""
+    rng = np.random.default_rng(21)
+    text = [" ".join(rng.choice([f"k{i}" for i in range(900)], 60)) for _ in range(9)]
+    made = [(None, t) for t in text[:4]] + [(7, t) for t in text[4:7]] + [(None, text[0]), (None, text[7]), (3, text[7]), (9, text[8]), (7, text[8]), (7, text[8])]
+    assert all(bits(plain_print(a), plain_print(b)) > 3 for i, a in enumerate(text) for b in text[:i])
+    got = simhash.keep_one(spark.createDataFrame(made, "doc_id bigint, text string")).collect()
+    want = [(None, t) for t in text[:4]] + [(7, t) for t in text[4:7]] + [(3, text[7]), (7, text[8])]
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(want)
+
+
 @pytest.mark.parametrize("pairwise", [6000, 5])
 def test_links_keep_every_component(spark, monkeypatch, pairwise):
     rng = np.random.default_rng(1)
