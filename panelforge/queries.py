@@ -437,7 +437,7 @@ def loglik_grid(spark, sf):
 def fit_regions(spark, sf):
     dense = _dense_by_region(spark, sf)
     start = models.params_df(spark, {"start": realistic(3, 1)}).drop("param_id")
-    fits = models.fit_df(dense, dense.select("run_id").distinct().crossJoin(start), max_steps=3)
+    fits = models.fit_df(dense, dense.select("run_id").distinct().crossJoin(start), max_steps=500)
     return fits.select("fit_id", "filter_type", "optimizer_name", "success", "result_code", "final_loss", "steps", F.col("final_params.mu").alias("mu"))
 
 

@@ -41,3 +41,17 @@ def test_entry_without_the_training_data_package(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and not any(n.startswith('op') for n in q), q; print(len(e.oracle_sql()))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
     assert done.returncode == 0, done.stderr
+
+
+def test_fits_may_run_until_they_converge(monkeypatch):
+    from types import SimpleNamespace
+    from unittest.mock import MagicMock
+
+    from panelforge import queries
+
+    asked = {}
+    monkeypatch.setattr(queries, "models", SimpleNamespace(params_df=MagicMock(), fit_df=lambda *a, **k: asked.update(k) or MagicMock()))
+    monkeypatch.setattr(queries, "_dense_by_region", MagicMock())
+    monkeypatch.setattr(queries, "F", MagicMock())
+    queries.QUERIES["fit_regions"](None, "")
+    assert asked["max_steps"] >= 500  # the reference's limit for a whole estimation
