@@ -1,20 +1,30 @@
 """Token counts by a compiled finite-state transducer.
 
-In the vocabulary no piece has a word mark (the escaped space) after another character, so no merge crosses from one
-segment (word marks, then other characters up to the next mark) to the next. The tokenizer is thus a deterministic
-transducer that returns to its start state at each segment's end and emits there the count of that segment's tokens. Its
-transitions are compiled as segments are met, and each is annotated with the count that the library gives that segment
-alone; `check_boundaries` refuses a vocabulary for which that would be wrong.
-
-A chunk of text acts on the transducer as a state map: what it adds to the open segment on its left, how many tokens its
-inner segments emit, and the open segment it leaves on its right. Maps compose associatively, so a long text is cut
-anywhere, its chunks are mapped independently, and the maps are composed pairwise in a parallel prefix scan.
+The tokenizer merges the adjacent pair with the best score, leftmost first, until no pair makes a piece. Two facts turn that
+into a machine that reads characters from left to right:
+
+- A sequence of pieces is a text's encoding exactly if each two neighbours, encoded on their own, stay as they are: the
+  first merge across a border would happen in those two pieces alone just as well. So the last piece of each prefix is the
+  one piece that ends there and stays apart from the last piece of the prefix before it.
+- No merge crosses two characters that stand side by side in no piece. Such a place, a word's start for one, is a boundary:
+  the machine is in its start state there whatever came before.
+
+A state thus holds, for each earlier place from which a piece may still grow, the characters read since, the last piece of
+the prefix up to there, and its count relative to now. A transition on a character is annotated with the number of tokens
+that it emits, the difference of the prefixes' counts (which may be negative where pieces merge). States and transitions are
+compiled from the vocabulary's pieces and scores when they are first met; the library encodes nothing.
+
+A chunk of text acts on the machine as a state map: run its head, up to the first boundary, from whatever state it is
+entered in; after that, emit a count and leave in a state that don't depend on the entry. Maps compose associatively, so
+every text is cut into chunks of CHUNK characters, the chunks are mapped independently, and the maps are composed by a tree
+scan: neighbours within a task first, up to FAN of them, then the rows that remain of a text after a shuffle.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +33,9 @@ from .common import bare
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
-CHUNK = 1 << 16  #: characters
-COMPILED = 300_000  #: transitions kept; beyond that the table is compiled anew
-COMPILED_CHARS = 10_000_000
+CHUNK = 4096  #: characters
+FAN = 256  #: chunks of a text that are composed before the shuffle
+COMPILED = 200_000  #: states or pairs kept; beyond that they are compiled anew
 MARK = "▁"
 
 
@@ -35,100 +45,133 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
-def check_boundaries(processor) -> None:
-    """Refuses a vocabulary that has a piece with a mark after another character."""
-    if processor.piece_to_id(MARK) == processor.unk_id():
-        raise ValueError("a lone mark is no piece")
-    for i in range(processor.get_piece_size()):
-        if MARK in processor.id_to_piece(i).lstrip(MARK):
-            raise ValueError(f"piece {i} crosses a segment's boundary")
+class Vocabulary:
+    """What the machine is compiled from: pieces and scores, read from the model's file."""
+
+    def __init__(self, path: str) -> None:
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        odd = (model.is_byte, model.is_control, model.is_unknown, model.is_unused)
+        plain = [i for i in range(model.get_piece_size()) if not any(f(i) for f in odd)]
+        self.score = {model.id_to_piece(i): model.get_score(i) for i in plain}
+        merged = [p for p in self.score if len(p) > 1]
+        #: character pairs that a merge can cross
+        self.side_by_side = {p[i : i + 2] for p in merged for i in range(len(p) - 1)}
+        #: strings from which a longer piece may grow
+        self.growing = {p[:i] for p in merged for i in range(1, len(p))}
+        #: pieces that their own merges reach
+        self.reached = {p for p in self.score if self.merges(p) == [p]}
+
+    def merges(self, text: str) -> list[str]:
+        """A short string encoded as the tokenizer does it: merge by merge."""
+        parts = list(text)
+        while True:
+            able = [(-self.score[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.score]
+            if not able:
+                return parts
+            i = min(able)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+class State(dict):
+    """Transitions: a character to (next state, tokens emitted). live: (grown, last, count) for each place a piece may grow
+    from, the nearest one last: the characters read since, the piece that ends there, and its count relative to now."""
+
+    __slots__ = ("live",)
+
+    def __init__(self, live: tuple = ()) -> None:
+        self.live = live
 
 
 @dataclass(frozen=True)
 class ChunkMap:
-    """How a chunk acts: without a boundary, `left` is all of it and `right` is None; else left closes the segment that is
-    open before it, `count` tokens are emitted inside, and right stays open."""
+    """How a chunk acts: from its entry state it runs `head`. Without a boundary (exit is None) that is all; else the
+    boundary follows, `count` tokens are emitted and `exit`, a state's live places, is where it leaves."""
 
-    left: str
+    head: str
     count: int = 0
-    right: str | None = None
+    exit: tuple | None = None
 
 
-@dataclass
 class Transducer:
     """The compiled tokenizer of one worker."""
 
-    path: str
-    table: dict[str, int] = field(default_factory=lambda: {"": 1})  #: a lone mark is one piece; the library can't be asked
-    chars: int = 0
-
-    def __post_init__(self) -> None:
-        import sentencepiece
-
-        self.processor = sentencepiece.SentencePieceProcessor(model_file=self.path)
-        check_boundaries(self.processor)
-
-    def compile(self, segments: set[str]) -> None:
-        """Adds the transitions of segments that lack them, given without their first mark, in one call of the library,
-        which puts a mark before each text. The table begins anew where it would outgrow its bounds."""
-        todo = list(segments.difference(self.table))
-        chars = sum(map(len, todo))
-        if len(self.table) + len(todo) > COMPILED or self.chars + chars > COMPILED_CHARS:
-            self.table = {"": 1}
-            todo = list(segments.difference(self.table))
-            self.chars, chars = 0, sum(map(len, todo))
-        self.chars += chars
-        self.table.update(zip(todo, map(len, self.processor.encode(todo, num_threads=1))))
-
-    def emit(self, segment: str) -> int:
-        """Tokens emitted at the end of a segment."""
-        got = self.table.get(segment[1:])
-        return len(self.processor.encode(segment[1:], num_threads=1)) if got is None else got
+    def __init__(self, path: str) -> None:
+        self.words = Vocabulary(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.start = State()
+        self.states, self.apart = {(): self.start}, {}
+
+    def state(self, live: tuple) -> State:
+        found = self.states.get(live)
+        if found is None:
+            found = self.states[live] = State(live)
+        return found
+
+    def _stay_apart(self, a: str, b: str) -> bool:
+        """Whether two pieces side by side stay as they are."""
+        found = self.apart.get((a, b))
+        if found is None:
+            found = self.apart[a, b] = self.words.merges(a + b) == [a, b]
+        return found
+
+    def compile(self, state: State, c: str) -> tuple[State, int]:
+        """Adds state's transition on c."""
+        words, live = self.words, state.live
+        if c not in words.score:  # unknown: its bytes are tokens, and nothing merges with it
+            state[c] = self.start, len(c.encode())
+            return state[c]
+        if not live or live[-1][1][-1] + c not in words.side_by_side:
+            live = (("", "", 0),)
+        grown, last, count = [], None, 0
+        for since, before, n in live:
+            string = since + c
+            if last is None and string in words.reached and (not before or self._stay_apart(before, string)):
+                last, count = string, n + 1
+            if string in words.growing:
+                grown.append((string, before, n))
+        state[c] = self.state((*[(s, b, n - count) for s, b, n in grown], ("", last, 0))), count
+        return state[c]
+
+    def run(self, state: State, text: str) -> tuple[State, int]:
+        """The state after text, and the tokens emitted."""
+        total = 0
+        for c in text:
+            try:
+                state, n = state[c]
+            except KeyError:
+                state, n = self.compile(state, c)
+            total += n
+        if len(self.states) > COMPILED or len(self.apart) > COMPILED:
+            self._forget()
+            state = self.state(state.live)
+        return state, total
+
+    def boundary(self, a: str, b: str) -> bool:
+        """Whether no merge crosses from character a to b."""
+        return a + b not in self.words.side_by_side
 
     def map(self, chunk: str) -> ChunkMap:
-        """The state map of a chunk, marks escaped."""
-        parts = chunk.split(MARK)
-        if len(parts) == 1:
+        """The state map of a chunk."""
+        pairs, score = self.words.side_by_side, self.words.score
+        first = next((i for i in range(len(chunk)) if chunk[i] not in score or i and chunk[i - 1 : i + 1] not in pairs), None)
+        if first is None:
             return ChunkMap(chunk)
-        head, *rest = parts
-        # a run of marks opens one segment: its empty parts join what follows
-        segments, marks = [], ""
-        for x in rest:
-            marks += MARK
-            if x:
-                segments.append(marks + x)
-                marks = ""
-        if marks:
-            segments.append(marks)
-        # the first segment has boundary on its left only if something precedes its marks here
-        return ChunkMap(head, 0, None) if not segments else self._closed(head, segments)
-
-    def _closed(self, head: str, segments: list[str]) -> ChunkMap:
-        *inner, last = segments
-        if not head:  # marks at the chunk's start may continue a run of marks before it
-            if not inner:
-                return ChunkMap(last)
-            head, *inner = inner
-        return ChunkMap(head, sum(map(self.emit, inner)), last)
+        state, count = self.run(self.start, chunk[first:])
+        return ChunkMap(chunk[:first], count, state.live)
 
     def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
         """First a, then b."""
-        if a.right is None and b.right is None:
-            return self._joined(a.left, b.left)
-        if a.right is None:
-            seam = self._joined(a.left, b.left)
-            return ChunkMap(seam.left, b.count, b.right) if seam.right is None else ChunkMap(seam.left, seam.count + self.emit(seam.right) + b.count, b.right)
-        seam = self._joined(a.right, b.left)
-        if seam.right is not None:
-            middle, right = a.count + self.emit(seam.left) + seam.count, seam.right
-        else:
-            middle, right = a.count, seam.left
-        return ChunkMap(a.left, middle, right) if b.right is None else ChunkMap(a.left, middle + self.emit(right) + b.count, b.right)
-
-    @staticmethod
-    def _joined(a: str, b: str) -> ChunkMap:
-        """Two open strings: there is a boundary between them if a has a character that isn't a mark and b begins with one."""
-        return ChunkMap(a, 0, b) if b[:1] == MARK and a.strip(MARK) else ChunkMap(a + b)
+        if a.exit is None:
+            if a.head and b.head and self.boundary(a.head[-1], b.head[0]):
+                a = ChunkMap(a.head, 0, ())
+            else:
+                return ChunkMap(a.head + b.head, b.count, b.exit)
+        state, n = self.run(self.state(a.exit), b.head)
+        return ChunkMap(a.head, a.count + n + b.count, state.live if b.exit is None else b.exit)
 
     def scan(self, maps: list[ChunkMap]) -> ChunkMap:
         """All maps composed, pair by pair: log2 rounds."""
@@ -136,47 +179,101 @@ class Transducer:
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
         return maps[0]
 
+    def applied(self, whole: ChunkMap) -> int:
+        """Tokens emitted from the start state on."""
+        return self.run(self.start, whole.head)[1] + whole.count
+
     def count(self, text: str, chunk: int = CHUNK) -> int:
         """Tokens of a whole text."""
-        if not text:
-            return 0
-        whole = MARK + text.replace(" ", MARK)
-        done = self.scan([self.map(whole[i : i + chunk]) for i in range(0, len(whole), chunk)])
-        return (self.emit(done.left) if done.left else 0) + done.count + (self.emit(done.right) if done.right else 0)
-
-    def counts(self, texts: list[str | None]) -> list[int]:
-        """Tokens of each text. What isn't compiled yet of the shorter ones is compiled in one call."""
-        split = [t.replace(MARK, " ").split(" ") if t and len(t) <= CHUNK else None for t in texts]
-        self.compile(set().union(*[s for s in split if s is not None]))
-        out = []
-        for t, s in zip(texts, split):
-            if s is None or "" in s:  # a long text or runs of marks
-                out.append(self.count(t) if t else 0)
-            else:
-                out.append(sum(map(self.table.__getitem__, s)))
-        return out
+        marked = escaped(text)
+        return self.applied(self.scan([self.map(marked[i : i + chunk]) for i in range(0, len(marked), chunk)])) if text else 0
+
 
+def escaped(text: str) -> str:
+    """A text as the machine reads it: spaces as marks, and one before the first character."""
+    return MARK + text.replace(" ", MARK) if text else ""
+
+
+MAP = "n_bytes bigint, digest bigint, part int, copies bigint, head string, count bigint, exit string"
+
+
+def _mapped(path: str, chunk: int, fan: int):
+    """Texts to rows of state maps, one for every `fan` chunks, equal rows of a batch once."""
 
-def _counted(path: str):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from xxhash import xxh3_64_intdigest
 
         machine = Transducer(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            counts = [n for i in range(0, len(texts), 500) for n in machine.counts(texts[i : i + 500])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            copies: dict[tuple, int] = {}
+            for at in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                copies[at] = copies.get(at, 0) + 1
+            rows = []
+            for (doc, text), n in copies.items():
+                raw, marked = (text or "").encode(), escaped(text or "")
+                digest = xxh3_64_intdigest(raw) - (1 << 63)
+                for part, at in enumerate(range(0, max(1, len(marked)), chunk * fan)):
+                    block = marked[at : at + chunk * fan]
+                    m = machine.scan([machine.map(block[i : i + chunk]) for i in range(0, max(1, len(block)), chunk)])
+                    rows.append((doc, len(raw), digest, part, n, m.head, m.count, None if m.exit is None else json.dumps(m.exit)))
+            columns = zip(*rows) if rows else [[]] * 8
+            kinds = (batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string())
+            names = ["doc_id", "n_bytes", "digest", "part", "copies", "head", "count", "exit"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    return run
+
+
+def _composed(path: str):
+    """Rows of maps, those of a text together and in order, to the counts of texts. Only one text's maps are held."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        machine, key, maps, copies, last = Transducer(path), None, [], 0, -1
+        for batch in batches:
+            out = []
+            for doc, size, digest, part, n, head, count, exit_ in zip(*[c.to_pylist() for c in batch.columns]):
+                if (doc, size, digest) != key:
+                    if maps:
+                        out.append((*key[:2], machine.applied(machine.scan(maps)), copies))
+                    key, maps, copies, last = (doc, size, digest), [], 0, -1
+                if part == 0:
+                    copies += n
+                if part != last:  # the same text again has the same map
+                    left = None if exit_ is None else tuple(map(tuple, json.loads(exit_)))
+                    maps.append(ChunkMap(head, count, left))
+                    last = part
+            yield _counts(out, batch.schema.field("doc_id").type)
+            kind = batch.schema.field("doc_id").type
+        if maps:
+            yield _counts([(*key[:2], machine.applied(machine.scan(maps)), copies)], kind)
+
+    def _counts(rows: list, kind):
+        import pyarrow as pa
+
+        columns = zip(*rows) if rows else [[]] * 4
+        arrays = [pa.array(c, k) for c, k in zip(columns, (kind, pa.int64(), pa.int64(), pa.int64()))]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_tokens", "copies"])
 
     return run
 
 
-def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
+def token_counts(
+    docs: DataFrame, path: str | None = None, limit: int = LIMIT, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, fan: int = FAN
+) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit): one row for each row of docs, whole texts.
 
     path: the model's file, readable on every executor. Null and empty texts have no bytes and no tokens. Repeated rows
-    each get a row; an empty table gives none. Columns other than key and text are not read.
+    are counted where they are read, composed once, and each get a row; an empty table gives none. Columns other than key
+    and text are not read. Only maps cross the network, about a hundred bytes for a million characters or less.
     """
-    source = bare(docs, doc_id=key, text=text).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    at, source = path or model_path(), bare(docs, doc_id=key, text=text)
     kind = source.schema["doc_id"].dataType.simpleString()
-    rows = source.mapInArrow(_counted(path or model_path()), f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
-    return rows.withColumn("over_limit", F.col("n_tokens") > limit)
+    maps = source.mapInArrow(_mapped(at, chunk, fan), f"doc_id {kind}, {MAP}")
+    own = ("doc_id", "n_bytes", "digest")
+    rows = maps.repartition(*own).sortWithinPartitions(*own, "part")
+    found = rows.mapInArrow(_composed(at), f"doc_id {kind}, n_bytes bigint, n_tokens bigint, copies bigint")
+    each = F.explode(F.sequence(F.lit(1).cast("long"), "copies"))
+    return found.withColumn("copies", each).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
