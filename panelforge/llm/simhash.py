@@ -3,25 +3,28 @@
 A document's fingerprint is the majority vote of the hashes of its 3-word shingles. Distinct fingerprints are linked at
 MAX_BITS or fewer differing bits, and documents take the least id that links reach.
 
-Proposing pairs: the 64 bits are cut into 6 blocks. At most 3 of them differ between linked fingerprints, so such a pair
-agrees on some 3 blocks whole: 20 keys of about 32 bits, exact at any size. Under each key the pivot table decides: the
-distances of each fingerprint to PIVOTS reference fingerprints, worked out once. By the triangle inequality linked
-fingerprints differ by at most MAX_BITS in every coordinate; pairs beyond that in the largest coordinate difference are
-discarded, and only survivors are compared bit by bit. A pivot table alone would have to face every pair, which is why
-keys come first.
-
-A group under a key gives the edges of a spanning forest rather than all pairs. Groups beyond PAIRWISE look up each
-member's neighbours (all patterns of up to 3 bits outside the key) in the sorted group, so their cost is in proportion to
-their size and nothing is dropped.
+The pivot table holds the Hamming distances of each distinct fingerprint to PIVOTS reference fingerprints. It is worked out
+once, by expressions, and stays beside the fingerprint. By the triangle inequality linked fingerprints differ by MAX_BITS at
+most in every coordinate.
+
+1. Proposing: MAX_BITS differing bits leave one of MAX_BITS + 1 blocks of a fingerprint untouched. Within the fingerprints
+   that share a block, the first CELL_PIVOTS coordinates make a grid of cells MAX_BITS + 1 wide, so linked ones are in one
+   cell or in neighbouring cells. Each has a row in its own cell and visits the neighbouring cells ahead of it that its
+   distances can reach; pairs with at least one at home are proposed. Cells alone would have to face a large share of all
+   pairs of a corpus, blocks alone would leave a frequent block to one task: together no pair is lost and no key is large.
+2. Discarding: within a cell rows are in the order of a further coordinate, and a row faces those within MAX_BITS of it;
+   a pair whose largest coordinate difference is greater than MAX_BITS goes.
+3. Verifying: survivors are compared bit by bit.
+
+A cell gives the edges of a spanning forest rather than all its pairs; pairs whose ends are connected already are skipped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -31,10 +34,13 @@ from .components import components
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 3
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))  #: (lowest bit, bits)
-KEYS = tuple(combinations(range(len(BLOCKS)), len(BLOCKS) - MAX_BITS))
+BLOCKS = MAX_BITS + 1
+BLOCK_BITS = 64 // BLOCKS
 PIVOTS = 24
-PAIRWISE = 6000
+CELL_PIVOTS = 2  #: coordinates that make cells
+SIDE = 64 // (MAX_BITS + 1) + 1  #: cells of a coordinate
+ROWS = 400_000  #: of whole cells, compared together
+PAIRS = 1 << 20  #: proposed pairs held at a time
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -71,99 +77,116 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return source.mapInArrow(_prints, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp bigint")
 
 
-def pivots() -> np.ndarray:
-    """The reference fingerprints: a fixed draw."""
-    return np.random.default_rng(SEED).integers(0, 1 << 64, PIVOTS, np.uint64)
-
-
-def distance_table(values: np.ndarray) -> np.ndarray:
-    """Hamming distances of each value to each pivot: one row of PIVOTS bytes a value."""
-    return np.bitwise_count(values[:, None] ^ pivots()[None, :]).astype(np.int8)
-
-
-def _mask(blocks: tuple[int, ...]) -> int:
-    return sum(((1 << n) - 1) << low for low, n in (BLOCKS[b] for b in blocks))
-
-
-def _linked(values: np.ndarray, table: np.ndarray, i: int, rest: np.ndarray) -> np.ndarray:
-    """Of the positions rest, those linked to position i: the pivot table discards, then bits are compared."""
-    near = rest
-    for p in range(PIVOTS):  # the largest coordinate difference, one coordinate at a time while any are left
-        if len(near) < 8:
-            break
-        near = near[np.abs(table[near, p] - table[i, p]) <= MAX_BITS]
-    near = near[(np.abs(table[near] - table[i]) <= MAX_BITS).all(1)]
-    return near[np.bitwise_count(values[near] ^ values[i]) <= MAX_BITS]
-
-
-def forest(values: np.ndarray, blocks: tuple[int, ...]) -> list[tuple[int, int]]:
-    """Edges (greater, smaller) that connect the same values as all links among them do. values: distinct, sorted, uint64,
-    equal on the bits of blocks."""
-    if len(values) > PAIRWISE:
-        return _forest_by_lookup(values, blocks)
-    table, left, edges = distance_table(values), np.arange(len(values)), []
-    while len(left):  # breadth first: each value is expanded once and leaves what is still unreached
-        front, left = [left[0]], left[1:]
-        while front and len(left):
-            i = front.pop()
-            found = _linked(values, table, i, left)
-            if len(found):
-                edges += [(int(values[j]), int(values[i])) for j in found]
-                left = np.setdiff1d(left, found, assume_unique=True)
-                front.extend(found.tolist())
-    return edges
-
-
-def _forest_by_lookup(values: np.ndarray, blocks: tuple[int, ...]) -> list[tuple[int, int]]:
-    free = [np.uint64(1 << b) for b in range(64) if not _mask(blocks) >> b & 1]
-    root = np.arange(len(values))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    edges = []
-    for n in range(1, MAX_BITS + 1):
-        for bits in combinations(free, n):
-            other = values ^ np.bitwise_or.reduce(np.array(bits, np.uint64))
-            at = np.minimum(np.searchsorted(values, other), len(values) - 1)
-            for i in np.flatnonzero((values[at] == other) & (other < values)):
-                a, b = find(int(i)), find(int(at[i]))
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    edges.append((int(values[i]), int(other[i])))
+def pivots() -> list[int]:
+    """The reference fingerprints, as signed integers: a fixed draw."""
+    return np.random.default_rng(SEED).integers(0, 1 << 64, PIVOTS, np.uint64).view(np.int64).tolist()
+
+
+def distances(fp: Column) -> Column:
+    """A row of the pivot table: Hamming distances to each reference fingerprint."""
+    return F.array(*[F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("tinyint") for p in pivots()])
+
+
+def cells(fp: Column, table: Column) -> Column:
+    """array<struct<key, home>>: the cell that a fingerprint lives in and those that it visits, under each of its blocks."""
+    at = [F.get(table, F.lit(p)).cast("long") for p in range(CELL_PIVOTS)]
+    own, place = [F.floor(d / (MAX_BITS + 1)) for d in at], [d % (MAX_BITS + 1) for d in at]
+    # a step up is in reach from all places of a cell but the first, a step down from all but the last
+    reach = [{0: F.lit(True), 1: m > 0, -1: (m < MAX_BITS) & (c > 0)} for m, c in zip(place, own)]
+    ahead = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
+    made = []
+    for block in range(BLOCKS):
+        value = F.shiftrightunsigned(fp, block * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1).cast("long"))
+        for a, b in ahead:
+            key = ((F.lit(block << BLOCK_BITS) + value) * SIDE + own[0] + a) * SIDE + own[1] + b
+            made.append(F.when(reach[0][a] & reach[1][b], F.struct(key.alias("key"), F.lit((a, b) == (0, 0)).alias("home"))))
+    return F.array_compact(F.array(*made))
+
+
+def forest(key: np.ndarray, home: np.ndarray, values: np.ndarray, table: np.ndarray, tally: dict | None = None) -> list[tuple[int, int]]:
+    """Edges (greater, smaller) that connect the values as all links between rows of one key do, one of the two at home.
+    tally: counts of pairs proposed, left by the pivot table and linked are added to it."""
+    order = np.lexsort((table[:, CELL_PIVOTS], key))
+    key, home, values, table = key[order], home[order], values[order], table[order]
+    group = np.cumsum(np.r_[False, key[1:] != key[:-1]][: len(key)])
+    code = group * 256 + table[:, CELL_PIVOTS]
+    here = np.arange(len(code))
+    sizes = np.searchsorted(code, code + MAX_BITS, "right") - here - 1
+    upto = np.cumsum(sizes)
+    root, edges, a = np.arange(len(code)), [], 0
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = int(root[x])
+        return x
+
+    while a < len(code):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, "right")))
+        i = np.repeat(here[a:b], sizes[a:b])
+        j = np.arange(len(i)) - np.repeat(upto[a:b] - sizes[a:b] - (upto[a - 1] if a else 0), sizes[a:b]) + i + 1
+        a, good = b, home[i] | home[j]
+        proposed = int(good.sum())
+        good &= root[i] != root[j]
+        i, j = i[good], j[good]
+        for p in range(PIVOTS):
+            if p != CELL_PIVOTS:
+                near = np.abs(table[i, p] - table[j, p]) <= MAX_BITS
+                i, j = i[near], j[near]
+        left = len(i)
+        linked = np.bitwise_count(values[i] ^ values[j]) <= MAX_BITS
+        i, j = i[linked], j[linked]
+        if tally is not None:
+            for name, n in (("proposed", proposed), ("left", left), ("linked", len(i))):
+                tally[name] = tally.get(name, 0) + n
+        for x, y in zip(i.tolist(), j.tolist()):
+            p, q = find(x), find(y)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                edges.append((int(max(values[x], values[y])), int(min(values[x], values[y]))))
+        if len(i):
+            while (root[root] != root).any():
+                root = root[root]
     return edges
 
 
 def _edges(batches: Iterator) -> Iterator:
-    """One partition's rows (key, fp), whole groups: the forests of its groups."""
+    """Rows (key, home, fp, table) in the order of key: the forests of their cells, some ROWS at a time."""
     import pyarrow as pa
 
-    parts = [(b.column("key").to_numpy(), b.column("fp").to_numpy(zero_copy_only=False)) for b in batches]
-    keys = np.concatenate([k for k, _ in parts] or [np.zeros(0, np.int8)])
-    fps = np.concatenate([v for _, v in parts] or [np.zeros(0, np.int64)]).view(np.uint64)
-    out: list[tuple[int, int]] = []
-    for k in np.unique(keys):
-        blocks, own = KEYS[k], fps[keys == k]
-        cut = own & np.uint64(_mask(blocks))
-        order = np.lexsort((own, cut))
-        own, cut = own[order], cut[order]
-        starts = np.flatnonzero(np.r_[True, cut[1:] != cut[:-1]])
-        ends = np.r_[starts[1:], len(own)]
-        for i, j in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-            out += forest(own[i:j], blocks)
-    both = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
+    def done(parts: list) -> pa.RecordBatch:
+        found = forest(*(np.concatenate(x) for x in zip(*parts)))
+        both = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
+
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, fp = batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+        home = batch.column("home").to_numpy(zero_copy_only=False)
+        table = batch.column("table").flatten().to_numpy().reshape(-1, PIVOTS)
+        cut = int(np.searchsorted(key, key[-1]))  # the last cell may go on
+        if size + cut >= ROWS and (cut or key[0] != held[-1][0][-1]):
+            yield done([*held, (key[:cut], home[:cut], fp[:cut], table[:cut])])
+            held, size = [], 0
+            key, home, fp, table = key[cut:], home[cut:], fp[cut:], table[cut:]
+        held.append((key, home, fp, table))
+        size += len(key)
+    if held:
+        yield done(held)
+
+
+def tabled(distinct: DataFrame) -> DataFrame:
+    """distinct with the pivot table's rows: written once, and read from then on."""
+    return staged(distinct.withColumn("table", distances(F.col("fp"))), "simhash-table")
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """(u, v): edges that connect the same fingerprints as all links do. distinct: one column fp, no repeats."""
-    cut = F.array(*[F.col("fp").bitwiseAND(F.lit(np.uint64(_mask(b)).astype(np.int64).item())) for b in KEYS])
-    keyed = distinct.select("fp", F.posexplode(cut).alias("key", "cut"))
-    dealt = keyed.select(F.col("key").cast("tinyint"), "fp", "cut").repartition(width(distinct.sparkSession), "key", "cut")
-    return dealt.select("key", "fp").mapInArrow(_edges, "u bigint, v bigint")
+    """(u, v): edges that connect the same fingerprints as all links do. distinct: tabled(), no repeats."""
+    rows = distinct.select("fp", "table", F.inline(cells(F.col("fp"), F.col("table"))))
+    dealt = rows.repartition(width(distinct.sparkSession), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_edges, "u bigint, v bigint")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -174,9 +197,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     each get a row; an empty table gives none. Columns other than key and text are not read.
     """
     prints = staged(fingerprints(docs, key, text), "simhash")
-    least = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = components(links(least.select("fp")))
-    named = least.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = tabled(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(links(least))
+    named = least.drop("table").join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     of_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = named.join(of_root, "root").select("fp", "component_id")
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
@@ -207,7 +230,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     partition works out before the shuffle.
     """
     mine, root, all_of = (free_name(docs, n) for n in ("__fp", "__root", "__row"))
-    distinct = staged(bare(docs, text=text).mapInArrow(_with_prints(0), "text string, fp bigint").select("fp").distinct(), "simhash-distinct")
+    distinct = tabled(bare(docs, text=text).mapInArrow(_with_prints(0), "text string, fp bigint").select("fp").distinct())
     roots = components(links(distinct)).select(F.col("vertex").alias(f"{root}of"), F.col("root").alias(root))
     small_batches(docs.sparkSession)
     rows = docs.mapInArrow(_with_prints(docs.columns.index(text), mine), StructType([*docs.schema.fields, StructField(mine, LongType())]))

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelforge.llm import common, components, decontaminate, mixing, pii, quality_model, quality_rules, shards, simhash, suffix_dedup, token_counts
 
@@ -306,36 +307,63 @@ def test_keep_one_keeps_every_component(spark):
     assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(want)
 
 
-@pytest.mark.parametrize("pairwise", [6000, 5])
-def test_links_keep_every_component(spark, monkeypatch, pairwise):
+def made_prints():
     rng = np.random.default_rng(1)
     centres = rng.integers(0, 1 << 64, 30, np.uint64)
-    prints = {int(c) for c in centres}
+    prints = {int(c) for c in centres} | {0, (1 << 64) - 1, 1, 7, 15}
     for c in centres[:10]:
         for _ in range(25):
             c = c ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, int(rng.integers(1, 5))).astype(np.uint64))
             prints.add(int(c))
-    monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
-    values = np.array(sorted(prints), np.uint64)
-    edges = []
-    for blocks in simhash.KEYS:
-        cut = values & np.uint64(simhash._mask(blocks))
-        for k in np.unique(cut):
-            if (cut == k).sum() > 1:
-                edges += simhash.forest(values[cut == k], blocks)
-    assert all(bits(a, b) <= 3 for a, b in edges)
+    crowd = centres[20]  # thousands that differ from one in a bit or two, and from each other in up to four
+    prints |= {int(crowd) ^ 1 << i ^ 1 << j for i in range(64) for j in range(i)}
+    return np.array(sorted(prints), np.uint64)
+
+
+@pytest.mark.parametrize("rows", [400_000, 50])
+def test_links_keep_every_component(spark, monkeypatch, rows):
+    """Links by pivot cells against all pairs compared bit by bit, a large group of near copies among them."""
+    values = made_prints()
+    monkeypatch.setattr(simhash, "ROWS", rows)
+    d = spark.createDataFrame([(v,) for v in values.view(np.int64).tolist()], "fp bigint")
+    pairs = simhash.tabled(d).select("fp", "table", F.inline(simhash.cells(F.col("fp"), F.col("table")))).orderBy("key")
+    batches = pairs.select("key", "home", "fp", "table").toArrow().to_batches(max_chunksize=200)
+    edges = {(a % (1 << 64), b % (1 << 64)) for out in simhash._edges(iter(batches)) for a, b in zip(*[c.to_pylist() for c in out.columns])}
+    assert {(r["u"] % (1 << 64), r["v"] % (1 << 64)) for r in simhash.links(simhash.tabled(d)).collect()} and all(bits(a, b) <= 3 for a, b in edges)
     root = {int(v): int(v) for v in values}
+
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
+
     for a, b in edges:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    want = plain_components([(p, p) for p in root])
+    want, seen = {}, np.zeros(len(values), bool)
+    for i in range(len(values)):  # breadth first over every linked pair
+        front = [i] if not seen[i] else []
+        seen[i] = True
+        while front:
+            at = front.pop()
+            want[int(values[at])] = int(values[i])
+            near = np.flatnonzero((np.bitwise_count(values ^ values[at]) <= 3) & ~seen)
+            seen[near] = True
+            front += near.tolist()
     assert {p: find(p) for p in root} == want
 
 
+def test_the_pivot_table_discards_nearly_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    values = np.unique(rng.integers(0, 1 << 64, 20_000, np.uint64))
+    d = spark.createDataFrame([(v,) for v in values.view(np.int64).tolist()], "fp bigint")
+    got = simhash.tabled(d).select("fp", "table", F.inline(simhash.cells(F.col("fp"), F.col("table")))).toArrow()
+    tally = {}
+    table = np.array(got.column("table").combine_chunks().flatten()).reshape(-1, simhash.PIVOTS)
+    simhash.forest(got.column("key").to_numpy(), np.array(got.column("home").combine_chunks()), got.column("fp").to_numpy().view(np.uint64), table, tally)
+    assert tally["proposed"] > 500 and tally["left"] < tally["proposed"] / 100
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(80)]
@@ -481,9 +509,41 @@ def test_token_counts(spark, docs, clashing, empty):
 
 @pytest.mark.parametrize("chunk", [1, 2, 3, 7, 50])
 def test_chunk_maps_compose(chunk):
+    import sentencepiece
+
     t = token_counts.Transducer(token_counts.model_path())
-    for x in ("a  b   c", "   ", "  x", "x  ", "▁a▁", "the quick brown fox", "x" * 30, " a" * 40):
-        assert t.count(x, chunk) == len(t.processor.encode(x))
+    lib = sentencepiece.SentencePieceProcessor(model_file=token_counts.model_path())
+    for x in ("a  b   c", "   ", "  x", "x  ", "▁a▁", "the quick brown fox", "x" * 30, " a" * 40, "日本語 text 日", "aaaaaaaaaaaaaaaab" * 9, "=====----====", "Ñandú's naïve—café"):
+        assert t.count(x, chunk) == len(lib.encode(x)), x
+
+
+def test_transitions_emit_counts_of_prefixes():
+    """What the transitions up to a place emitted is the library's count of that prefix; also with a table that overflows."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=token_counts.model_path())
+    t = token_counts.Transducer(token_counts.model_path())
+    text = "Internationalization of unbelievable things, incl. naïve ones: aaaaaaa 12345"
+    state, total = t.run(t.start, "▁")
+    for i, c in enumerate(text):
+        state, n = t.run(state, token_counts.escaped(c)[1:])
+        total += n
+        assert total == len(lib.encode(text[: i + 1])), text[: i + 1]
+
+
+@pytest.mark.parametrize("chunk, fan, compiled", [(64, 1, 200_000), (64, 3, 200_000), (50, 2, 300), (4096, 256, 200_000)])
+def test_whole_tables_count_like_the_library(spark, sf, monkeypatch, chunk, fan, compiled):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=token_counts.model_path())
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    if compiled < 1000:
+        d = d.limit(30)
+    d = d.persist()
+    monkeypatch.setattr(token_counts, "COMPILED", compiled)
+    want = Counter((i, len(lib.encode(t or ""))) for i, t in texts(d))
+    got = token_counts.token_counts(d.union(d.limit(5)), chunk=chunk, fan=fan).collect()
+    assert Counter({(r["doc_id"], r["n_tokens"]): 1 for r in got}) == want and len(got) == sum(want.values()) + 5
 
 
 # --- 10: decontamination ---
