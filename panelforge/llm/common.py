@@ -18,19 +18,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by the session; a local one only where none is set."""
+    """The folder that driver and executors share, named by the session. Where none is set, a local session gets one of its
+    own; a cluster's is refused, as its executors couldn't read what the driver's machine holds."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="panelforge-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _on_storage(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: lost executors don't lose it, and its plan is cut."""
-    path = f"{shared_dir(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
+    """df written to the shared folder and read back: lost executors don't lose it, and its plan is cut.
+
+    Results are lazy and may read a staged table until the session's end, so tables go when the driver's JVM exits; those
+    that a loop has superseded go at once by `dropped`.
+    """
+    spark = df.sparkSession
+    run = f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}"
+    path = f"{run}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    files, at = _on_storage(spark, run)
+    files.deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a staged table that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        files, at = _on_storage(df.sparkSession, path)
+        files.delete(at, True)
 
 
 def width(spark: SparkSession) -> int:

@@ -1,6 +1,6 @@
 """Connected components over an edge table by alternating large-star and small-star steps.
 
-Each step is an aggregate and a join on DataFrames; nothing is collected but a row count and a checksum. A vertex with
+Each step is an aggregate and a join on DataFrames; nothing is collected but a row count and two checksums of 64 bits. A vertex with
 very many edges is a skewed join key, which adaptive execution splits; the minimum is combined before its shuffle.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import dropped, staged
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,12 +34,15 @@ def components(edges: DataFrame) -> DataFrame:
     give no rows.
     """
     now = staged(edges.select("u", "v").filter("u != v").distinct(), "edges")
-    mark = None
+    hashed, mark = F.xxhash64("u", "v"), None
     while True:
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h")).first()
-        if not seen["n"] or (seen["n"], seen["h"]) == mark:
+        sums = (F.count("*").alias("n"), F.sum(hashed.cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64(hashed)).alias("xor"))
+        seen = tuple(now.agg(*sums).first())
+        if not seen[0] or seen == mark:
             break
-        mark = (seen["n"], seen["h"])
-        now = staged(_stars(_stars(now, True), False), "stars")
+        mark, half = seen, staged(_stars(now, True), "stars")
+        dropped(now)
+        now = staged(_stars(half, False), "stars")
+        dropped(half)
     roots = now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "vertex")
     return roots.union(now.select(F.col("v").alias("vertex"), F.col("v").alias("root")).distinct())
