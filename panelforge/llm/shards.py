@@ -7,6 +7,7 @@ table. Building or rebalancing a map edits that map and never rehashes a record.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import json
 from dataclasses import dataclass, field
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 SLOTS = 8192
+TOGETHER = 10  #: copies of a record that stay together
 FRAME_BYTES = 8  #: stored with each record besides its text
 
 
@@ -64,37 +66,73 @@ def rebalance(old: SlotMap, weight: dict[int, int], shards: int | None = None) -
             load[s] += weight[i]
             own[s].append((weight[i], i))
     mean = sum(weight.values()) / shards
-    for s in range(shards):  # what a shard has beyond its share becomes loose, largest slots last
-        own[s].sort()
-        while load[s] > mean and len(own[s]) > 1:
-            w, i = own[s].pop()
-            if load[s] - w < mean and not own[s]:
-                own[s].append((w, i))
-                break
-            load[s] -= w
-            loose.append((w, i))
+    for s in range(shards):  # the largest slots that fit into what a shard has beyond its share become loose
+        kept = []
+        for w, i in sorted(own[s], reverse=True):
+            if w <= load[s] - mean:
+                load[s] -= w
+                loose.append((w, i))
+            else:
+                kept.append((w, i))
+        own[s] = kept
     loose.sort(reverse=True)
     heap = [(x, s) for s, x in enumerate(load)]
     heapq.heapify(heap)
     for w, i in loose:
         x, s = heapq.heappop(heap)
         owner[i] = s
+        own[s].append((w, i))
         heapq.heappush(heap, (x + w, s))
+    load = [x for x, _ in sorted(heap, key=lambda x: x[1])]
+    _refine(owner, own, load)
     return SlotMap(old.version + 1, shards, tuple(owner), tuple(i for i, s in enumerate(owner) if s != old.owner[i]))
 
 
+def _refine(owner: list[int], own: list[list[tuple[int, int]]], load: list[int]) -> None:
+    """Moves a slot from the fullest shard to the emptiest, or exchanges two, while that brings the two closer."""
+    for _ in range(4 * len(load)):
+        high, low = load.index(max(load)), load.index(min(load))
+        gap = load[high] - load[low]
+        theirs = sorted([(0, -1), *own[low]])
+        best = (gap, None, None)
+        for w, i in own[high]:  # the slot in return that leaves the two nearest to each other
+            at = bisect.bisect_left(theirs, (w - gap / 2, -1))
+            for v, j in theirs[max(0, at - 1) : at + 1]:
+                best = min(best, (abs(gap - 2 * (w - v)), (w, i), (v, j)), key=lambda x: x[0])
+        if best[1] is None:
+            return
+        (w, i), (v, j) = best[1:]
+        own[high].remove((w, i))
+        own[low].append((w, i))
+        owner[i] = low
+        if j >= 0:
+            own[low].remove((v, j))
+            own[high].append((v, j))
+            owner[j] = high
+        load[high] += v - w
+        load[low] += w - v
+
+
 def slotted(records: DataFrame, key: str, text: str, slots: int = SLOTS) -> DataFrame:
-    """records with `__vslot` and `__size`. The slot hashes the key and the text's hash, so that a key which repeats with
-    different texts is spread; a null key or text hashes like any other value."""
+    """(doc_id, size, text_crc32, __vslot, __copies): records put into virtual slots, equal ones counted.
+
+    Equal records are counted before the shuffle, and their copies go to slots by tens, so that no row that repeats, however
+    often, makes a slot which no map can split. A slot hashes the key, the text's hash and the ten; a null key or text hashes
+    like any other value.
+    """
     content = F.col(f"`{text}`")
     size = F.coalesce(F.octet_length(content), F.lit(0)).cast("long") + FRAME_BYTES
-    slot = F.pmod(F.xxhash64(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), F.xxhash64(content)), F.lit(slots)).cast("int")
-    return records.withColumns({"__vslot": slot, "__size": size})
+    rows = records.select(F.col(f"`{key}`").alias("doc_id"), size.alias("size"), F.crc32(content).alias("text_crc32"), F.xxhash64(content).alias("__hash"))
+    counted = rows.groupBy("doc_id", "size", "text_crc32", "__hash").agg(F.count("*").alias("__n"))
+    tens = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / TOGETHER)))
+    dealt = counted.withColumn("__ten", tens).withColumn("__copies", F.least(F.lit(TOGETHER), F.col("__n") - F.col("__ten") * TOGETHER).cast("int"))
+    slot = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__hash", "__ten"), F.lit(slots)).cast("int")
+    return dealt.select("doc_id", "size", "text_crc32", slot.alias("__vslot"), "__copies")
 
 
 def slot_stats(rows: DataFrame) -> DataFrame:
     """(__vslot, rows, bytes), at most one row for each slot; combined before the shuffle."""
-    return rows.groupBy("__vslot").agg(F.count("*").alias("rows"), F.sum("__size").alias("bytes"))
+    return rows.groupBy("__vslot").agg(F.sum("__copies").alias("rows"), F.sum(F.col("__copies") * F.col("size")).alias("bytes"))
 
 
 def _lookup(values, kind: str):
@@ -102,7 +140,9 @@ def _lookup(values, kind: str):
     return F.element_at(F.from_json(F.lit(json.dumps(list(values))), f"array<{kind}>"), F.col("__vslot") + 1)
 
 
-def shard_records(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> tuple[DataFrame, SlotMap]:
+def shard_records(
+    docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", slots: int = SLOTS
+) -> tuple[DataFrame, SlotMap]:
     """Each record's shard and its place there, with sizes near equal; and the map that says so.
 
     Rows: doc_id, size, text_crc32, shard, slot, vslot, map_version. `slot` numbers a shard's records from 0 without
@@ -110,23 +150,20 @@ def shard_records(docs: DataFrame, shards: int = 24, key: str = "doc_id", text:
     virtual slots end. Null texts have crc32 null and size 8; empty ones crc32 0. Repeated rows are each placed. An
     empty table gives no rows. Other columns are left out, so their names cannot clash.
     """
-    size = F.col("__size")
-    rows = staged(
-        slotted(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "doc_id", "text", slots)
-        .select("doc_id", size.alias("size"), "__vslot", "__size", F.crc32(F.col("text")).alias("text_crc32")),
-        "slotted",
-    )
+    rows = staged(slotted(docs, key, text, slots), "slotted")
     stats = {r["__vslot"]: r for r in slot_stats(rows).collect()}  # at most `slots` rows
     at = rebalance(even_map(shards, slots), {v: r["bytes"] for v, r in stats.items()})
     begins, filled = [0] * slots, [0] * shards
     for v in range(slots):
         begins[v] = filled[at.owner[v]]
         filled[at.owner[v]] += stats[v]["rows"] if v in stats else 0
-    order = Window.partitionBy("__vslot").orderBy("doc_id", "size", "text_crc32")
-    out = rows.select(
+    order = Window.partitionBy("__vslot").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("__copies").over(order), F.lit(0))
+    each = F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias("__copy")
+    out = rows.select("*", before.alias("__before")).select("*", each).select(
         "doc_id", "size", "text_crc32",
         _lookup(at.owner, "int").alias("shard"),
-        (_lookup(begins, "bigint") + F.row_number().over(order) - 1).alias("slot"),
+        (_lookup(begins, "bigint") + F.col("__before") + F.col("__copy")).alias("slot"),
         F.col("__vslot").alias("vslot"),
         F.lit(at.version).alias("map_version"),
     )
