@@ -7,14 +7,16 @@ expressions over the ledger and never look at a text again.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import bare, small_batches, utf8
+from .common import bare, free_name, small_batches, utf8
 
 #: Measurements of a text, all counts.
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -23,7 +25,7 @@ SYMBOLS = b"#*$%&|<>"
 
 @dataclass(frozen=True)
 class Rule:
-    """Bit `bit` of the ledger is set where fails(measurements) holds; `sql` says the same of the measurements' columns."""
+    """Bit `bit` of the ledger is set where `sql`, an expression over the measurements' columns, holds."""
 
     bit: int
     name: str
@@ -87,11 +89,13 @@ def _measured(batches: Iterator) -> Iterator:
         )
 
 
-def failed_bits() -> Column:
-    """The ledger's integer, from the measurements' columns. Rules are evaluated once, side by side."""
+def failed_bits(names: dict[str, str] | None = None) -> Column:
+    """The ledger's integer, from the measurements' columns (names: what they are called). Rules are evaluated once, side by
+    side."""
     out = F.lit(0).cast("long")
     for r in RULES:
-        out = out.bitwiseOR(F.when(F.expr(r.sql), F.lit(1 << r.bit)).otherwise(0).cast("long"))
+        fails = re.sub("|".join(MEASURES), lambda m: f"`{names[m[0]]}`", r.sql) if names else r.sql
+        out = out.bitwiseOR(F.when(F.expr(fails), F.lit(1 << r.bit)).otherwise(0).cast("long"))
     return out
 
 
@@ -123,26 +127,41 @@ def ablation(rows: DataFrame, version: int = CURRENT) -> DataFrame:
     one = rows.agg(kept, *sums)
     return one.select(
         F.inline(F.array(*[
-            F.struct(F.lit(r.name).alias("rule"), F.col(f"f{r.bit}").alias("fails"), F.col(f"a{r.bit}").alias("alone"), (F.col("kept") + F.col(f"a{r.bit}")).alias("kept_without"))
+            F.struct(
+                F.lit(r.name).alias("rule"), F.col(f"f{r.bit}").alias("fails"), F.col(f"a{r.bit}").alias("alone"),
+                (F.col("kept") + F.col(f"a{r.bit}")).alias("kept_without"),
+            )
             for r in used
         ]))
     )
 
 
-def keep(docs: DataFrame, version: int = CURRENT, text: str = "text") -> DataFrame:
-    """The rows of docs that pass a policy, with all their columns. Measures and decides in one pass over the texts."""
-    mask, place = POLICIES[version], docs.columns.index(text)
-    rules = [(1 << r.bit, compile(r.sql, r.name, "eval")) for r in RULES if mask >> r.bit & 1]
+def with_ledger(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
+    """docs with the ledger's integer in one more column, and that column's name. One pass over the texts."""
+    place, names = docs.columns.index(text), {m: free_name(docs, f"__{m}") for m in MEASURES}
 
-    def kept(batches: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            seen = (dict(zip(MEASURES, measure(t))) for t in utf8(batch.column(place)))
-            yield batch.filter(pa.array([not any(eval(code, {}, m) for _, code in rules) for m in seen], pa.bool_()))
+            columns = list(zip(*map(measure, utf8(batch.column(place))))) or [[]] * len(MEASURES)
+            arrays = [*batch.columns, *[pa.array(c, pa.int64()) for c in columns]]
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, *names.values()])
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(kept, docs.schema)
+    rows = docs.mapInArrow(run, StructType([*docs.schema.fields, *[StructField(n, LongType()) for n in names.values()]]))
+    bits = free_name(docs, "__failed")
+    return rows.withColumn(bits, failed_bits(names)).drop(*names.values()), bits
+
+
+def keep(docs: DataFrame, version: int = CURRENT, text: str = "text") -> DataFrame:
+    """The rows of docs whose ledger passes a policy, with all their columns.
+
+    A null or empty text has no words and fails the rule of few words. Repeated rows are judged alike and all stay or go; an
+    empty table gives none. Columns may have any names, null values in others don't matter.
+    """
+    rows, bits = with_ledger(docs, text)
+    return rows.filter(F.col(bits).bitwiseAND(F.lit(POLICIES[version]).cast("long")) == 0).drop(bits)
 
 
 #: The same columns in DuckDB.
