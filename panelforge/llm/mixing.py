@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, free_name, staged
+from .common import WORD, bare, free_name, staged
 
 BLOCKS = 1024
 REPEATS = 2.0  #: no source is read more often than this
@@ -39,7 +39,8 @@ def _tokens(text: str):
 
 def _block(key: str, text: str, blocks: int, seed: int):
     """The block of a record: the hash of its id and text. A null of either hashes like any other value."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), F.xxhash64(F.col(f"`{text}`"))), F.lit(blocks)).cast("int")
+    whose = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
+    return F.pmod(F.xxhash64(F.lit(seed), whose, F.xxhash64(F.col(f"`{text}`"))), F.lit(blocks)).cast("int")
 
 
 def fit(sources: DataFrame, repeats: float = REPEATS, entropy: float = ENTROPY) -> Mixture:
@@ -51,7 +52,8 @@ def fit(sources: DataFrame, repeats: float = REPEATS, entropy: float = ENTROPY)
     with the lowest repetition once in full. Sources without tokens take no part; none at all give exponent 1.
     """
     sources = sources.filter("tokens > 0")
-    all_ = sources.agg(F.sum("tokens").alias("t"), F.count("*").alias("n"), F.max("tokens").alias("most"), F.min("tokens").alias("least")).first()
+    sums = (F.sum("tokens").alias("t"), F.count("*").alias("n"), F.max("tokens").alias("most"), F.min("tokens").alias("least"))
+    all_ = sources.agg(*sums).first()
     if not all_["n"]:
         return Mixture(1.0, 0.0, 0.0)
     total, ratio = float(all_["t"]), all_["most"] / all_["least"]
@@ -85,10 +87,10 @@ def blocked(docs: DataFrame, key: str, source: str, text: str, blocks: int, seed
     return docs.withColumns({"__source": F.col(f"`{source}`"), "__tokens": _tokens(text), "__block": _block(key, text, blocks, seed)})
 
 
-def schedule(stats: DataFrame, mixture: Mixture, seed: int) -> DataFrame:
+def schedule(stats: DataFrame, mixture: Mixture, seed: int, blocks: int = BLOCKS) -> DataFrame:
     """(__source, __block, __epoch, __place): which blocks are read in which epoch, and where in the source's stream.
 
-    stats: (__source, __block, tokens): at most BLOCKS rows a source. Every epoch before the last is whole. The last one
+    stats: (__source, __block, tokens): at most `blocks` rows a source. Every epoch before the last is whole. The last one
     takes blocks, in the epoch's own order, while their middle lies within what is left of the budget, so a source misses
     its budget by half a block at most. A source without tokens is read once.
     """
@@ -96,7 +98,8 @@ def schedule(stats: DataFrame, mixture: Mixture, seed: int) -> DataFrame:
     own = F.sum("tokens").over(whole)
     total = stats.agg(F.sum("tokens")).first()[0] or 0
     weight = F.pow(own / F.lit(float(max(total, 1))), F.lit(mixture.alpha))
-    norm = stats.groupBy("__source").agg(F.sum("tokens").alias("t")).filter("t > 0").agg(F.sum(F.pow(F.col("t") / F.lit(float(max(total, 1))), F.lit(mixture.alpha)))).first()[0] or 1.0
+    powered = F.sum(F.pow(F.col("t") / F.lit(float(max(total, 1))), F.lit(mixture.alpha)))
+    norm = stats.groupBy("__source").agg(F.sum("tokens").alias("t")).filter("t > 0").agg(powered).first()[0] or 1.0
     reads = F.when(own > 0, F.round(F.lit(mixture.budget) * weight / F.lit(norm) / own, 9)).otherwise(1.0)
     dealt = stats.select("*", own.alias("own"), reads.alias("reads")).select(
         "*", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("reads").cast("int") - 1, F.lit(0)))).alias("__epoch")
@@ -106,7 +109,7 @@ def schedule(stats: DataFrame, mixture: Mixture, seed: int) -> DataFrame:
     dealt = dealt.select("*", F.sum("tokens").over(turn).alias("run"), F.row_number().over(turn).alias("nth"))
     left = (F.col("reads") - F.col("__epoch")) * F.col("own")
     return dealt.filter((left >= F.col("own")) | (F.col("run") - F.col("tokens") / 2 <= left)).select(
-        "__source", "__block", "__epoch", (F.col("__epoch") * BLOCKS + F.col("nth") - 1).alias("__place")
+        "__source", "__block", "__epoch", (F.col("__epoch") * blocks + F.col("nth") - 1).alias("__place")
     )
 
 
@@ -114,30 +117,43 @@ def _planned(docs, key, source, text, repeats, entropy, blocks, seed):
     rows = blocked(docs, key, source, text, blocks, seed)
     stats = staged(rows.groupBy("__source", "__block").agg(F.sum("__tokens").alias("tokens"), F.count("*").alias("rows")), "mix-blocks")
     mixture = fit(stats.groupBy("__source").agg(F.sum("tokens").alias("tokens")), repeats, entropy)
-    return rows, schedule(stats, mixture, seed), mixture
+    return rows, schedule(stats, mixture, seed, blocks), mixture
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", repeats: float = REPEATS, entropy: float = ENTROPY, blocks: int = BLOCKS, seed: int = 0) -> tuple[DataFrame, Mixture]:
+def mix(
+    docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
+    repeats: float = REPEATS, entropy: float = ENTROPY, blocks: int = BLOCKS, seed: int = 0,
+) -> tuple[DataFrame, Mixture]:
     """(doc_id, source, tokens, epoch, block, place) for every reading of a document in the mixture; and the mixture.
 
     `place` orders a source's blocks over its epochs. Each document is read at least once, as the budget reads the source
     that is down-weighted most in full. Null sources are one source; null and empty texts have no tokens and follow their
     block. Repeated rows are each read; an empty table gives none. Other columns are left out.
     """
-    slim = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"))
+    slim = bare(docs, doc_id=key, source=source, text=text)
     rows, plan, mixture = _planned(slim, "doc_id", "source", "text", repeats, entropy, blocks, seed)
     rows = rows.select("doc_id", "source", "__tokens", "__source", "__block")
     plan = plan.withColumnsRenamed({"__source": "s", "__block": "b"})
     read = rows.join(plan, rows["__source"].eqNullSafe(plan["s"]) & (rows["__block"] == plan["b"]))
-    return read.select("doc_id", "source", F.col("__tokens").alias("tokens"), F.col("__epoch").alias("epoch"), F.col("__block").alias("block"), F.col("__place").alias("place")), mixture
+    renamed = {"__tokens": "tokens", "__epoch": "epoch", "__block": "block", "__place": "place"}
+    return read.select("doc_id", "source", *renamed).withColumnsRenamed(renamed), mixture
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", repeats: float = REPEATS, entropy: float = ENTROPY, blocks: int = BLOCKS, seed: int = 0) -> DataFrame:
-    """The mixture itself: docs' rows with all their columns, each as often as it is read."""
-    _, plan, _ = _planned(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text")), "doc_id", "source", "text", repeats, entropy, blocks, seed)
+def mixed(
+    docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
+    repeats: float = REPEATS, entropy: float = ENTROPY, blocks: int = BLOCKS, seed: int = 0,
+) -> DataFrame:
+    """The mixture itself: docs' rows with all their columns, each as often as it is read, once at least.
+
+    Null sources are one source; null and empty texts have no tokens and follow their block; a source without tokens is read
+    once. Repeated rows are each read as often as the others of their block. An empty table gives no rows. Columns may have
+    any names.
+    """
+    _, plan, _ = _planned(bare(docs, doc_id=key, source=source, text=text), "doc_id", "source", "text", repeats, entropy, blocks, seed)
     times = plan.groupBy("__source", "__block").agg(F.count("*").cast("int").alias("__times"))
     s, b, n = free_name(docs, "__s"), free_name(docs, "__b"), free_name(docs, "__n")
     times = times.select(F.col("__source").alias(s), F.col("__block").alias(b), F.col("__times").alias(n))
     at = free_name(docs, "__at")
-    read = docs.withColumn(at, _block(key, text, blocks, seed)).join(times, F.col(f"`{source}`").eqNullSafe(F.col(s)) & (F.col(at) == F.col(b)))
+    same = F.col(f"`{source}`").eqNullSafe(F.col(s)) & (F.col(at) == F.col(b))
+    read = docs.withColumn(at, _block(key, text, blocks, seed)).join(times, same)
     return read.withColumn(at, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns])
