@@ -71,25 +71,52 @@ def name_of(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), F.concat(F.regexp_extract(url, r"(?s)^(.*?://)", 1), host_of(url), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path from the root with its . and .. segments applied."""
+    parts = F.split(F.substring(path, 2, 1 << 30), "/", -1)
+    last = F.element_at(parts, -1)
+    empty = F.array().cast("array<string>")
+
+    def step(done: Column, x: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(x == "..", up).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+
+    walked = F.concat(F.aggregate(parts, empty, step), F.when(last.isin(".", ".."), F.array(F.lit(""))).otherwise(empty))
+    return F.when(F.concat(path, F.lit("/")).rlike(r"/\.\.?/"), F.concat(F.lit("/"), F.array_join(walked, "/"))).otherwise(path)
+
+
 def resolved(base: Column, target: Column) -> Column:
-    """A link's target as a whole url: absolute, with the scheme left out, or from the host's root. Others are null."""
+    """A link's target as a whole url, by the rules for references: absolute where it begins with a scheme, else relative to
+    base's scheme, host, path or query. Null where base has no :// or the target is of another kind of scheme (mailto:)."""
     scheme = F.regexp_extract(base, r"(?s)^(.*?):", 1)
+    here = F.concat(scheme, F.lit("://"), host_of(base))
+    path = F.when(path_of(base) == "", F.lit("/")).otherwise(path_of(base))
+    bare_target, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
     return (
-        F.when(F.contains(target, F.lit("://")), target)
+        F.when(~F.contains(base, F.lit("://")), F.lit(None).cast("string"))
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
         .when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
-        .when(F.startswith(target, F.lit("/")), F.concat(scheme, F.lit("://"), host_of(base), target))
+        .when(F.startswith(target, F.lit("/")), F.concat(here, _without_dots(bare_target), rest))
+        .when(F.startswith(target, F.lit("?")), F.concat(here, path, target))
+        .when(bare_target == "", base)
+        .otherwise(F.concat(here, _without_dots(F.concat(F.regexp_extract(path, r"(?s)^(.*/)", 1), bare_target)), rest))
     )
 
 
 def equivalences(pages: DataFrame) -> DataFrame:
-    """(u, v): edges between names, of canonical links and refresh redirects. pages: (url, html)."""
-    tag = r"""(?is)<(?:link|meta)\b(?=[^>]*\b(?:rel\s*=\s*["']?canonical\b|http-equiv\s*=\s*["']?refresh\b))[^>]*>"""
+    """(u, v): edges between names, of canonical links and refresh redirects. pages: (url, html).
+
+    A tag ends at the next < or >, so that a page of unclosed tags is walked once, whatever its length.
+    """
+    tag = r"""(?is)<(?:link|meta)\b(?=[^<>]*\b(?:rel\s*=\s*["']?canonical\b|http-equiv\s*=\s*["']?refresh\b))[^<>]*+>"""
     hinted = pages.filter(F.col("html").rlike(r"(?i)canonical|refresh"))
     tags = hinted.select("url", F.explode(F.regexp_extract_all("html", F.lit(tag), F.lit(0))).alias("tag"))
     href = F.regexp_extract("tag", r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1)
     fresh = F.regexp_extract("tag", r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)""", 1)
     target = F.regexp_replace(F.when(href != "", href).otherwise(fresh), "&amp;", "&")
-    ends = tags.select(name_of(F.col("url")).alias("u"), name_of(resolved(F.col("url"), target)).alias("v"))
+    linked = tags.select("url", target.alias("target")).filter("target != ''")
+    ends = linked.select(name_of(F.col("url")).alias("u"), name_of(resolved(F.col("url"), F.col("target"))).alias("v"))
     return ends.filter("u is not null and v is not null and u != v").distinct()
 
 
@@ -111,7 +138,8 @@ def judged(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, default: str =
     found = components(edges)
     said = found.withColumn("said", verdict_of(rule_of(host_of(F.col("vertex")), path_of(F.col("vertex")), rules), rules))
     per_class = said.groupBy("root").agg(
-        F.when(F.count_if(F.col("said") == "allow") > 0, F.lit("allow")).when(F.count_if(F.col("said") == "block") > 0, F.lit("block")).alias("shared")
+        F.when(F.count_if(F.col("said") == "allow") > 0, F.lit("allow"))
+        .when(F.count_if(F.col("said") == "block") > 0, F.lit("block")).alias("shared")
     )
     names = found.join(per_class, "root").select(F.col("vertex").alias("name"), "shared")
     named = own.withColumn("name", name_of(F.col("url"))).join(names, "name", "left")

@@ -81,12 +81,38 @@ def test_shards_are_even_and_slots_gapless(docs):
     assert want == Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) and len(by) == len(want)
 
 
+def load_of(rows, n):
+    out = [0] * n
+    for r in rows:
+        out[r["shard"]] += r["size"]
+    return out
+
+
+def test_shards_are_even_on_whole_tables(spark):
+    for sf, most in (("/root/testdata/sf0.001", 0.02), ("/root/testdata/sf0.01", 0.01)):
+        got = shards.shard_records(spark.read.parquet(f"{sf}/documents.parquet"), 24)[0].collect()
+        load, largest = load_of(got, 24), max(r["size"] for r in got)
+        assert max(load) - min(load) <= max(most * sum(load) / 24, largest - sum(load) / 24), load
+
+
+def test_rows_that_repeat_are_spread(spark):
+    """A row that half of the table repeats, and rows without id and text, make no shard fuller than another."""
+    made = [(7, "the same row " * 4)] * 10_000 + [(i, f"text number {i} of many") for i in range(9_000)] + [(None, None)] * 1_000
+    got, _ = shards.shard_records(spark.createDataFrame(made, "doc_id bigint, text string"), 24)
+    got = got.collect()
+    assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((i, len(t or "") + 8) for i, t in made)
+    load = load_of(got, 24)
+    assert max(load) - min(load) < 0.01 * max(load), load
+    for s in range(24):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
 def test_rebalancing_moves_little_and_evens_out():
     rng = np.random.default_rng(0)
     weight = {i: int(w) for i, w in enumerate(rng.integers(100, 5000, shards.SLOTS))}
     first = shards.rebalance(shards.even_map(24), weight)
     load = lambda m: [sum(weight[i] for i, s in enumerate(m.owner) if s == k) for k in range(m.shards)]
-    assert max(load(first)) - min(load(first)) < 5000
+    assert max(load(first)) - min(load(first)) < 10
     assert shards.rebalance(first, weight).version == 2
     grown = shards.rebalance(first, weight, 25)
     assert max(load(grown)) - min(load(grown)) < 5000 and len(grown.moved) < 0.06 * shards.SLOTS
@@ -451,6 +477,47 @@ def test_mixture_meets_its_limits(spark, empty):
     assert used["big"] == tokens["big"] and mixing.mix(empty)[0].collect() == []
 
 
+def weights_of(tokens, alpha):
+    share = np.array(tokens, float) / sum(tokens)
+    w = share**alpha / (share**alpha).sum()
+    return w, float(-(w * np.log(w)).sum())
+
+
+@pytest.mark.parametrize("tokens", [[100, 200, 300], [1, 1000, 100_000], [5, 5, 5], [10, 90_000], [400, 800, 90, 1, 7000]])
+def test_exponent_and_budget_against_a_fine_grid(spark, tokens):
+    """alpha by brute force: the largest that reaches the entropy, or the smallest that the repetition limit allows; and the
+    budget: every source read once at least, none more often than the limit."""
+    d = spark.createDataFrame([(f"s{i}", t) for i, t in enumerate(tokens)], "source string, tokens bigint")
+    got = mixing.fit(d)
+    grid = np.linspace(0, 1, 200_001)
+    able = [a for a in grid[::50] if (lambda w: (w / tokens).max() / (w / tokens).min())(weights_of(tokens, a)[0]) <= mixing.REPEATS + 1e-9]
+    enough = [a for a in able if weights_of(tokens, a)[1] >= mixing.ENTROPY * np.log(len(tokens))]
+    want = max(enough) if enough else min(able)
+    assert abs(got.alpha - want) < 1e-3
+    reads = got.budget * weights_of(tokens, got.alpha)[0] / np.array(tokens)
+    assert abs(reads.min() - 1) < 1e-6 and reads.max() <= mixing.REPEATS + 1e-6
+    assert abs(got.entropy - weights_of(tokens, got.alpha)[1]) < 1e-9
+
+
+def test_places_of_epochs_are_apart(spark):
+    """Whatever the number of blocks: a place of a source belongs to one block of one epoch, and sources meet their budget."""
+    rng = np.random.default_rng(8)
+    made = [(i, f"s{int(i > 2500)}", " ".join(["w"] * int(n))) for i, n in enumerate(rng.integers(1, 60, 3000))]
+    rows, mixture = mixing.mix(spark.createDataFrame(made, "doc_id bigint, source string, text string"), blocks=4096)
+    rows = rows.collect()
+    at = {}
+    for r in rows:
+        assert at.setdefault((r["source"], r["place"]), (r["epoch"], r["block"])) == (r["epoch"], r["block"])
+    tokens = [sum(len(t.split()) for _, s, t in made if s == k) for k in ("s0", "s1")]
+    wanted = mixture.budget * weights_of(tokens, mixture.alpha)[0]
+    per_block = Counter()
+    for r in rows:
+        per_block[r["source"], r["epoch"], r["block"]] += r["tokens"]
+    largest = max(per_block.values())
+    for k, w in zip(("s0", "s1"), wanted):
+        assert abs(sum(r["tokens"] for r in rows if r["source"] == k) - w) <= largest
+
+
 def test_entropy_target(spark):
     s = spark.createDataFrame([("a", 1000), ("b", 500), ("c", 250)], "source string, tokens bigint")
     m = mixing.fit(s, repeats=100.0, entropy=0.95)

@@ -1,7 +1,9 @@
 import glob
+import random
 import re
+import time
 from collections import Counter
-from urllib.parse import urlparse
+from urllib.parse import urljoin, urlparse
 
 import duckdb
 import pytest
@@ -62,6 +64,59 @@ def test_rules_and_classes(spark):
     assert url_rules.judged(d.filter("false")).collect() == []
 
 
+def test_targets_resolve_like_the_standard_library(spark):
+    base = "https://a.Example.net/x/y/page.html?q=1#f"
+    targets = ["b.html", "./b", "../b", "../../../b", "?id=3", "/p/./q/../r", "//m.net/z", "http://o.net/", "g?y#s", "..", ".", "/login?next=http://x/", "sub/"]
+    rows = spark.createDataFrame([(base, t) for t in targets] + [("https://bare.net", "c")], "b string, t string")
+    got = {(r[0], r[1]): r[2] for r in rows.select("b", "t", url_rules.resolved(rows.b, rows.t)).collect()}
+    for t in targets:
+        assert got[base, t] == urljoin(base.replace("Example", "example"), t), t
+    assert got["https://bare.net", "c"] == "https://bare.net/c"
+    odd = spark.createDataFrame([(base, "mailto:x@y.z"), ("no scheme", "b")], "b string, t string")
+    assert [r[0] for r in odd.select(url_rules.resolved(odd.b, odd.t)).collect()] == [None, None]
+
+
+def test_relative_links_carry_verdicts(spark):
+    d = spark.createDataFrame([page(1, "https://q.com/de/a/x", canonical="../y"), page(2, "https://q.com/new", refresh="de/y"), page(3, "https://q.com/z", canonical="?k=1")], SCHEMA)
+    assert {r["page_id"]: r["verdict"] for r in url_rules.judged(d).collect()} == {1: "block", 2: "block", 3: "allow"}
+
+
+def test_unclosed_tags_are_walked_once(spark):
+    html = "canonical" + "<meta " * 200_000 + "<link rel=canonical href=https://x.com/de/1>"
+    began = time.perf_counter()
+    assert [r["verdict"] for r in url_rules.judged(spark.createDataFrame([(1, "https://u.net/", html)], SCHEMA)).collect()] == ["block"]
+    assert time.perf_counter() - began < 20
+
+
+def test_classes_against_brute_force(spark):
+    """Random links among 300 pages, some with rules: verdicts by a plain union of classes."""
+    rng = random.Random(4)
+    hosts = ["a.net", "www.example.org", "b.com", "c.example.net"]
+    urls = [f"https://{rng.choice(hosts)}/{rng.choice(['es/', 'fr/', 'de/', 'en/1', 'x/', 'y/', 'z/'])}{i}" for i in range(300)]
+    links = [(i, rng.randrange(300)) for i in range(300) if rng.random() < 0.45]
+    to = dict(links)
+    d = spark.createDataFrame([page(i, u, canonical=urls[to[i]] if i in to else None) for i, u in enumerate(urls)], SCHEMA)
+    root = list(range(300))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    said = {}
+    for i, u in enumerate(urls):
+        rule = plain(u)[2]
+        if rule:
+            said.setdefault(find(i), set()).add(rule.verdict)
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judged(d).collect()}
+    for i, u in enumerate(urls):
+        rule, others = plain(u)[2], said.get(find(i), set())
+        want = rule.verdict if rule else "allow" if "allow" in others else "block" if "block" in others else "allow"
+        assert got[i] == want, u
+
+
 def test_redirect_log(spark):
     d = spark.createDataFrame([page(1, "https://m.net/a")], SCHEMA)
     log = spark.createDataFrame([("https://m.net/a", "https://n.net/b"), ("https://n.net/b", "https://x.com/de/c")], "u string, v string")
