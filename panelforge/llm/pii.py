@@ -1,17 +1,20 @@
 """Personal data: fixed patterns, and contextual extraction bootstrapped from what they find.
 
-The fixed patterns give seed entities. Words that announce an entity (`Tel:`, `mail=`) are lexical patterns; a pattern and
-the values that follow it are a bipartite graph. Scores go back and forth for ROUNDS rounds: a pattern is as good as the
-values it announces, all of them, and a value as good as its best pattern. Patterns of high confidence and enough different
-seeds then yield the values that the fixed patterns miss. DataFrame operations only.
-
-A match's place is the length of the pieces between matches: split() and regexp_extract_all() walk a text alike. The
-patterns are written so that no start inside a run is tried twice, which keeps them linear on texts of any length.
+The fixed patterns give seed entities. Candidates are strings shaped like identifiers, digits in groups or names around an @,
+with the lexical patterns they stand in: a label before them (`Tel:`, `phone = `), or the words on both sides. Patterns and
+the values they announce are a bipartite graph, scored in rounds: a pattern is as good for a kind as the values it announces
+that are of the kind, against those of other kinds and, at a discount, those not known; a value is as good as its best
+pattern. Values that a confident pattern announces count from the next round on, so they induce patterns of their own, until
+a round finds nothing new. What confident patterns announce in the shape of their kind is added. DataFrame operations only.
+
+A match's place is the length of the pieces between matches: split() and regexp_extract_all() walk a text alike. Places are
+summed in blocks, patterns are written so that no start inside a run is tried twice, and candidates meet fixed spans in the
+order of their starts: all of it stays linear on texts of any length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bare, staged
@@ -27,25 +30,67 @@ PATTERNS = {
 }
 #: Texts without this have no match.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-CUE = r"""(?<![\p{L}\p{N}_.-])([\p{L}_.-]{2,32}+)[:=]\x20?+["']?+([^\s"',;<>()]{1,64}+)"""
-ROUNDS = 4
-MIN_SEEDS = 5  #: different seed values that a pattern must announce
+#: Something shaped like an identifier: a name around an @, written out or not; or digits in groups.
+CANDIDATE = (
+    r"(?<![\p{L}\p{N}_.@+%-])(?:[\p{L}\p{N}_.+%-]++(?:@|\x20?+[\[({]at[\])}]\x20?+)[\p{L}\p{N}_]++(?:[.-]++[\p{L}\p{N}_]++)*+"
+    r"|[+(]{0,2}+[0-9](?:[\x20().-]{0,3}+[0-9])*+)(?![\p{L}\p{N}_@])"
+)
+_NAME = r"(?<![\p{L}\p{N}_.-])([\p{L}_][\p{L}\p{N}_.-]{0,63})"
+LABEL = _NAME + r"\x20?[:=]\x20?[\"']?\z"  #: before a candidate
+WORD_BEFORE = _NAME + r"[\s\"'(]{1,2}\z"
+WORD_AFTER = r"\A[^\p{L}\p{N}_]{1,3}([\p{L}_][\p{L}\p{N}_-]{0,63})"
+CONTEXT = 80  #: characters on either side in which a pattern's words of up to 64 are looked for
+#: What a candidate, without its separators, must look like to be taken for a kind that the fixed pattern didn't see.
+SHAPES = {"email": r"@|[\[({]at[\])}]", "ip": r"^[0-9]{1,3}(?:[.-][0-9]{1,3}){3}$", "card": r"^(?:[^0-9]*[0-9]){12,19}$", "phone": r"^(?:[^0-9]*[0-9]){5,15}$"}
+ROUNDS = 6  #: at most
+MIN_SEEDS = 5  #: different values of a kind that a pattern must announce
+UNKNOWN = 0.1  #: how much a value that nothing is known of counts against a pattern
 CONFIDENCE = 0.8  #: of a pattern, to yield values
+TOGETHER = 128  #: matches of a block
 
 
 def located(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of a pattern's matches in a text, in code points, end exclusive."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    """array<struct<start, end, value, before, after>> of a pattern's matches in a text: places in code points, end
+    exclusive, and the pieces of text up to the matches next to it."""
+    kind = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
+    empty = F.array().cast(kind)
+
+    def bound(value: Column, use) -> Column:
+        """use(value), with value worked out once however often use names it."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def zipped(x: Column) -> Column:
+        """Matches with the pieces before and after them."""
+        n = F.size(x["v"])
+        return F.arrays_zip(F.slice(x["s"], F.lit(1), n).alias("p"), x["v"].alias("v"), F.slice(x["s"], F.lit(2), n).alias("q"))
+
+    def in_blocks(both: Column) -> Column:
+        whole = F.sequence(F.lit(0), F.floor((F.size(both) - 1) / TOGETHER).cast("int"))
+        return F.transform(whole, lambda i: F.slice(both, i * TOGETHER + 1, F.lit(TOGETHER)))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["v"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["v"].alias("value")))).alias("out"))
+    def length(x: Column) -> Column:
+        return F.length(x["p"]) + F.length(x["v"])
 
-    both = F.zip_with(F.slice(pieces, F.lit(1), F.size(values)), values, lambda p, v: F.struct(p.alias("p"), v.alias("v")))
-    return F.when(F.size(values) > 0, F.aggregate(both, empty, step)["out"]).otherwise(empty["out"])
+    def start_of(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + length(x)))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.aggregate(sums, none, step)["out"]
+
+    def placed(block: Column, begin: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + F.length(x["p"])
+            end = start + F.length(x["v"])
+            one = F.struct(start.alias("start"), end.alias("end"), x["v"].alias("value"), x["p"].alias("before"), x["q"].alias("after"))
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+        return F.aggregate(block, F.struct(begin.alias("at"), empty.alias("out")), step)["out"]
+
+    values, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    found = bound(F.struct(values.alias("v"), pieces.alias("s")), lambda x: F.when(F.size(x["v"]) > 0, zipped(x)))
+    blocks = bound(found, in_blocks)
+    placed_ = bound(blocks, lambda b: F.flatten(F.zip_with(b, start_of(b), placed)))
+    return F.coalesce(placed_, empty)
 
 
 def _digits(value: Column) -> Column:
@@ -81,75 +126,112 @@ def base_spans(text: Column, kind: str) -> Column:
     may = F.contains(text, F.lit(hint)) if hint else text.rlike("[0-9][ -]?[0-9]")
     if kind == "ip":
         may = text.rlike(r"[0-9]\.[0-9]")
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return F.when(may, F.filter(located(text, PATTERNS[kind]), lambda x: valid(kind, x["value"]))).otherwise(none)
-
-
-def announced(text: Column) -> Column:
-    """array<struct<start, end, value, cue>>: values that a cue announces."""
-    found = F.transform(
-        located(text, CUE),
-        lambda x: F.struct(
-            (x["end"] - F.length(F.regexp_extract(x["value"], CUE, 2))).alias("start"),
-            x["end"].alias("end"),
-            F.regexp_extract(x["value"], CUE, 2).alias("value"),
-            F.lower(F.regexp_extract(x["value"], CUE, 1)).alias("cue"),
-        ),
-    )
-    none = F.array().cast("array<struct<start:int,end:int,value:string,cue:string>>")
-    return F.when(text.rlike(r"[\p{L}_.-][:=]"), found).otherwise(none)
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    slim = F.transform(F.filter(located(text, PATTERNS[kind]), lambda x: valid(kind, x["value"])), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return F.when(may, slim).otherwise(none)
+
+
+def candidates(text: Column) -> Column:
+    """array<struct<start, end, value, label, pair>> of candidates with a pattern: the label before them, and the words
+    around them as `before _ after`, in lower case; null where there is none."""
+
+    def word(side: Column, pattern: str) -> Column:
+        return F.lower(F.nullif(F.regexp_extract(side, pattern, 1), F.lit("")))
+
+    def seen(x: Column) -> Column:
+        before, after = F.right(x["before"], F.lit(CONTEXT)), F.left(x["after"], F.lit(CONTEXT))
+        label = F.concat(word(before, LABEL), F.lit(":"))
+        pair = F.concat(word(before, WORD_BEFORE), F.lit(" _ "), word(after, WORD_AFTER))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), label.alias("label"), pair.alias("pair"))
+
+    found = F.filter(F.transform(located(text, CANDIDATE), seen), lambda x: x["label"].isNotNull() | x["pair"].isNotNull())
+    none = F.array().cast("array<struct<start:int,end:int,value:string,label:string,pair:string>>")
+    return F.when(text.rlike("[0-9]|@|[\\[({]at[\\])}]"), found).otherwise(none)
 
 
 def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, h, email, ip, card, phone, announced) of whole texts; h tells apart texts that share an id. Written to the
+    """(doc_id, h, email, ip, card, phone, candidates) of whole texts; h tells apart texts that share an id. Written to the
     shared folder, as later steps read it often."""
     rows = bare(docs, doc_id=key, text=text).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = rows.select("doc_id", F.xxhash64("text").alias("h"), *[base_spans(F.col("text"), k).alias(k) for k in KINDS], announced(F.col("text")).alias("announced"))
-    every = F.concat(*KINDS)
-
-    def whole(x: Column) -> Column:
-        """The announced value; of a seed all of it, white space included."""
-        seed = F.get(F.filter(every, lambda s: (s["start"] >= x["start"] - 1) & (s["start"] < x["end"])), F.lit(0))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.coalesce(seed["value"], x["value"]).alias("value"), x["cue"].alias("cue"))
+    spans = [base_spans(F.col("text"), k).alias(k) for k in KINDS]
+    return staged(rows.select("doc_id", F.xxhash64("text").alias("h"), *spans, candidates(F.col("text")).alias("candidates")), "pii")
+
+
+def against_spans(rows: DataFrame) -> DataFrame:
+    """(doc_id, h, start, end, value, label, pair, kind, touched): candidates, the kind of the fixed span that begins with
+    them, and whether any fixed span touches them. Both are walked in the order of their starts. rows: scanned()."""
+    able = rows.filter(F.size("candidates") > 0)
+
+    def of_kind(k: str) -> Column:
+        return F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(k).alias("kind")))
+
+    base = F.concat(*map(of_kind, KINDS))
+    spans = able.select("doc_id", "h", F.inline(base)).select("*", F.struct("start", "end", "kind").alias("span"))
+    both = able.select("doc_id", "h", F.inline("candidates")).unionByName(spans.drop("kind"), allowMissingColumns=True)
+    # frames that grow from the front only: one that reaches to the end is summed up anew for every row
+    walk, back = (Window.partitionBy("doc_id", "h").orderBy(*o) for o in ((F.asc("start"), F.col("span").isNull()), (F.desc("start"), F.col("span").isNotNull())))
+    past, rest = walk.rowsBetween(Window.unboundedPreceding, 0), back.rowsBetween(Window.unboundedPreceding, -1)
+    near = both.select(
+        "*", F.last("span", True).over(past).alias("prev"), F.max("span.end").over(past).alias("reach"), F.last("span", True).over(rest).alias("next"),
+    ).filter("span is null")
+    begins = F.when(F.col("prev.start") == F.col("start"), F.col("prev")).when(F.col("next.start") <= F.col("start") + 2, F.col("next"))
+    touched = F.coalesce(F.col("reach") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next.start") < F.col("end"), F.lit(False))
+    with_seed = near.select("doc_id", "h", "start", "end", "value", "label", "pair", begins.alias("seed"), touched.alias("touched"))
+    # what is touched but doesn't begin with a span is no evidence; words after it count only where the span ends there too
+    whole = F.col("seed").isNull() | (F.col("seed.end") == F.col("end"))
+    return with_seed.filter("seed is not null or not touched").select(
+        "doc_id", "h", "start", "end", "value", "label", F.when(whole, F.col("pair")).alias("pair"), F.col("seed.kind").alias("kind"), "touched"
+    )
 
-    out = out.withColumn("announced", F.transform("announced", whole))
-    plain = [F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k in KINDS]
-    return staged(out.select("doc_id", "h", *plain, "announced"), "pii")
 
+def _shaped(value: Column) -> Column:
+    """The kinds whose shape a value has."""
+    return F.array_compact(F.array(*[F.when(value.rlike(SHAPES[k]), F.lit(k)) for k in KINDS]))
 
-def _seed(kind: str) -> Column:
-    """Whether the announced value x holds a base span of a kind from its first character on."""
-    return F.exists(F.col(kind), lambda s: (s["start"] >= F.col("x.start") - 1) & (s["start"] < F.col("x.end")))
 
+def graph(seen: DataFrame) -> DataFrame:
+    """(pattern, value, kind, seed): an edge for each pattern and different value, once for each kind the value may be of;
+    seed: 1 where a fixed pattern found the value. seen: against_spans()."""
+    patterns = F.explode(F.array_compact(F.array("label", "pair"))).alias("pattern")
+    plain = F.lower(F.regexp_replace("value", r"[\x20()-]", "")).alias("value")
+    kinds = F.when(F.col("kind").isNotNull(), F.array("kind")).otherwise(_shaped(F.col("value")))
+    rows = seen.select(patterns, plain, kinds.alias("kinds"), F.col("kind").isNotNull().cast("double").alias("seed"))
+    return rows.select("pattern", "value", F.explode("kinds").alias("kind"), "seed").groupBy("pattern", "value", "kind").agg(F.max("seed").alias("seed"))
 
-def bootstrap(rows: DataFrame) -> DataFrame:
-    """(doc_id, h, kind, start, end): spans that confident patterns announce and no base span touches. rows: scanned().
 
-    A value's first score is 1 for the kind it is a seed of, else 0. A pattern's score for a kind is the mean score of the
-    different values it announces, whatever they are; a value's new score is its best pattern's, seeds stay at 1. Both are
-    aggregates over the edge table. Values need a digit or an @ to be taken.
-    """
-    kinds = F.array(*[F.when(_seed(k), F.lit(k)) for k in KINDS])
-    seen = rows.select("doc_id", "h", *KINDS, F.explode("announced").alias("x"))
-    touched = F.lit(False)
-    for k in KINDS:
-        touched |= F.exists(F.col(k), lambda s: (s["start"] < F.col("x.end")) & (s["end"] > F.col("x.start")))
-    seen = staged(
-        seen.select("doc_id", "h", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.cue").alias("cue"), F.lower("x.value").alias("value"), touched.alias("touched"), F.get(F.filter(kinds, lambda k: k.isNotNull()), F.lit(0)).alias("kind")),
-        "pii-announced",
+def confident(edges: DataFrame) -> DataFrame:
+    """(pattern, kind, good): patterns sure enough of a kind, their best one. edges: (pattern, value, kind, score)."""
+    per_kind = edges.groupBy("pattern", "kind").agg(
+        F.sum("score").alias("own"), F.count_if(F.col("score") > 0).alias("values"), F.count_if(F.col("score") == 0).alias("unknown")
     )
-    edges = staged(seen.groupBy("cue", "value").agg(F.max("kind").alias("kind")), "pii-edges")
-    support = edges.filter("kind is not null").groupBy("cue", "kind").agg(F.count("*").alias("seeds"))
-    able = support.filter(F.col("seeds") >= MIN_SEEDS).select("cue", F.col("kind").alias("of"))
-    graph = staged(edges.join(able, "cue").select("cue", "value", "of", (F.col("kind").eqNullSafe(F.col("of"))).cast("double").alias("seed")), "pii-graph")
-    values = graph.groupBy("value", "of").agg(F.max("seed").alias("score"))
+    kinds = F.collect_list(F.struct("own", "values", "unknown", "kind")).alias("kinds")  # four at most
+    rows = per_kind.groupBy("pattern").agg(F.sum("own").alias("all"), kinds).select("pattern", "all", F.inline("kinds"))
+    good = F.col("own") / (F.col("all") + UNKNOWN * F.col("unknown"))
+    sure = rows.filter(F.col("values") >= MIN_SEEDS).withColumn("good", good).filter(F.col("good") >= CONFIDENCE)
+    return sure.groupBy("pattern").agg(F.max_by(F.struct("kind", "good"), F.struct("good", "own", "kind")).alias("best")).select("pattern", "best.*")
+
+
+def bootstrap(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, kind, start, end): what confident patterns announce, in the shape of their kind, and no fixed span
+    touches; and the patterns. rows: scanned()."""
+    seen = staged(against_spans(rows), "pii-seen")
+    edges = staged(graph(seen), "pii-graph")
+    found, n = None, 0
     for _ in range(ROUNDS):
-        cues = graph.join(values, ["value", "of"]).groupBy("cue", "of").agg(F.avg("score").alias("good"))
-        values = staged(graph.join(cues, ["cue", "of"]).groupBy("value", "of").agg(F.greatest(F.max("seed"), F.max(F.when(F.col("good") >= CONFIDENCE, F.col("good")).otherwise(0.0))).alias("score")), "pii-values")
-    sure = graph.join(values, ["value", "of"]).groupBy("cue", "of").agg(F.avg("score").alias("good")).filter(F.col("good") >= CONFIDENCE)
-    best = sure.groupBy("cue").agg(F.max_by("of", F.struct("good", "of")).alias("of"))
-    fresh = seen.filter(~F.col("touched") & F.col("value").rlike("[0-9@]") & (F.length("value") >= 3))
-    return fresh.join(best, "cue").select("doc_id", "h", F.col("of").alias("kind"), "start", "end").distinct()
+        if found is None:
+            scored = edges.withColumn("score", F.col("seed"))
+        else:
+            scored = edges.join(found, ["value", "kind"], "left").withColumn("score", F.coalesce(F.greatest("seed", "said"), "seed"))
+        sure = staged(confident(scored), "pii-patterns")
+        told = edges.filter("seed = 0").join(sure, ["pattern", "kind"]).groupBy("value", "kind").agg(F.max("good").alias("said"))
+        found = staged(told, "pii-found")
+        before, n = n, found.count()
+        if n == before:
+            break
+    fresh = seen.filter(~F.col("touched")).select("doc_id", "h", "start", "end", "value", F.explode(F.array_compact(F.array("label", "pair"))).alias("pattern"))
+    fits = fresh.join(sure, "pattern").filter(F.array_contains(_shaped(F.col("value")), F.col("kind")))
+    best = fits.groupBy("doc_id", "h", "start", "end").agg(F.max_by("kind", F.struct("good", "kind")).alias("kind"))
+    return best.select("doc_id", "h", "kind", "start", "end"), sure
 
 
 def _written(kind: Column, spans: Column) -> Column:
@@ -163,13 +245,14 @@ def found(docs: DataFrame) -> DataFrame:
     not read.
     """
     rows = scanned(docs)
-    more = bootstrap(rows).groupBy("doc_id", "h").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
+    more = bootstrap(rows)[0].groupBy("doc_id", "h").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
     more = more.withColumnsRenamed({"doc_id": "d", "h": "g"})
-    both = rows.drop("announced").join(more, rows["doc_id"].eqNullSafe(more["d"]) & (rows["h"] == more["g"]), "left")
+    both = rows.drop("candidates").join(more, rows["doc_id"].eqNullSafe(more["d"]) & (rows["h"] == more["g"]), "left")
     base = F.array_join(F.concat(*[_written(F.lit(k), F.col(k)) for k in KINDS]), ",")
 
     def all_of(k: str) -> Column:
-        extra = F.transform(F.filter(F.coalesce("more", F.array().cast("array<struct<kind:string,start:int,end:int>>")), lambda s: s["kind"] == k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+        added = F.coalesce("more", F.array().cast("array<struct<kind:string,start:int,end:int>>"))
+        extra = F.transform(F.filter(added, lambda s: s["kind"] == k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
         return _written(F.lit(k), F.array_sort(F.concat(F.col(k), extra)))
 
     return both.select(
@@ -190,10 +273,11 @@ SELECT doc_id, {i} AS o, '{kind}' AS kind, v, since + length(p) AS a, since + le
 
 _DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
 _LUHN = (
-    f"length({_DIGITS}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: (CASE WHEN i % 2 = 1 THEN 1 ELSE 2 END * substr(reverse({_DIGITS}), i::INT, 1)::INT) "
+    f"length({_DIGITS}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length({_DIGITS}) + 1), "
+    f"lambda i: (CASE WHEN i % 2 = 1 THEN 1 ELSE 2 END * substr(reverse({_DIGITS}), i::INT, 1)::INT) "
     f"- CASE WHEN i % 2 = 0 AND substr(reverse({_DIGITS}), i::INT, 1)::INT > 4 THEN 9 ELSE 0 END)) % 10 = 0"
 )
-#: The digest in DuckDB. Spans that contexts add are left out: it says so of tables without cues before values.
+#: The digest in DuckDB. Spans that contexts add are left out: it holds for tables in which no pattern announces anything.
 SQL = (
     "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), x AS ("
     + " UNION ALL ".join([
