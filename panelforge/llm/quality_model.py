@@ -1,8 +1,9 @@
 """A quality classifier made of compression.
 
-Two zstandard dictionaries are built, from well and from badly labelled text. A document is compressed with either one in
-blocks of BLOCK bytes, all of it; the difference of the sizes, per byte, says which kind it resembles. Logistic regression
-on held-in rows turns that difference, with the better size and the length, into a probability.
+Two zstandard dictionaries, each with its entropy tables, are built from well and from badly labelled text. A document is
+compressed with either one in blocks of BLOCK bytes, all of it. The difference of the two sizes, over the larger one, says
+which kind a block, or the whole text, resembles. The score is that difference calibrated: logistic regression on held-in
+rows takes the whole text's, the blocks' median, least and greatest, and their squares, and nothing else.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import bare, utf8
 
-SAMPLE = 3000  #: labelled rows of either kind that are read to learn from, at most
-SAMPLE_BYTES = 20_000  #: of each, at most; only what is learned from is cut, never what is scored
+SAMPLE = 3000  #: labelled rows of either kind that are drawn to learn from, at most
+LONGEST = 40_000  #: bytes: rows with longer texts aren't learned from, so that a sample stays below 240 MB; none is cut
 DICTIONARY = 64 * 1024
-BLOCK = 1024
+BLOCK = 256
 LEVEL = 3
 THRESHOLD = 0.7
 SEED = 7
@@ -46,27 +47,30 @@ def _compressors(good: bytes, bad: bytes):
 
     out = []
     for content in (good, bad):
-        words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_AUTO)
         words.precompute_compress(level=LEVEL)
-        out.append(zstandard.ZstdCompressor(dict_data=words, level=LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False))
+        plain = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
+        out.append(zstandard.ZstdCompressor(dict_data=words, level=LEVEL, **plain))
     return out
 
 
 def features(text: bytes | None, pair) -> tuple[float, ...]:
-    """Of a whole text: the normalised size difference, the size per byte with the better dictionary, the log length, and
-    their products."""
-    text = text or b""
+    """Normalised size differences of a whole text: of all of it, and the median, least and greatest of its blocks'; the
+    squares of the first two, and the first times the least. All are 0 for an empty text."""
     good = bad = 0
-    for i in range(0, len(text), BLOCK):
+    blocks = []
+    for i in range(0, len(text or b""), BLOCK):
         part = text[i : i + BLOCK]
-        good += len(pair[0].compress(part))
-        bad += len(pair[1].compress(part))
-    n = len(text)
-    difference, size, length = (bad - good) / max(good, bad, 1), min(good, bad) / max(n, 1), math.log1p(n)
-    return difference, size, length, difference * size, difference * length, size * length, difference**2, size**2, length**2
+        x, y = len(pair[0].compress(part)), len(pair[1].compress(part))
+        good, bad = good + x, bad + y
+        blocks.append((y - x) / max(x, y))
+    whole = (bad - good) / max(good, bad, 1)
+    blocks = sorted(blocks) or [0.0]
+    middle, least, most = blocks[len(blocks) // 2], blocks[0], blocks[-1]
+    return whole, middle, least, most, whole * whole, middle * middle, whole * least
 
 
-N_FEATURES = 9
+N_FEATURES = 7
 
 
 def _build(samples: list[bytes]) -> bytes:
@@ -79,7 +83,7 @@ def _build(samples: list[bytes]) -> bytes:
             return zstandard.train_dictionary(DICTIONARY, pieces).as_bytes()
     except zstandard.ZstdError:
         pass
-    return b"".join(pieces)[-DICTIONARY:] or b" "
+    return b"".join(pieces)[-DICTIONARY:] or b" " * 8
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -99,11 +103,12 @@ def fit(rows: list[tuple[bytes | None, int]]) -> Model:
     every score is the share of label 1 (one half without any row)."""
     order = np.random.default_rng(SEED).permutation(len(rows))
     half = [rows[i] for i in order[: len(rows) // 2]], [rows[i] for i in order[len(rows) // 2 :]]
-    good, bad = (_build([(t or b"")[:SAMPLE_BYTES] for t, q in half[0] if q == k]) for k in (1, 0))
+    good, bad = (_build([t or b"" for t, q in half[0] if q == k]) for k in (1, 0))
     y = np.array([q for _, q in half[1]], float)
     if len(set(y.tolist())) < 2:
         share = min(max(float(np.mean([q for _, q in rows])) if rows else 0.5, 1e-3), 1 - 1e-3)
-        return Model(good, bad, (0.0,) * N_FEATURES, (1.0,) * N_FEATURES, (0.0,) * N_FEATURES + (math.log(share / (1 - share)),))
+        none = (0.0,) * N_FEATURES
+        return Model(good, bad, none, (1.0,) * N_FEATURES, (*none, math.log(share / (1 - share))))
     pair = _compressors(good, bad)
     x = np.array([features(t, pair) for t, _ in half[1]])
     mean, scale = x.mean(0), x.std(0) + 1e-9
@@ -111,17 +116,20 @@ def fit(rows: list[tuple[bytes | None, int]]) -> Model:
     return Model(good, bad, tuple(mean), tuple(scale), tuple(w))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """A model of rows that aren't held out: at most `sample` of either label, first by hash. The ids of that bounded
-    sample, and nothing else, are broadcast to find its texts. Null labels and ids are left out."""
+def learn(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "quality"
+) -> Model:
+    """A model of rows that aren't held out: at most `sample` of either label, first by hash, whole texts of up to LONGEST
+    bytes. The ids of that bounded sample, and nothing else, are broadcast to find its texts; an id that repeats gives one
+    text. Null labels and ids are left out."""
     known = bare(labels, id=key, q=label).filter("q in (0, 1) and id is not null").filter(~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.min("q").alias("q"))
     picked = [known.filter(F.col("q") == k).orderBy(F.xxhash64(F.col("id")), "id").limit(sample) for k in (0, 1)]
     ids = picked[0].union(picked[1])
-    texts = bare(docs, id=key, t=text).join(F.broadcast(ids), "id")
-    cut = F.substring(F.col("t").cast("binary"), 1, SAMPLE_BYTES)
-    rows = texts.select("id", cut.alias("t"), "q").distinct().collect()
-    return fit([(bytes(r["t"]) if r["t"] is not None else None, int(r["q"])) for r in sorted(rows, key=lambda r: (str(r["id"]), r["t"] or b""))])
+    texts = bare(docs, id=key, t=text).filter(F.coalesce(F.octet_length("t"), F.lit(0)) <= LONGEST).join(F.broadcast(ids), "id")
+    one = F.min_by(F.struct("t"), F.struct(F.xxhash64("t"), F.col("t"))).alias("one")
+    rows = texts.groupBy("id", "q").agg(one).select("id", F.col("one.t").cast("binary").alias("t"), "q").collect()
+    return fit([(bytes(r["t"]) if r["t"] is not None else None, int(r["q"])) for r in sorted(rows, key=lambda r: str(r["id"]))])
 
 
 def _scored(model: bytes):
@@ -143,10 +151,12 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """(doc_id, score): one row for each row of docs, whole texts; null and empty texts get the score of length 0.
     Repeated rows each get a row; an empty table gives none. Columns other than key and text are not read."""
     source = bare(docs, doc_id=key, text=text)
-    return source.mapInArrow(_scored(pickle.dumps(model)), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, score double")
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return source.mapInArrow(_scored(pickle.dumps(model)), f"doc_id {kind}, score double")
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The digest: doc_id, held_out, score, predicted."""
     rows = score(docs, learn(docs, labels))
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    predicted = (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted)

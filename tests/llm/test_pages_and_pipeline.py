@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from panelforge.llm import decontaminate, mixing, quality_rules, queries, simhash, url_rules
+from panelforge.llm import decontaminate, mixing, quality_model, quality_rules, queries, simhash, url_rules
 
 
 def page(i, url, canonical=None, refresh=None):
@@ -142,6 +142,23 @@ def test_held_out_accuracy(spark):
     assert sum(r["predicted"] == r["quality"] for r in got) / len(got) > 0.95
 
 
+def test_the_size_difference_carries_the_score(spark):
+    """Held-out rows ordered by the whole text's difference alone, and by the score."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_model.learn(docs, labels)
+    pair = quality_model._compressors(model.good, model.bad)
+    held = labels.filter(quality_model.held_out(labels.doc_id)).join(docs, "doc_id").select("doc_id", "text", "quality").collect()
+    scores = {r["doc_id"]: r["score"] for r in quality_model.score(docs, model).collect()}
+
+    def area(values):
+        good, bad = ([v for v, r in zip(values, held) if r["quality"] == k] for k in (1, 0))
+        return sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+
+    assert area([quality_model.features((r["text"] or "").encode(), pair)[0] for r in held]) > 0.97
+    assert area([scores[r["doc_id"]] for r in held]) > 0.98
+
+
 def test_native_queries_run_no_python(spark, sf):
     for name in ("op1_virtual_slot_shards", "op5_contextual_pii", "op6_temperature_mixing", "op9_redirect_url_rules"):
         plan = queries.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
