@@ -9,11 +9,13 @@ after.
 2. Anchors alone with their hash go nowhere. What is left are first occurrences of different contexts with one anchor:
    the borders of repeated passages. Only their contexts are fetched.
 3. Those contexts share at least GRAM bytes, and are sorted as suffixes, to the right and to the left of the anchor, by
-   deep-shallow sorting: multikey quicksort, eight bytes a character, to SHALLOW bytes; blind tries order the groups whose
-   common prefix is longer. Neighbours' common prefixes then give classes of equal strings for every length, a window is a
+   deep-shallow sorting: multikey sorting, eight bytes a character, to SHALLOW bytes (all groups of a depth at once, by one
+   library sort in place of pivots); blind tries order the groups whose common prefix is longer. Neighbours' common prefixes then give classes of equal strings for every length, a window is a
    pair of a left and a right class, and in each pair all but the earliest window go.
 4. Spans are cut out of the texts.
 
+Steps 1 and 2 take equal 64-bit hashes, of an anchor and of its context, for equal strings and don't compare bytes.
+
 Groups of copies are reduced to their first context where they are read, before any shuffle. An anchor with more than HOT
 different contexts (a passage in very many documents), or more than HOT_HERE in one chunk, isn't sorted in one task: its
 windows are dealt by their own hash, and a chunk sends its anchor's task one row in place of all contexts.
@@ -25,7 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bare, staged, utf8, width
@@ -34,9 +36,10 @@ WINDOW = 100
 GRAM = 36
 REACH = WINDOW - GRAM
 SHALLOW_RIGHT, SHALLOW_LEFT = 48, 16
-HOT = 150_000  #: different contexts of one anchor that a task sorts, about 50 MB
+HOT = 4_000  #: different contexts of one anchor that a task sorts, about 1 MB
 HOT_HERE = 400  #: different contexts of one anchor in one chunk, beyond which the chunk sends word of them only
 CHUNK = 8_000_000  #: bytes of text whose anchors are reduced together
+PART_BYTES, PARTS = 4 << 20, 20_000  #: text for each partition of anchors, up to that many partitions
 SLAB = 1 << 18  #: bytes hashed at a time
 NO_ID = -(1 << 63)  #: stands for a null id: before all others
 
@@ -146,9 +149,10 @@ def _blobs(rows: list[tuple[int, int, bytes]]):
 
 
 def _tie(text: bytes) -> int:
-    from xxhash import xxh32_intdigest
+    """Tells apart texts that share an id: the lower half of what Spark's xxhash64 gives."""
+    from xxhash import xxh64_intdigest
 
-    return xxh32_intdigest(text)
+    return xxh64_intdigest(text, 42) & 0xFFFFFFFF
 
 
 def _ids(column) -> list[int]:
@@ -484,21 +488,24 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_
     and a text are one document and get the same result; rows that share an id and differ in text are different documents,
     in the order of a hash of their texts. An empty table gives no rows. Other columns are not read.
     """
-    spark, parts = docs.sparkSession, width(docs.sparkSession)
     source = bare(docs, doc_id=key, text=text).select(F.col("doc_id").cast("long"), "text")
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(width(docs.sparkSession), min(PARTS, -(-size // PART_BYTES)))
     blobs = "kind tinyint, slot int, body binary"
     buckets = 8 * parts
 
-    def bucket(c: str):
-        return F.pmod(F.xxhash64(F.coalesce(c, F.lit(NO_ID))), F.lit(buckets)).cast("int").alias("bucket")
+    def bucket(doc: str, tie: Column) -> Column:
+        """By id and text: neither a null id nor one that repeats puts its texts into one group."""
+        return F.pmod(F.xxhash64(F.coalesce(doc, F.lit(NO_ID)), tie), F.lit(buckets)).cast("int").alias("bucket")
 
     dealt = source.mapInArrow(_sampled(parts), blobs).repartitionById(parts, "slot")
     marks = staged(dealt.mapInArrow(_grouped, MARKS), "dedup-marks")
-    texts = source.select(bucket("doc_id"), "doc_id", "text").groupBy("bucket")
-    wanted = marks.filter("a is not null").select(bucket("doc"), "*").groupBy("bucket")
+    tie = F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    texts = source.select(bucket("doc_id", tie), "doc_id", "text").groupBy("bucket")
+    wanted = marks.filter("a is not null").select(bucket("doc", F.col("tie")), "*").groupBy("bucket")
     fetched = texts.cogroup(wanted).applyInArrow(_fetched(parts), blobs)
     borders = fetched.repartitionById(parts, "slot").mapInArrow(_resolved, MARKS)
-    spans = marks.filter("a is null").union(borders).select(bucket("doc"), "*").groupBy("bucket")
+    spans = marks.filter("a is null").union(borders).select(bucket("doc", F.col("tie")), "*").groupBy("bucket")
     if with_text:
         return texts.cogroup(spans).applyInArrow(_cut, DIGEST + ", kept binary")
     return texts.cogroup(spans).applyInArrow(_digest, DIGEST)
