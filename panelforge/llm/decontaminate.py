@@ -237,7 +237,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, ke
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, text: str = "text") -> DataFrame:
-    """docs without the rows whose text has a copy of a benchmark item, with all their columns."""
+    """docs without the rows whose text has a copy of a benchmark item, with all their columns.
+
+    Null and empty texts hold no item and stay; repeated rows all stay or all go. Null, empty and repeated items, or none at
+    all, remove nothing more. An empty table gives none. Columns may have any names.
+    """
     place, out = docs.columns.index(text), docs
 
     def cleaner(index):

@@ -192,6 +192,40 @@ def test_pipeline(spark, sf):
         assert places == list(range(len(places)))
 
 
+def test_pipeline_stages_on_odd_rows(spark, sf):
+    """Null and repeated ids, null and empty texts, repeated rows, null sources, clashing names, no rows: at every stage."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    words = [f"w{chr(97 + i % 26)}{i}" for i in range(700)]
+    prose = [" ".join(rng.choice(words) for _ in range(90)) for _ in range(12)]
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").filter("length(text) > 300").first()["text"]
+    made = [(i, t, "en", f"s{i % 2}", 1) for i, t in enumerate(prose[:6])] + [(None, t, None, None, None) for t in prose[6:9]]
+    made += [(7, prose[9], "en", "s0", 1), (7, prose[10], "en", "s0", 1), (8, prose[10], "en", "s0", 1), (8, prose[10], "en", "s0", 1), (None, prose[0], "en", "s1", 1)]
+    made += [(20, None, "en", "s0", 0), (21, "", None, "s1", 0), (22, " \n ", "en", None, 3), (23, "few words", "en", "s0", 9), (24, bench + " " + prose[11], "en", "s1", 1)]
+    plain = spark.createDataFrame(made, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    names = ("__failed", "__n_words", "__fp", "__row", "__root", "__rootof", "__s", "__b", "__n", "__at", "shard", "slot", "u", "v", "table")
+    wants = None
+    for d in (plain, plain.select("*", *[F.lit("x").alias(n) for n in names])):
+        columns, seen = d.columns, []
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            d = stage(spark, d, sf)
+            assert d.columns == columns, name
+            d = spark.createDataFrame(d.collect(), d.schema)
+            seen.append(Counter((r["doc_id"], r["text"]) for r in d.collect()))
+        assert set(seen[0]) == {(i, t) for i, t, *_ in made if t and len(t.split()) > 50} and seen[0][8, prose[10]] == 2
+        want = Counter([(i, t) for i, t in enumerate(prose[:6])] + [(None, t) for t in prose[6:9]] + [(7, prose[9]), (7, prose[10]), (24, made[-1][1])])
+        assert seen[1] == want
+        assert seen[2] == want - Counter({(24, made[-1][1]): 1})
+        assert set(seen[3]) == set(seen[2])
+        out = corpus_pipeline.STAGES[-1][1](spark, d, sf)
+        assert Counter(r["doc_id"] for r in out.collect()) == Counter({i: sum(n for (j, _), n in seen[3].items() if j == i) for i, _ in seen[3]})
+        assert wants is None or wants == seen
+        wants = seen
+        for name, stage in corpus_pipeline.STAGES:
+            assert stage(spark, spark.createDataFrame([], d.schema), sf).collect() == [], name
+
+
 def test_remote_paths_only_go_through_spark():
     for path in glob.glob("panelforge/llm/*.py"):
         source = open(path).read()
