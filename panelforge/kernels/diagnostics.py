@@ -80,33 +80,45 @@ def adf(x: np.ndarray, max_lag: int | None = None) -> tuple[float, float, int]:
 
 def mardia(x: np.ndarray, own_distances: bool = False) -> dict[str, float]:
     """Multivariate skewness and kurtosis. own_distances takes each row's own distance in the skewness in place of cross
-    products, which isn't the standard statistic."""
+    products, which isn't the standard statistic. The mean cube of all cross products is the sum of the squared third
+    moments of whitened columns: K^3 numbers, whatever the number of rows."""
     n, k = x.shape
     c = x - x.mean(0)
-    g = c @ np.linalg.pinv(c.T @ c / n) @ c.T
-    own = np.diag(g)
-    skew = float((own[:, None] * own[None, :]).mean() ** 1.5) if own_distances else float((g**3).mean())
+    values, vectors = np.linalg.eigh(c.T @ c / n)
+    live = values > 1e-12 * max(values.max(), 1e-300)
+    z = c @ vectors[:, live] / np.sqrt(values[live])
+    own = (z * z).sum(1)
+    third = np.zeros((z.shape[1] ** 2, z.shape[1]))
+    for i in range(0, n, 4096):
+        part = z[i : i + 4096]
+        third += (part[:, :, None] * part[:, None, :]).reshape(len(part), -1).T @ part
+    skew = float(own.mean() ** 3) if own_distances else float(((third / n) ** 2).sum())
     kurt = float((own**2).mean())
     df = k * (k + 1) * (k + 2) / 6
-    z = (kurt - k * (k + 2)) / math.sqrt(8 * k * (k + 2) / n)
-    return {"skewness": skew, "skewness_p": chi2_sf(n * skew / 6, df), "kurtosis": kurt, "kurtosis_z": z, "kurtosis_p": 2 * norm_sf(abs(z))}
+    z_score = (kurt - k * (k + 2)) / math.sqrt(8 * k * (k + 2) / n)
+    return {"skewness": skew, "skewness_p": chi2_sf(n * skew / 6, df), "kurtosis": kurt, "kurtosis_z": z_score, "kurtosis_p": 2 * norm_sf(abs(z_score))}
 
 
-def portmanteau(x: np.ndarray, lags: int, kind: str = "hosking", fitted: int = 0) -> tuple[float, float, float]:
+def portmanteau(x: np.ndarray, lags: int, kind: str = "hosking", fitted: int = 0, unscaled: bool = False) -> tuple[float, float, float]:
     """(statistic, p value, degrees of freedom) of no autocorrelation in a multivariate series, by the sum over lags of
-    tr(A A') with A = C_h / C_0. hosking: times T; limcleod: with a correction for the number of series and lags."""
+    tr(C_h' C_0^-1 C_h C_0^-1), which doesn't depend on the series' scales. hosking: each lag times T^2 / (T - h); limcleod:
+    the sum times T, with a correction for the number of series and lags.
+
+    unscaled takes tr(A A') with A = C_h C_0^-1 in its place, times T (hosking) or T^2 / (T - h) a lag (limcleod): another
+    convention, whose size is right for uncorrelated series of one scale only."""
+    if kind not in ("hosking", "limcleod"):
+        raise ValueError(f"no such test: {kind}")
     t, n = x.shape
     c = x - x.mean(0)
     inv = np.linalg.inv(c.T @ c / t)
     q = 0.0
     for h in range(1, lags + 1):
-        a = (c[h:].T @ c[:-h] / t) @ inv
-        q += float((a * a).sum())
-    q *= t
-    if kind == "limcleod":
+        cov = c[h:].T @ c[:-h] / t
+        a = cov @ inv
+        term = float((a * a).sum()) if unscaled else float(np.trace(cov.T @ inv @ a))
+        q += term * (t * t / (t - h) if (kind == "hosking") != unscaled else t)
+    if kind == "limcleod" and not unscaled:
         q += n * n * lags * (lags + 1) / (2 * t)
-    elif kind != "hosking":
-        raise ValueError(f"no such test: {kind}")
     df = n * n * lags - fitted
     return q, chi2_sf(q, df), df
 

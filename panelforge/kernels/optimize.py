@@ -15,7 +15,10 @@ from .params import FIELDS, Params, flatten, identified, sound, transform, unfla
 SCHEDULES = ("cosine", "exponential", "linear", "warmup_cosine", "constant", "cyclic", "step_decay", "one_cycle")
 
 
-def schedule(kind: str = "cosine", init_lr: float = 1e-3, decay_steps: int = 1000, min_lr: float = 1e-6, warmup_steps: int = 0, cycle_period: int = 100, step_size_factor: float = 0.5, step_interval: int = 100, peak_lr: float | None = None) -> Callable[[int], float]:
+def schedule(
+    kind: str = "cosine", init_lr: float = 1e-3, decay_steps: int = 1000, min_lr: float = 1e-6, warmup_steps: int = 0, cycle_period: int = 100,
+    step_size_factor: float = 0.5, step_interval: int = 100, peak_lr: float | None = None,
+) -> Callable[[int], float]:
     """The learning rate of each step. peak_lr is ten times init_lr unless given."""
     peak = 10 * init_lr if peak_lr is None else peak_lr
 
@@ -117,15 +120,99 @@ def central(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, h: float = 1e-
     return (both[: len(x)] - both[len(x) :]) / (2 * steps)
 
 
-def minimize(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, name: str = "BFGS", gradient: Callable[[np.ndarray], np.ndarray] | None = None, max_steps: int = 100, rate: Callable[[int], float] | float = 1e-2, rtol: float = 1e-5, atol: float = 1e-5, log: bool = False) -> Minimum:
-    """Minimises f, which takes points as rows of a matrix. The best point seen is returned; reaching max_steps isn't
-    success. What f raises ends the run without success, and is said in `message`."""
+#: Trust regions: the step of a model within a radius, by name.
+TRUST_REGIONS = ("DogLegBFGS", "DampedTrustRegionBFGS", "IndirectTrustRegionBFGS")
+
+
+def trust_step(name: str, g: np.ndarray, hessian: np.ndarray, radius: float) -> np.ndarray:
+    """A step of the quadratic model within radius. DogLegBFGS: along the gradient to the model's least value there, then
+    towards the Newton point. DampedTrustRegionBFGS: the Newton step of the Hessian with 1 / radius on its diagonal, cut to
+    the radius. IndirectTrustRegionBFGS: the model's minimum within the radius, its damping found by bisection."""
+    values, vectors = np.linalg.eigh((hessian + hessian.T) / 2)
+    values, slope = np.maximum(values, 1e-12), vectors.T @ g
+
+    def damped(x: float) -> np.ndarray:
+        return -vectors @ (slope / (values + x))
+
+    newton = damped(0.0)
+    if name == "DampedTrustRegionBFGS":
+        step = damped(1 / radius)
+        return step * min(1.0, radius / max(np.linalg.norm(step), 1e-300))
+    if np.linalg.norm(newton) <= radius:
+        return newton
+    if name == "IndirectTrustRegionBFGS":
+        low, high = 0.0, np.linalg.norm(g) / radius
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if np.linalg.norm(damped(mid)) > radius else (low, mid)
+        return damped(high)
+    cauchy = -g * (g @ g) / max(g @ hessian @ g, 1e-300)
+    if np.linalg.norm(cauchy) >= radius:
+        return -g * radius / np.linalg.norm(g)
+    leg = newton - cauchy
+    a, b, c = leg @ leg, 2 * cauchy @ leg, cauchy @ cauchy - radius**2
+    return cauchy + leg * (-b + math.sqrt(max(b * b - 4 * a * c, 0.0))) / (2 * a)
+
+
+def _bfgs(hessian: np.ndarray, s: np.ndarray, y: np.ndarray, damped: bool) -> np.ndarray:
+    """The updated Hessian; left alone where the curvature isn't positive, unless damped in Powell's way."""
+    q = hessian @ s
+    sq, sy = float(s @ q), float(s @ y)
+    if damped and sy < 0.2 * sq:
+        theta = 0.8 * sq / max(sq - sy, 1e-300)
+        y, sy = theta * y + (1 - theta) * q, 0.2 * sq
+    if sy <= 1e-12 or sq <= 1e-300:
+        return hessian
+    return hessian + np.outer(y, y) / sy - np.outer(q, q) / sq
+
+
+def minimize(
+    f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, name: str = "BFGS", gradient: Callable[[np.ndarray], np.ndarray] | None = None,
+    max_steps: int = 100, rate: Callable[[int], float] | float = 1e-2, rtol: float = 1e-5, atol: float = 1e-5, log: bool = False,
+) -> Minimum:
+    """Minimises f, which takes points as rows of a matrix. The best point seen is returned.
+
+    BFGS and ArmijoBFGS are two names of one method, quasi-Newton steps with a backtracking search for Armijo's condition.
+    Success is a step within the tolerances, in the point and in the value, or that none would gain more than them; reaching
+    max_steps isn't, nor is a search without a better point (line_search_failed) or a vanished radius (radius_vanished). What f raises
+    ends the run without success, and is said in `message`.
+    """
     if name not in OPTIMIZERS:
         raise ValueError(f"no such optimizer: {name}; there are {', '.join(OPTIMIZERS)}")
     slope = gradient or (lambda v: central(f, v))
     lr = rate if callable(rate) else (lambda _: rate)
     x = np.asarray(x, float)
     best = Minimum(x, np.inf, 0, False, "max_steps_reached")
+
+    def capped(g: np.ndarray) -> np.ndarray:
+        """Gradients of rules have norm 1 at most; a gradient beyond 1e10 anywhere is cut first."""
+        g = np.clip(g, -1e10, 1e10)
+        return g * min(1.0, 1.0 / max(float(np.linalg.norm(g)), 1e-300))
+
+    def searched(d: np.ndarray) -> tuple[np.ndarray, float] | None:
+        """The first halving of d that meets Armijo's condition; all are evaluated in two calls."""
+        scales, trial = 0.5 ** np.arange(30), np.zeros(0)
+        for upto in (6, 30):
+            trial = np.r_[trial, f(x + scales[len(trial) : upto, None] * d)]
+            ok = np.flatnonzero(trial <= value + 1e-4 * scales[:upto] * (g @ d))
+            if len(ok):
+                return x + scales[ok[0]] * d, float(trial[ok[0]])
+        return None
+
+    def least(d: np.ndarray) -> tuple[np.ndarray, float] | None:
+        """Nearly the least value along d, which conjugate directions need: the best of halvings and doublings, then of a
+        grid around it, twice."""
+        scales = 2.0 ** np.arange(4, -30, -1)
+        for _ in range(3):
+            trial = f(x + scales[:, None] * d)
+            at = int(np.nanargmin(trial))
+            if trial[at] > value + 1e-4 * scales[at] * (g @ d):
+                return None
+            best_scale, best_value = scales[at], float(trial[at])
+            wide = scales[max(at - 1, 0)], scales[min(at + 1, len(scales) - 1)]
+            scales = np.unique(np.r_[np.linspace(*wide, 16), best_scale])
+        return x + best_scale * d, best_value
+
     try:
         value, g = float(f(x[None])[0]), slope(x)
         best.x, best.value = x, value
@@ -133,7 +220,7 @@ def minimize(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, name: str = "
             best.code, best.message = "nonfinite", "the start has no finite value"
             return best
         rule, n = (Rule(name) if name in RULES else None), len(x)
-        inverse, direction, radius, skipped = np.eye(n), -g, 1.0, 0
+        hessian, direction, radius, skipped = np.eye(n), -g, 1.0, 0
         for step in range(max_steps):
             best.steps = step + 1
             if log:
@@ -145,57 +232,56 @@ def minimize(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, name: str = "
                     best.code, best.message = "nonfinite", "too many gradients that aren't finite"
                     break
                 g = np.nan_to_num(g, nan=0.0, posinf=0.0, neginf=0.0)
+            if not rule and np.abs(g).max() <= atol * 1e-2:
+                best.success, best.code = True, "successful"
+                break
+            moved = True
             if rule:
-                size = np.linalg.norm(g)
-                new = x + rule.step(x, g * min(1.0, 1.0 / max(size, 1e-300)) if name != "SGD" else np.clip(g, -1e10, 1e10) * min(1.0, 1.0 / max(size, 1e-300)), lr(step))
+                new = x + rule.step(x, capped(g), lr(step))
+                new_value = float(f(new[None])[0])
+            elif name in TRUST_REGIONS:
+                d = trust_step(name, g, hessian, radius)
+                new, promised = x + d, -(g @ d + 0.5 * d @ hessian @ d)
                 new_value = float(f(new[None])[0])
+                ratio = (value - new_value) / max(promised, 1e-300) if np.isfinite(new_value) else -1.0
+                if ratio < 0.25:
+                    radius = 0.25 * min(radius, float(np.linalg.norm(d)))
+                elif ratio > 0.75 and np.linalg.norm(d) > 0.8 * radius or name.startswith("Damped") and ratio > 0.75:
+                    radius = min(2 * radius, 1e6)
+                moved = ratio > 1e-4
+                if radius < 1e-14:
+                    best.success = promised <= atol + rtol * abs(value)
+                    best.code = "successful" if best.success else "radius_vanished"
+                    break
             else:
-                if name in ("GradientDescent", "NonlinearCG"):
-                    d = direction
-                else:
-                    d = -inverse @ g
-                if d @ g >= 0:
-                    inverse, d = np.eye(n), -g
-                if "TrustRegion" in name or name == "DogLegBFGS":
-                    size = np.linalg.norm(d)
-                    if name == "DogLegBFGS" and size > radius:  # along the gradient first, then towards the Newton point
-                        c = -g * min(1.0, radius / max(np.linalg.norm(g), 1e-300))
-                        d = c + (d - c) * max(0.0, min(1.0, (radius - np.linalg.norm(c)) / max(np.linalg.norm(d - c), 1e-300)))
-                    elif size > radius:
-                        d = d * radius / size
-                scales = 0.5 ** np.arange(20)
                 if name == "GradientDescent":
-                    scales = scales * max(1.0, 1.0 / max(np.linalg.norm(g), 1.0))
-                trial = f(x + scales[:6, None] * d)
-                ok = np.flatnonzero(trial <= value + 1e-4 * scales[:6] * (g @ d))
-                if not len(ok):
-                    trial = np.r_[trial, f(x + scales[6:, None] * d)]
-                    ok = np.flatnonzero(trial <= value + 1e-4 * scales * (g @ d))
-                if not len(ok):
+                    d = -g / max(1.0, float(np.linalg.norm(g)))
+                elif name == "NonlinearCG":
+                    d = direction if direction @ g < 0 else -g
+                else:
+                    d = -np.linalg.solve(hessian, g)
+                    d = d if d @ g < 0 else -g
+                found = least(d) if name == "NonlinearCG" else searched(d)
+                if found is None and abs(g @ d) <= atol + rtol * abs(value):  # nothing worth a step is left
                     best.success, best.code = True, "successful"
                     break
-                a = scales[ok[0]]
-                radius = radius * 2 if ok[0] == 0 else max(radius * 0.5, 1e-3)
-                new, new_value = x + a * d, float(trial[ok[0]])
-            new_g = slope(new)
+                if found is None and not np.array_equal(d, -g):  # once more from the gradient alone
+                    hessian, direction = np.eye(n), -g
+                    found = searched(-g)
+                if found is None:
+                    best.code, best.message = "line_search_failed", "no step along the direction improves the value"
+                    break
+                new, new_value = found
+            new_g = slope(new) if moved or name in TRUST_REGIONS and np.isfinite(new_value) else g
             if name == "NonlinearCG":
                 beta = max(0.0, float(new_g @ (new_g - g) / max(g @ g, 1e-300)))
-                direction = -new_g + beta * direction
-            elif name == "GradientDescent":
-                direction = -new_g
-            elif not rule:
-                s, y = new - x, new_g - g
-                sy = float(s @ y)
-                if name.startswith("Damped"):  # Powell's damping keeps the update positive
-                    q = np.linalg.solve(inverse, s)
-                    if sy < 0.2 * (s @ q):
-                        theta = 0.8 * (s @ q) / max(s @ q - sy, 1e-300)
-                        y = theta * y + (1 - theta) * q
-                        sy = float(s @ y)
-                if sy > 1e-12:
-                    left = np.eye(n) - np.outer(s, y) / sy
-                    inverse = left @ inverse @ left.T + np.outer(s, s) / sy
-            done = np.abs(new - x).max() <= atol + rtol * np.abs(new).max() and abs(new_value - value) <= atol + rtol * abs(new_value)
+                direction = -new_g + beta * direction if (step + 1) % max(n, 2) else -new_g
+            elif not rule and name != "GradientDescent" and np.isfinite(new_g).all():
+                hessian = _bfgs(hessian, new - x, new_g - g, name.startswith("Damped"))
+            if not moved:
+                continue
+            near = np.abs(new - x).max() <= atol + rtol * np.abs(new).max()
+            done = near and abs(new_value - value) <= atol + rtol * abs(new_value)
             x, value, g = new, new_value, new_g
             if value < best.value:
                 best.x, best.value = x, value
@@ -225,7 +311,11 @@ class Fit:
     param_history: list[Params]
 
 
-def fit(y: np.ndarray, start: Params, kind: str = "BIF", optimizer: str | None = None, transformed: bool = True, fix_mu: bool = False, true_mu=None, priors: dict | None = None, stability_weight: float = 1000.0, max_steps: int = 50, learning_rate: Callable[[int], float] | float = 1e-2, free: tuple[str, ...] = FIELDS, log: bool = False, evaluate=None, **options) -> Fit:
+def fit(
+    y: np.ndarray, start: Params, kind: str = "BIF", optimizer: str | None = None, transformed: bool = True, fix_mu: bool = False, true_mu=None,
+    priors: dict | None = None, stability_weight: float = 1000.0, max_steps: int = 50, learning_rate: Callable[[int], float] | float = 1e-2,
+    free: tuple[str, ...] = FIELDS, log: bool = False, evaluate=None, **options,
+) -> Fit:
     """Estimates parameters on one panel y (T, N). fix_mu holds mu at true_mu, which it needs. evaluate, if given, works
     out the objective for many candidates, (list of Params) -> values, and may do so on a cluster."""
     name = optimizer or DEFAULT_OPTIMIZER.get(kind)

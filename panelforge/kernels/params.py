@@ -181,10 +181,12 @@ def realistic(N: int, K: int, seed: int = 42) -> Params:
 
 
 def random_study(N: int, K: int, seed: int) -> Params:
-    """Parameters of one replicate: normal loadings, dynamics scaled to a spectral radius, full Q_h."""
+    """Parameters of one replicate: normal loadings, normal dynamics scaled down to a spectral radius where they are beyond
+    it, full Q_h."""
     g = np.random.RandomState(seed)
     lam = g.normal(size=(N, K))
-    phi_f, phi_h = _scaled(g.normal(size=(K, K)), 0.8), _scaled(g.normal(size=(K, K)), 0.95)
+    draws = [(g.normal(0, 0.5, (K, K)), most) for most in (0.8, 0.95)]
+    phi_f, phi_h = (_scaled(a, most) if np.abs(np.linalg.eigvals(a)).max() > most else a for a, most in draws)
     mu, s2, a = g.normal(-1, 0.5, K), np.exp(g.normal(-1, 0.5, N)), g.normal(0, 0.2, (K, K))
     return Params(N, K, lam, phi_f, phi_h, mu, s2, a @ a.T + 1e-4 * np.eye(K))
 

@@ -309,3 +309,110 @@ def test_recovery_and_boundary():
     assert r.value < 1e-2 and r.steps <= 600
     p = small()
     assert L.boundary_penalty(p.replace(Phi_f=np.array([[0.5]]), Phi_h=np.array([[0.5]]))) == 0 < L.boundary_penalty(p.replace(sigma2=np.array([0.1, 0.1, 1e-4])))
+
+
+# --- optimizers end honestly, and names are different methods ---
+
+
+def rosenbrock(v):
+    return 100 * (v[:, 1] - v[:, 0] ** 2) ** 2 + (1 - v[:, 0]) ** 2
+
+
+@pytest.mark.parametrize("name", [n for n in O.LINE_SEARCH if n != "GradientDescent"])
+def test_second_order_methods_solve_rosenbrock(name):
+    for start in ([0.0, 0.0], [-1.2, 1.0], [2.0, -3.0]):
+        r = O.minimize(rosenbrock, np.array(start), name, max_steps=2000, rtol=1e-8, atol=1e-8)
+        assert r.success and r.value < 1e-4 and np.abs(r.x - 1).max() < 2e-2, (name, start, r.code, r.value, r.steps)
+
+
+def test_a_failed_search_is_no_success():
+    rng = np.random.default_rng(0)
+    noisy = lambda v: np.abs(v[:, 0]) + 0.3 * np.abs(np.sin(1e6 * v[:, 0])) + 1e-3 * rng.normal(size=len(v))
+    r = O.minimize(noisy, np.array([3.0]), "BFGS", max_steps=200, rtol=0, atol=0)
+    assert not r.success and r.code in ("line_search_failed", "max_steps_reached")
+    uphill = O.minimize(rosenbrock, np.array([0.5, 0.5]), "BFGS", gradient=lambda v: -O.central(rosenbrock, v), max_steps=50)
+    assert not uphill.success and uphill.code == "line_search_failed"
+    cut = O.minimize(rosenbrock, np.array([-1.2, 1.0]), "NonlinearCG", max_steps=10)
+    assert not cut.success and cut.code == "max_steps_reached"
+
+
+def test_trust_region_names_take_different_steps():
+    g, h = np.array([1.0, -2.0]), np.array([[3.0, 1.0], [1.0, 2.0]])
+    steps = {n: O.trust_step(n, g, h, 0.3) for n in O.TRUST_REGIONS}
+    model = lambda d: g @ d + 0.5 * d @ h @ d
+    assert all(np.linalg.norm(d) <= 0.3 + 1e-9 and model(d) < 0 for d in steps.values())
+    # the indirect one is the model's least value within the radius, by brute force over the circle
+    at = np.linspace(0, 2 * np.pi, 20_001)
+    least = min(model(0.3 * np.array([np.cos(a), np.sin(a)])) for a in at)
+    assert abs(model(steps["IndirectTrustRegionBFGS"]) - least) < 1e-6
+    assert len({tuple(np.round(d, 6)) for d in steps.values()}) == 3
+    assert all(np.allclose(O.trust_step(n, g, h, 1e3), -np.linalg.solve(h, g), atol=2e-3) for n in O.TRUST_REGIONS)
+
+
+# --- multivariate tests ---
+
+
+def test_portmanteau_has_its_size_and_power():
+    """Correlated white noise of unequal scale: rejected in about 5 of 100; any linear transform gives the same statistic."""
+    rng = np.random.default_rng(11)
+    mix = np.array([[1.0, 0, 0], [0.9, 0.3, 0], [40.0, -3.0, 9.0]])
+    rejected = {"hosking": 0, "limcleod": 0}
+    for _ in range(200):
+        x = rng.normal(size=(400, 3)) @ mix.T
+        for kind in rejected:
+            rejected[kind] += D.portmanteau(x, 5, kind)[1] < 0.05
+    assert all(2 <= n <= 22 for n in rejected.values()), rejected
+    x = rng.normal(size=(400, 3))
+    for kind in rejected:
+        assert abs(D.portmanteau(x, 5, kind)[0] - D.portmanteau(x @ mix.T, 5, kind)[0]) < 1e-6
+        ar = np.zeros((400, 3))
+        for t in range(1, 400):
+            ar[t] = 0.5 * ar[t - 1] + x[t]
+        assert D.portmanteau(ar, 5, kind)[1] < 1e-6
+    # one series: Hosking's statistic is Ljung and Box's but for n (n + 2) in place of n n
+    one = rng.normal(size=(300, 1))
+    assert abs(D.portmanteau(one, 4)[0] * 302 / 300 - D.ljung_box(one[:, 0], 4)[0]) < 1e-8
+    c, t = x - x.mean(0), len(x)
+    inv = np.linalg.inv(c.T @ c / t)
+    terms = [np.sum((c[h:].T @ c[:-h] / t @ inv) ** 2) for h in range(1, 6)]
+    assert abs(D.portmanteau(x, 5, "hosking", unscaled=True)[0] - t * sum(terms)) < 1e-8
+    assert abs(D.portmanteau(x, 5, "limcleod", unscaled=True)[0] - t * t * sum(v / (t - h) for h, v in enumerate(terms, 1))) < 1e-8
+
+
+def test_mardia_without_a_square_matrix():
+    x = np.random.default_rng(3).gamma(2.0, size=(500, 4))
+    c = x - x.mean(0)
+    g = c @ np.linalg.inv(c.T @ c / 500) @ c.T
+    m = D.mardia(x)
+    assert abs(m["skewness"] - (g**3).mean()) < 1e-8 and abs(m["kurtosis"] - (np.diag(g) ** 2).mean()) < 1e-8
+    assert abs(D.mardia(x, own_distances=True)["skewness"] - np.outer(np.diag(g), np.diag(g)).mean() ** 1.5) < 1e-8
+    big = np.random.default_rng(4).normal(size=(200_000, 5))
+    assert 0 <= D.mardia(big)["skewness"] < 0.01
+
+
+def test_random_study_draws_like_the_recipe():
+    """Draws of a legacy generator in a stated order; dynamics are scaled only where they are beyond their radius."""
+    scaled = 0
+    for seed in range(60):
+        p = P.random_study(4, 2, seed)
+        g = np.random.RandomState(seed)
+        lam, a, b = g.normal(0, 1, (4, 2)), g.normal(0, 0.5, (2, 2)), g.normal(0, 0.5, (2, 2))
+        mu, s2, q = g.normal(-1, 0.5, (2, 1)), np.exp(g.normal(-1, 0.5, 4)), g.normal(0, 0.2, (2, 2))
+        for raw, got, most in ((a, p.Phi_f, 0.8), (b, p.Phi_h, 0.95)):
+            size = np.abs(np.linalg.eigvals(raw)).max()
+            scaled += size > most
+            assert np.allclose(got, raw * most / size if size > most else raw)
+        assert np.allclose(p.lambda_r, lam) and np.allclose(p.mu, mu.ravel()) and np.allclose(p.sigma2, s2) and np.allclose(p.Q_h, q @ q.T + 1e-4 * np.eye(2))
+    assert 0 < scaled < 120
+
+
+def test_student_likelihood_against_its_density():
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(3, 3))
+    cov, y, v = np.stack([a @ a.T + np.eye(3)] * 6), rng.normal(size=(6, 3)), 5.0
+    want = 0.0
+    for r in y:
+        scale = cov[0] * (v - 2) / v  # a Student t with this covariance
+        want += math.lgamma((v + 3) / 2) - math.lgamma(v / 2) - 1.5 * math.log(v * math.pi) - 0.5 * np.linalg.slogdet(scale)[1]
+        want -= 0.5 * (v + 3) * math.log1p(r @ np.linalg.inv(scale) @ r / v)
+    assert abs(G.student_loglik(y, cov, v) - want) < 1e-9
