@@ -13,8 +13,8 @@ import numpy as np
 
 from .params import Params
 
-SWEEPS, NEWTON = 10, 12
-CLOSE = 1e-7  #: a search ends when it moves no further than this
+SWEEPS, NEWTON = 200, 12
+CLOSE = 1e-10  #: a search ends when it moves no further than this
 H_MOST = 50.0  #: log volatilities are held within, so that their exponentials stay finite
 BIF, BF = "BIF", "BF"
 

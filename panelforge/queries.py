@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import functions as P
+from . import model_sql as M
 from .kernels.params import Params, realistic
 from .operators import aggregate, models, panel, reshape
 from .plans import study
@@ -388,11 +389,12 @@ def top_months(spark, sf):
     return n.withColumn("i", F.row_number().over(w)).filter("i <= 3").drop("i")
 
 
-# --- models: no SQL; tests compare them with the kernels ---
+# --- models ---
 
 
 def _flag_params() -> Params:
-    return Params.from_dict({"lambda_r": [[1.0], [0.8], [0.6]], "Phi_f": 0.2, "Phi_h": 0.9, "mu": -4.0, "sigma2": 0.01, "Q_h": 0.1})
+    lam = [[x] for x in M.LAM]
+    return Params.from_dict({"lambda_r": lam, "Phi_f": M.PHI_F, "Phi_h": M.PHI_H, "mu": M.MU, "sigma2": M.S2, "Q_h": M.Q_H})
 
 
 def _dense_by_region(spark: SparkSession, sf: str) -> DataFrame:
@@ -412,25 +414,43 @@ def _shared_params(spark: SparkSession, dense: DataFrame) -> DataFrame:
     return dense.select("run_id").distinct().crossJoin(one)
 
 
-def _model(kind: str):
-    def run(spark, sf):
-        dense = _dense_by_region(spark, sf)
-        p = _shared_params(spark, dense)
-        states = models.smooth_df(dense, p) if kind == "smooth" else models.particle_df(dense, p, 500) if kind == "PF" else models.filter_df(dense, p, kind)
-        return models.long_states(states)
+def _filtered(spark: SparkSession, sf: str, kind: str = "BIF") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The dense panel, its parameters and its filtered states."""
+    dense = _dense_by_region(spark, sf)
+    p = _shared_params(spark, dense)
+    return dense, p, models.filter_df(dense, p, kind)
+
 
-    return run
+@query(M.states("BIF", 4))
+def filter_bif(spark, sf):
+    return _rounded(models.long_states(_filtered(spark, sf)[2]), 4)
 
 
-for _name, _kind in (("filter_bif", "BIF"), ("filter_bf", "BF"), ("filter_pf", "PF"), ("smooth_states", "smooth")):
-    QUERIES[_name] = _model(_kind)
+@query(M.states("BF", 4))
+def filter_bf(spark, sf):
+    return _rounded(models.long_states(_filtered(spark, sf, "BF")[2]), 4)
 
 
 @query()
+def filter_pf(spark, sf):
+    dense = _dense_by_region(spark, sf)
+    return models.long_states(models.particle_df(dense, _shared_params(spark, dense), 500))
+
+
+@query(M.smoothed(4))
+def smooth_states(spark, sf):
+    dense = _dense_by_region(spark, sf)
+    return _rounded(models.long_states(models.smooth_df(dense, _shared_params(spark, dense))), 4)
+
+
+_MUS = {f"mu{m}": m for m in (-6.0, -5.0, -4.0, -3.0, -2.0)}
+
+
+@query(M.logliks(_MUS, 3))
 def loglik_grid(spark, sf):
     base = _flag_params()
-    points = {f"mu{m}": base.replace(mu=base.mu * 0 + m) for m in (-6.0, -5.0, -4.0, -3.0, -2.0)}
-    return models.loglik_df(_dense_by_region(spark, sf), models.params_df(spark, points))
+    points = {name: base.replace(mu=base.mu * 0 + m) for name, m in _MUS.items()}
+    return _rounded(models.loglik_df(_dense_by_region(spark, sf), models.params_df(spark, points)), 3)
 
 
 @query()
@@ -441,16 +461,20 @@ def fit_regions(spark, sf):
     return fits.select("fit_id", "filter_type", "optimizer_name", "success", "result_code", "final_loss", "steps", F.col("final_params.mu").alias("mu"))
 
 
-@query()
+def _residuals(spark: SparkSession, sf: str) -> DataFrame:
+    dense, p, states = _filtered(spark, sf)
+    return models.residuals_df(dense, states, p)
+
+
+@query(M.residuals(4))
 def residual_statistics(spark, sf):
-    dense = _dense_by_region(spark, sf)
-    p = _shared_params(spark, dense)
-    return models.residuals_df(dense, models.filter_df(dense, p), p)
+    z = [F.get("z", F.lit(i)).alias(f"z{i + 1}") for i in range(3)]
+    return _rounded(_residuals(spark, sf).select("run_id", "t", *z, "logdet", "avg_corr", "factor_share"), 4)
 
 
 @query()
 def residual_multivariate_tests(spark, sf):
-    return models.multivariate_tests_df(residual_statistics(spark, sf))
+    return models.multivariate_tests_df(_residuals(spark, sf))
 
 
 @query()
@@ -475,9 +499,9 @@ def linear_factors(spark, sf):
     return models.linear_factors_df(_dense_by_region(spark, sf), 1)
 
 
-@query()
+@query(M.components(5))
 def principal_components(spark, sf):
-    return models.pca_df(_dense_by_region(spark, sf))
+    return _rounded(models.pca_df(_dense_by_region(spark, sf)), 5)
 
 
 @query()
@@ -519,11 +543,10 @@ def flag_effect(spark, sf):
     return e.select("l_returnflag", _r("with_flag", 4).alias("with_flag"), _r("without_flag", 4).alias("without_flag"), _r("effect_pct", 5).alias("effect_pct"))
 
 
-@query()
+@query(M.quality(5))
 def implied_fit_quality(spark, sf):
-    dense = _dense_by_region(spark, sf)
-    p = _shared_params(spark, dense)
-    return models.fit_quality_df(dense, models.filter_df(dense, p), p)
+    dense, p, states = _filtered(spark, sf)
+    return _rounded(models.fit_quality_df(dense, states, p), 5)
 
 
 @query()
