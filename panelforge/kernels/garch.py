@@ -74,11 +74,12 @@ def fit_garch(x: np.ndarray, max_steps: int = 60) -> Garch:
     return Garch(omega, alpha, beta, nu, -got.value, got.success, h / SCALE**2, x / np.sqrt(h), cov)
 
 
-def dcc_path(eps: np.ndarray, sigma: np.ndarray, a: float, b: float) -> tuple[np.ndarray, np.ndarray]:
+def dcc_path(eps: np.ndarray, sigma: np.ndarray, a: float, b: float, known: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(R, H), (T, N, N): conditional correlations and covariances of standardised residuals eps with deviations sigma.
-    Q_0 is the mean outer product; each next one takes its share (1 - a - b), a of the last outer product, b of the last Q."""
+    known: how many rows of eps the mean is taken of, all unless given. Q_0 is the mean outer product; each next one takes its share (1 - a - b), a of the last outer product, b of the last Q."""
     t_all, n = eps.shape
-    mean = eps.T @ eps / t_all
+    seen = eps[:known]
+    mean = seen.T @ seen / len(seen)
     q, r = mean, np.empty((t_all, n, n))
     for t in range(t_all):
         if t:
@@ -105,6 +106,12 @@ def fit_dcc(eps: np.ndarray, steps: int = 40) -> tuple[float, float, float]:
     return total * part, total * (1 - part), -got.value
 
 
+def dcc_forecast(eps: np.ndarray, sigma_next: np.ndarray, a: float, b: float) -> np.ndarray:
+    """The covariance one step ahead, from the whole path of correlations and the next deviations."""
+    r, _ = dcc_path(np.vstack([eps, np.zeros(eps.shape[1])]), np.ones((len(eps) + 1, eps.shape[1])), a, b, len(eps))
+    return r[-1] * np.outer(sigma_next, sigma_next)
+
+
 def ridged(cov: np.ndarray, ridge: float = 1e-6) -> np.ndarray:
     try:
         np.linalg.cholesky(cov)

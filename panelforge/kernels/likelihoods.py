@@ -72,9 +72,13 @@ def logliks(params: list[Params], y: np.ndarray, kind: str = "BIF", particles: i
         return filters.total(filters.run_filter(filters.Batch.of(params), np.broadcast_to(y, (len(params), *y.shape)), kind).loglik)
 
 
-def objectives(params: list[Params], y: np.ndarray, kind: str = "BIF", priors: dict | None = None, stability_weight: float = 0.0, transformed: bool = False, fixed_mu: np.ndarray | None = None, **options) -> np.ndarray:
+def objectives(
+    params: list[Params], y: np.ndarray, kind: str = "BIF", priors: dict | None = None, stability_weight: float = 0.0, transformed: bool = False,
+    fixed_mu: np.ndarray | None = None, boundary_weight: float = 0.0, **options,
+) -> np.ndarray:
     """The values to minimise: negative log posterior plus weighted instability. Unstable candidates get a large value and
-    never reach the likelihood."""
+    never reach the likelihood. boundary_weight makes the objective robust: it adds boundary_penalty() at that weight, which
+    turns a search away before it meets the gate."""
     done = [identified(untransform(p) if transformed else p) for p in params]
     if fixed_mu is not None:
         done = [p.replace(mu=np.asarray(fixed_mu, float)) for p in done]
@@ -90,6 +94,8 @@ def objectives(params: list[Params], y: np.ndarray, kind: str = "BIF", priors: d
         value = np.where(np.isfinite(ll), -ll, UNSTABLE)
         if priors is not None:
             value = value - np.array([log_prior(done[i], **priors) for i in good])
+        if boundary_weight:
+            value = value + np.array([boundary_penalty(done[i], weight=boundary_weight) for i in good])
         out[good] = value
     return out
 

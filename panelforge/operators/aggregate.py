@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import clean, guarded_ratio, sem
+from ..functions import clean, guarded_ratio, list_mean, sem
 
 
 def group_stats(df: DataFrame, by: Sequence[str], values: Sequence[str], stats: Sequence[str] = ("mean", "std", "median", "count", "se"), null_as_zero: bool = False) -> DataFrame:
@@ -111,3 +111,31 @@ def paired_effect(df: DataFrame, by: Sequence[str], flag: str, value: str) -> Da
     neither."""
     g = df.groupBy(*by).agg(F.avg(F.when(F.col(flag), F.col(value))).alias("with_flag"), F.avg(F.when(~F.col(flag), F.col(value))).alias("without_flag"))
     return g.withColumn("effect_pct", guarded_ratio(100.0 * (F.col("with_flag") - F.col("without_flag")), F.abs("without_flag"), 1e-12, None))
+
+
+def with_unobserved(df: DataFrame, by: Sequence[str], values: Sequence[str], stats: Sequence[str] = ("median", "count")) -> DataFrame:
+    """group_stats over every combination of the keys' values, also those that no row has: their statistics are NULL, their
+    counts 0. NULL keys are values like others. Only the keys' distinct values are crossed."""
+    seen = group_stats(df, by, values, stats)
+    every = None
+    for k in by:
+        axis = df.select(k).distinct()
+        every = axis if every is None else every.crossJoin(axis)
+    renamed = seen.select(*[F.col(k).alias(f"__{k}") for k in by], *[c for c in seen.columns if c not in by])
+    same = None
+    for k in by:
+        one = F.col(k).eqNullSafe(F.col(f"__{k}"))
+        same = one if same is None else same & one
+    out = every.join(renamed, same, "left").drop(*[f"__{k}" for k in by])
+    counts = {f"{v}_count": F.coalesce(f"{v}_count", F.lit(0)) for v in values if "count" in stats}
+    return out.withColumns(counts) if counts else out
+
+
+def mean_by_prefix(df: DataFrame, kinds: Sequence[str], name: str) -> DataFrame:
+    """<kind>_<name>_mean for each kind: the mean over its columns <kind>_<name>_0, _1, ...; NULLs are left out. A kind
+    without such columns gets NULL."""
+    def mean(k: str) -> Column:
+        found = [F.col(c).cast("double") for c in df.columns if c.startswith(f"{k}_{name}_") and c.rsplit("_", 1)[1].isdigit()]
+        return list_mean(F.array(*found)) if found else F.lit(None).cast("double")
+
+    return df.withColumns({f"{k}_{name}_mean": mean(k) for k in kinds})

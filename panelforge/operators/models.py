@@ -13,7 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -179,18 +179,23 @@ def accuracy_df(states: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def loglik_df(panel: DataFrame, candidates: DataFrame, kind: str = "BIF", particles: int = 1000, seed: int = 42) -> DataFrame:
-    """(run_id, param_id, filter_type, loglik, loglik_constant) of every candidate on every run. A run's candidates are
-    evaluated in one batch; loglik_constant is to be added to a mode filter's value before filters are compared."""
+    """(run_id, param_id, filter_type, loglik, loglik_constant) of every candidate on every run. Candidates are dealt into
+    as many blocks as there are shuffle partitions; a block meets a run in one task and is evaluated in one batch, so a grid
+    over one run runs in parallel, and a panel is copied once a block. loglik_constant is to be added to a mode filter's
+    value before filters are compared."""
     packed = panel.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("t", "y"))).alias("ys"))
-    pairs = spread(packed.crossJoin(candidates), "run_id")
+    block = F.pmod(F.xxhash64("param_id"), F.lit(int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions")))).alias("block")
+    blocks = candidates.groupBy(block).agg(F.collect_list(F.struct("param_id", *DESIGN)).alias("candidates"))
+    pairs = spread(packed.crossJoin(blocks), "run_id", "block")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for run_id, g in pdf.groupby("run_id", sort=False):
-                y = np.array([r["y"] for r in g["ys"].iloc[0]], float)
-                ll = likelihoods.logliks([_of(r) for r in g.to_dict("records")], y, kind, particles, seed)
+            for run_id, ys, block in zip(pdf["run_id"], pdf["ys"], pdf["candidates"]):
+                y, block = np.array([r["y"] for r in ys], float), [_plain(c) for c in block]
+                ll = likelihoods.logliks([_of(c) for c in block], y, kind, particles, seed)
                 const = 0.0 if kind == "PF" else filters.constant(y.shape[1], len(y))
-                yield pd.DataFrame({"run_id": run_id, "param_id": g["param_id"].to_numpy(), "filter_type": kind, "loglik": ll, "loglik_constant": const})
+                names = [c["param_id"] for c in block]
+                yield pd.DataFrame({"run_id": run_id, "param_id": names, "filter_type": kind, "loglik": ll, "loglik_constant": const})
 
     return pairs.mapInPandas(run, schemas.LOGLIK)
 
@@ -208,16 +213,23 @@ def fit_df(panel: DataFrame, starts: DataFrame, kind: str = "BIF", **options) ->
     return with_params(panel, starts).groupBy("run_id").applyInPandas(run, schemas.FIT)
 
 
+PANEL_BYTES = 64 << 20  #: of a panel that fit_distributed sends to every task
+
+
 def fit_distributed(panel: DataFrame, start: Params, kind: str = "BIF", **options) -> optimize.Fit:
     """One estimation whose gradients are Spark jobs: every step's candidates are rows, evaluated in parallel. The panel is
-    one run, small enough for each task to hold."""
+    one run; one of more than PANEL_BYTES is refused before any of it is collected."""
     spark = panel.sparkSession
+    size = 8 * (panel.agg(F.sum(F.size("y"))).first()[0] or 0)
+    if size > PANEL_BYTES:
+        raise ValueError(f"the panel has {size} bytes, more than the {PANEL_BYTES} that every task may hold; use fit_df")
     y = _y(panel.select("t", "y").toPandas())
     data = spark.sparkContext.broadcast(y)
     priors, weight = options.get("priors"), options.get("stability_weight", 1000.0)
 
     def evaluate(candidates: list[Params]) -> np.ndarray:
-        table = params_df(spark, {str(i): p for i, p in enumerate(candidates)}).repartition(min(len(candidates), spark.sparkContext.defaultParallelism))
+        parts = min(len(candidates), spark.sparkContext.defaultParallelism)
+        table = params_df(spark, {str(i): p for i, p in enumerate(candidates)}).repartition(parts)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -227,21 +239,78 @@ def fit_distributed(panel: DataFrame, start: Params, kind: str = "BIF", **option
         got = table.mapInPandas(run, "i int, value double").collect()
         return np.array([r["value"] for r in sorted(got, key=lambda r: r["i"])])
 
-    return optimize.fit(y, start, kind, evaluate=evaluate, **options)
+    try:
+        return optimize.fit(y, start, kind, evaluate=evaluate, **options)
+    finally:
+        data.destroy()
+
+
+def _pairs(true: DataFrame, estimated: DataFrame, key: str) -> DataFrame:
+    a = true.select(F.col(key).alias("id"), F.struct(*DESIGN).alias("a"))
+    return a.join(estimated.select(F.col(key).alias("id"), F.struct(*DESIGN).alias("b")), "id")
 
 
 def param_errors_df(true: DataFrame, estimated: DataFrame, key: str = "param_id") -> DataFrame:
-    """Errors of each parameter, for ids that both tables have."""
-    pairs = true.select(F.col(key).alias("id"), F.struct(*DESIGN).alias("a")).join(estimated.select(F.col(key).alias("id"), F.struct(*DESIGN).alias("b")), "id")
+    """Errors of each parameter, for ids that both tables have; unmatched_ids() gives the others."""
+    pairs = _pairs(true, estimated, key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [{"id": i} | r for i, a, b in zip(pdf["id"], pdf["a"], pdf["b"]) for r in diagnostics.param_errors(_of(_plain(a)), _of(_plain(b)))]
-            yield pd.DataFrame(rows)
+            both = zip(pdf["id"], pdf["a"], pdf["b"])
+            yield pd.DataFrame([{"id": i} | r for i, a, b in both for r in diagnostics.param_errors(_of(_plain(a)), _of(_plain(b)))])
 
     return pairs.mapInPandas(run, schemas.PARAM_ERRORS)
 
 
+def unmatched_ids(true: DataFrame, estimated: DataFrame, key: str = "param_id") -> DataFrame:
+    """(id, side): ids that only one of the tables has, true or estimated."""
+    a, b = (d.select(F.col(key).alias("id")).distinct() for d in (true, estimated))
+    return a.join(b, "id", "left_anti").withColumn("side", F.lit("true")).union(b.join(a, "id", "left_anti").withColumn("side", F.lit("estimated")))
+
+
+def element_bias_df(true: DataFrame, estimated: DataFrame, key: str = "param_id") -> DataFrame:
+    """(id, param, i, j, bias): estimate minus truth of every element, vectors with j = 0; built-in expressions."""
+    def cells(side: str, name: str) -> Column:
+        x = F.col(f"{side}.{name}")
+        return x if name in ("lambda_r", "Phi_f", "Phi_h", "Q_h") else F.transform(x, lambda v: F.array(v))
+
+    def bias(name: str) -> Column:
+        rows = F.zip_with(cells("a", name), cells("b", name), lambda r, s: F.zip_with(r, s, lambda v, w: w - v))
+        flat = F.flatten(F.transform(rows, lambda r, i: F.transform(r, lambda v, j: F.struct(F.lit(name).alias("param"), i.alias("i"), j.alias("j"), v.alias("bias")))))
+        return flat
+
+    return _pairs(true, estimated, key).select("id", F.inline(F.concat(*[bias(f) for f in FIELDS])))
+
+
+def bias_ellipses_df(bias: DataFrame, by: tuple[str, ...] = ("param",)) -> DataFrame:
+    """(by, major, minor, angle): axes and angle, in degrees, of each group's mean 2 x 2 bias matrix; built-in aggregates.
+    bias: element_bias_df(), of whose matrices those of 2 x 2 elements count."""
+    def at(i: int, j: int) -> Column:
+        return F.avg(F.when((F.col("i") == i) & (F.col("j") == j), F.col("bias")))
+
+    square = bias.groupBy(*by).agg(F.max("i").alias("__i"), F.max("j").alias("__j"), at(0, 0).alias("p"), ((at(0, 1) + at(1, 0)) / 2).alias("q"), at(1, 1).alias("r"))
+    half, gap = (F.col("p") + F.col("r")) / 2, F.sqrt(((F.col("p") - F.col("r")) / 2) ** 2 + F.col("q") ** 2)
+    angle = F.degrees(F.atan2(2 * F.col("q"), F.col("p") - F.col("r"))) / 2
+    return square.filter("__i = 1 and __j = 1").select(*by, (half + gap).alias("major"), (half - gap).alias("minor"), angle.alias("angle"))
+
+
+def key_parameters_df(params: DataFrame, key: str = "param_id") -> DataFrame:
+    """(id, phi_f_size, phi_h_size, mu_mean, sigma2_min, sigma2_max, sigma2_mean, q_h_mean): greatest eigenvalue sizes of the
+    dynamics, mean mu, range and mean of the variances, mean diagonal of Q_h."""
+    schema = "id string, phi_f_size double, phi_h_size double, mu_mean double, sigma2_min double, sigma2_max double, sigma2_mean double, q_h_mean double"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.to_dict("records"):
+                p = _of(r)
+                sizes = [float(np.abs(np.linalg.eigvals(x)).max()) for x in (p.Phi_f, p.Phi_h)]
+                rows.append((str(r[key]), *sizes, p.mu.mean(), p.sigma2.min(), p.sigma2.max(), p.sigma2.mean(), np.diag(p.Q_h).mean()))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return params.select(key, *DESIGN).mapInPandas(run, schema)
+
+
 def _plain(x):
     return x.asDict() if hasattr(x, "asDict") else dict(x)
 
@@ -332,6 +401,65 @@ def dcc_df(panel: DataFrame, run: str = "run_id") -> DataFrame:
     return spread(panel.select(run, "t", "y"), run).groupBy(run).applyInPandas(go, schema)
 
 
+def lyapunov_df(params: DataFrame, rounds: int = 30) -> DataFrame:
+    """(param_id, rounds, i, j, value): the covariance that log volatilities reach after each number of rounds up to rounds."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                p = _of(r)
+                for n in range(rounds + 1):
+                    x = filters.lyapunov(p.Phi_h, p.Q_h, n)
+                    i, j = np.indices(x.shape)
+                    yield pd.DataFrame({"param_id": r["param_id"], "rounds": n, "i": i.ravel(), "j": j.ravel(), "value": x.ravel()})
+
+    return params.mapInPandas(run, "param_id string, rounds int, i int, j int, value double")
+
+
+def garch_path_df(df: DataFrame, by: str, at: str, value: str, omega: float, alpha: float, beta: float, start: float) -> DataFrame:
+    """(series, i, variance): conditional variances at given parameters, from i = 1 on, one for each value in the order of
+    time."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(at)[value].dropna().to_numpy(float)
+        h = garch.variance_path(x * x, omega, alpha, beta, start)[:, 0]
+        return pd.DataFrame({"series": str(pdf[by].iloc[0]), "i": np.arange(1, len(h) + 1), "variance": h})
+
+    return spread(df.select(by, at, value), by).groupBy(by).applyInPandas(run, "series string, i int, variance double")
+
+
+def dcc_path_df(panel: DataFrame, a: float, b: float, omega: float, alpha: float, beta: float, run: str = "run_id") -> DataFrame:
+    """(run_id, t, corr, cov, dim, gmv) at given parameters of the variances and of the correlations; each variance begins
+    with its series' mean square. The last row of a run, one step after its last observation, is the forecast."""
+    def go(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = _y(pdf)
+        ahead = np.vstack([y, np.zeros(y.shape[1])])
+        h = np.column_stack([garch.variance_path(ahead[:, i] ** 2, omega, alpha, beta, float((y[:, i] ** 2).mean()))[:, 0] for i in range(y.shape[1])])
+        eps, sigma = y / np.sqrt(h[:-1]), np.sqrt(h)
+        cov = np.concatenate([garch.dcc_path(eps, sigma[:-1], a, b)[1], garch.dcc_forecast(eps, sigma[-1], a, b)[None]])
+        corr = cov / (sigma[:, :, None] * sigma[:, None, :])
+        t = np.sort(pdf["t"].to_numpy())
+        rows = {"run_id": pdf[run].iloc[0], "t": np.r_[t, t[-1] + 1], "corr": list(corr.reshape(len(cov), -1)), "cov": list(cov.reshape(len(cov), -1))}
+        return pd.DataFrame(rows | {"dim": y.shape[1], "gmv": [garch.minimum_variance(c) for c in cov]})
+
+    schema = "run_id string, t int, corr array<double>, cov array<double>, dim int, gmv array<double>"
+    return spread(panel.select(run, "t", "y"), run).groupBy(run).applyInPandas(go, schema)
+
+
+def student_loglik_df(panel: DataFrame, covs: DataFrame, dof: float, n_params: int, run: str = "run_id") -> DataFrame:
+    """(run_id, n_obs, loglik, aic, bic) of returns under a multivariate Student t with each step's covariance. panel: (run_id,
+    t, y); covs: (run_id, t, cov). Steps are independent once covariances are known, so rows aren't grouped: each gives its
+    density, and sums are aggregates. A step whose covariance has no positive determinant, ridged, is left out."""
+    rows = panel.select(run, "t", "y").join(covs.select(run, "t", "cov"), [run, "t"])
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            y = [np.array(v, float) for v in pdf["y"]]
+            values = [garch.student_loglik(v[None], np.array(c, float).reshape(1, len(v), len(v)), dof) for v, c in zip(y, pdf["cov"])]
+            yield pd.DataFrame({"run_id": pdf[run].astype(str), "value": values})
+
+    sums = rows.mapInPandas(go, "run_id string, value double").groupBy("run_id").agg(F.count("*").alias("n_obs"), F.sum("value").alias("loglik"))
+    return sums.withColumns({"aic": 2.0 * n_params - 2 * F.col("loglik"), "bic": n_params * F.log("n_obs") - 2 * F.col("loglik")})
+
+
 def linear_factors_df(panel: DataFrame, k: int, run: str = "run_id") -> DataFrame:
     """(run_id, t, state, loglik, aic, bic) of a linear Gaussian factor model fitted to each run."""
     def go(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -352,6 +480,12 @@ def pca_df(panel: DataFrame, run: str = "run_id") -> DataFrame:
     return spread(panel.select(run, "t", "y"), run).groupBy(run).applyInPandas(go, "run_id string, component int, eigenvalue double, ratio double, cumulative double")
 
 
+def components_needed(components: DataFrame, shares: tuple[float, ...] = (0.5, 0.8, 0.9, 0.95), run: str = "run_id") -> DataFrame:
+    """(run_id, needed_50, needed_80, ...): how many components reach each share. components: pca_df()."""
+    least = [F.min(F.when(F.col("cumulative") >= s - 1e-12, F.col("component"))).alias(f"needed_{round(100 * s)}") for s in shares]
+    return components.groupBy(run).agg(*least)
+
+
 def complete_loglik_df(simulated: DataFrame, params: DataFrame) -> DataFrame:
     """(run_id, observation, factors, volatility, joint): complete-data log likelihoods of runs whose states are known."""
     key = "run_id" if "run_id" in params.columns else "param_id"

@@ -126,8 +126,8 @@ def skip_first(df: DataFrame, at: str, by: Sequence[str], n: int = 10) -> DataFr
 
 def common_dates(df: DataFrame, at: str, by: str) -> DataFrame:
     """Rows of the dates that every group has."""
-    n = df.select(by).distinct().count()
-    shared = df.groupBy(at).agg(F.count_distinct(by).alias("__n")).filter(F.col("__n") == n).select(at)
+    groups = df.agg(F.count_distinct(by).alias("__all"))
+    shared = df.groupBy(at).agg(F.count_distinct(by).alias("__n")).join(groups, F.col("__n") == F.col("__all")).select(at)
     return df.join(shared, at, "left_semi")
 
 

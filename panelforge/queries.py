@@ -367,19 +367,10 @@ def compare_with_tolerance(spark, sf):
     return _rounded(aggregate.compare(a, b, ["p_brand"], ["m"], rtol=0.002).drop("column"), 4)
 
 
-@query("WITH RECURSIVE p(k, v) AS (SELECT 0, 0.05::DOUBLE UNION ALL SELECT k + 1, 0.95 * v * 0.95 + 0.05 FROM p WHERE k < 30) SELECT k::INT AS k, round(v, 9) AS p FROM p")
-def lyapunov_fixed_point_k1(spark, sf):
-    # P_k = q (1 - phi^(2k+2)) / (1 - phi^2): the iterate in closed form
-    k = spark.range(31).select(F.col("id").cast("int").alias("k"))
-    return k.select("k", _r(F.lit(0.05) * (1 - F.pow(F.lit(0.95), 2.0 * F.col("k") + 2)) / (1 - 0.95**2), 9).alias("p"))
-
-
 @query(f"WITH RECURSIVE r AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY month) AS i, value FROM ({_RETURNS})), v(series_id, i, h) AS (SELECT series_id, 1::BIGINT, 0.01::DOUBLE FROM r WHERE i = 1 UNION ALL SELECT v.series_id, v.i + 1, 0.001 + 0.1 * r.value ** 2 + 0.8 * v.h FROM v JOIN r ON r.series_id = v.series_id AND r.i = v.i JOIN r n ON n.series_id = v.series_id AND n.i = v.i + 1) SELECT series_id, i::INT AS i, round(h, 8) AS h FROM v")
 def garch_variance_recursion(spark, sf):
-    r = _returns(spark, sf).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("month", "value"))).alias("v"))
-    step = lambda acc, x: F.concat(acc, F.array(0.001 + 0.1 * x["value"] * x["value"] + 0.8 * F.element_at(acc, F.lit(-1))))
-    path = F.aggregate(F.slice("v", F.lit(1), F.size("v") - 1), F.array(F.lit(0.01)), step)
-    return r.select("series_id", F.posexplode(path).alias("p", "h")).select("series_id", (F.col("p") + 1).cast("int").alias("i"), _r("h", 8).alias("h"))
+    path = models.garch_path_df(_returns(spark, sf), "series_id", "month", "value", 0.001, 0.1, 0.8, 0.01)
+    return path.select(F.col("series").alias("series_id"), "i", _r("variance", 8).alias("h"))
 
 
 @query("SELECT o_orderpriority, month, n FROM (SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY n DESC, month) <= 3")
@@ -516,13 +507,6 @@ def study_summary(spark, sf):
     return study.summarised(study.run(study.grid(spark, [3, 5], [1, 2], [80], ["BIF", "BF", "PF"], [300], 3)))
 
 
-@query()
-def parameter_errors(spark, sf):
-    a = models.params_df(spark, {str(i): realistic(4, 2, i) for i in range(6)})
-    b = models.params_df(spark, {str(i): realistic(4, 2, i + 100) for i in range(6)})
-    return models.param_errors_df(a, b)
-
-
 @query(f"WITH m AS ({_MONTHLY.replace('l_returnflag AS series_id', 'p_size AS series_id').replace('FROM lineitem', 'FROM lineitem JOIN part ON l_partkey = p_partkey')}), c AS (SELECT x.series_id AS a, y.series_id AS b, corr(x.value, y.value) AS corr FROM m x JOIN m y USING (month) WHERE x.series_id < y.series_id GROUP BY 1, 2), e AS (SELECT a AS n, corr FROM c UNION ALL SELECT b, corr FROM c) SELECT n::INT AS size_decile, 2::INT AS value_decile, round(avg(corr), 6) AS mean_corr, count(*) AS n FROM e GROUP BY e.n")
 def grid_mean_correlation(spark, sf):
     items = _t(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
@@ -549,21 +533,9 @@ def implied_fit_quality(spark, sf):
     return _rounded(models.fit_quality_df(dense, states, p), 5)
 
 
-@query()
-def smoothing_gain(spark, sf):
-    params = models.params_df(spark, {"a": _flag_params()})
-    sim = models.simulate_df(params, 120, 4)
-    p = models.run_params(sim, params)
-    return models.smoothing_gain_df(models.filter_df(sim, p), models.smooth_df(sim, p), sim)
-
-
-@query()
-def complete_likelihoods(spark, sf):
-    params = models.params_df(spark, {"a": _flag_params()})
-    sim = models.simulate_df(params, 120, 4)
-    return models.complete_loglik_df(sim, models.run_params(sim, params))
-
-
 @query()
 def simulated_panel_summary(spark, sf):
     return models.simulation_summary_df(models.simulate_df(models.params_df(spark, {"a": _flag_params()}), 200, 4))
+
+
+from . import study_queries  # noqa: E402, F401 - registers its queries

@@ -21,3 +21,8 @@ PARAM_ERRORS = (
     "id string, param string, bias double, mae double, rmse double, frob_diff double, frob_rel_diff double, rel_error double, eig_bias double, eig_mae double, eig_rmse double, "
     "logdet_diff double, trace_diff double"
 )
+FIT_METRICS = (
+    "run_id string, N int, K int, T int, filter_type string, num_particles int, seed bigint, rep int, fix_mu boolean, optimizer_name string, success boolean, "
+    "result_code string, steps int, final_loss double, loss_at_truth double, factor_rmse_mean double, factor_correlation_mean double, volatility_rmse_mean double, "
+    "volatility_correlation_mean double, errors map<string,double>, fit_time double, total_time double, error string"
+)
