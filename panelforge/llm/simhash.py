@@ -211,31 +211,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _with_prints(place: int, name: str = "fp"):
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            values = pa.array([fingerprint(t) for t in utf8(batch.column(place))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])
+def _replaced_by_prints(batches: Iterator) -> Iterator:
+    """Rows with a column __text, which their fingerprints take the place of."""
+    import pyarrow as pa
 
-    return run
+    for batch in batches:
+        at = batch.schema.get_field_index("__text")
+        values = pa.array([fingerprint(t) for t in utf8(batch.column(at))], pa.int64())
+        names = ["fp" if n == "__text" else n for n in batch.schema.names]
+        yield pa.RecordBatch.from_arrays([values if i == at else c for i, c in enumerate(batch.columns)], names)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without all but one row of each component, with all their columns: the row with the least id stays, one without
-    an id only where the component has no other; of rows that share that id the first by text does.
+    an id only where the component has no other; of rows that share that id the first by a hash of all their columns does.
 
-    Ids needn't be unique: rows are told apart by their fingerprints' components. A component's row is a minimum that each
-    partition works out before the shuffle.
+    Rows are told apart by two 64-bit hashes over their columns (those of map type left out), not by their ids. Choosing
+    reads fingerprints, ids and hashes alone; texts are read again, by the hashes of the rows that stay, and cross the
+    network only where these are too many to be sent to every task. Rows that are equal throughout are a component's own
+    copies: one of them stays. Null and empty texts link like any other; an empty table gives none.
     """
-    mine, root, all_of = (free_name(docs, n) for n in ("__fp", "__root", "__row"))
-    distinct = tabled(bare(docs, text=text).mapInArrow(_with_prints(0), "text string, fp bigint").select("fp").distinct())
-    roots = components(links(distinct)).select(F.col("vertex").alias(f"{root}of"), F.col("root").alias(root))
     small_batches(docs.sparkSession)
-    rows = docs.mapInArrow(_with_prints(docs.columns.index(text), mine), StructType([*docs.schema.fields, StructField(mine, LongType())]))
-    rows = rows.join(roots, F.col(mine) == F.col(f"{root}of"), "left").withColumn(root, F.coalesce(root, mine))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    first, second, count = (free_name(docs, n) for n in ("__first", "__second", "__count"))
     plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    order = F.struct(F.col(f"`{key}`").isNull(), F.col(f"`{key}`"), F.col(f"`{text}`"), F.xxhash64(*plain))
-    return rows.groupBy(root).agg(F.min_by(F.struct(*columns), order).alias(all_of)).select(f"{all_of}.*")
+    marked = docs.withColumns({first: F.xxhash64(*plain), second: F.xxhash64(F.lit("second"), *reversed(plain))})
+    slim = marked.select(F.col(f"`{key}`").alias("id"), F.col(first).alias("a"), F.col(second).alias("b"), F.col(f"`{text}`").alias("__text"))
+    rows = slim.mapInArrow(_replaced_by_prints, StructType([*slim.schema.fields[:3], StructField("fp", LongType())]))
+    rows = staged(rows.groupBy("id", "a", "b", "fp").agg(F.count("*").alias("n")), "simhash-rows")
+    roots = components(links(tabled(rows.select("fp").distinct())))
+    rooted = rows.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    order = F.struct(F.col("id").isNull(), "id", "a", "b")
+    best = rooted.groupBy("root").agg(F.min_by(F.struct("a", "b", "n"), order).alias("best")).select("best.*")
+    best = staged(best.withColumnsRenamed({"a": first, "b": second, "n": count}), "simhash-kept")
+    single = marked.join(best.filter(F.col(count) == 1), [first, second], "left_semi")
+    repeated = marked.join(best.filter(F.col(count) > 1), [first, second], "left_semi").dropDuplicates([first, second])
+    return single.union(repeated).drop(first, second)
