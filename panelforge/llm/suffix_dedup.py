@@ -302,7 +302,8 @@ def _fetched(parts: int):
         if windows:
             heads, later = first_ones(np.array(windows, REC))
             rows += [(1, s, body) for s, body in _dealt(heads, parts)]
-            rows.append((2, 0, _spans(later["doc"], later["tie"], later["pos"]).tobytes()))
+            spans = _spans(later["doc"], later["tie"], later["pos"])
+            rows += [(2, (int(spans["tie"][i]) + i) % parts, spans[i : i + 5_000].tobytes()) for i in range(0, len(spans), 5_000)]
         return pa.Table.from_batches([_blobs(rows)])
 
     return run
@@ -501,11 +502,16 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_
     dealt = source.mapInArrow(_sampled(parts), blobs).repartitionById(parts, "slot")
     marks = staged(dealt.mapInArrow(_grouped, MARKS), "dedup-marks")
     tie = F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-    texts = source.select(bucket("doc_id", tie), "doc_id", "text").groupBy("bucket")
-    wanted = marks.filter("a is not null").select(bucket("doc", F.col("tie")), "*").groupBy("bucket")
+
+    def dealt_out(df: DataFrame):
+        """The partitions of a stated number serve both joins: texts are dealt once, and in more parts the more there are."""
+        return df.repartition(parts, "bucket").groupBy("bucket")
+
+    texts = dealt_out(source.select(bucket("doc_id", tie), "doc_id", "text"))
+    wanted = dealt_out(marks.filter("a is not null").select(bucket("doc", F.col("tie")), "*"))
     fetched = texts.cogroup(wanted).applyInArrow(_fetched(parts), blobs)
     borders = fetched.repartitionById(parts, "slot").mapInArrow(_resolved, MARKS)
-    spans = marks.filter("a is null").union(borders).select(bucket("doc", F.col("tie")), "*").groupBy("bucket")
+    spans = dealt_out(marks.filter("a is null").union(borders).select(bucket("doc", F.col("tie")), "*"))
     if with_text:
         return texts.cogroup(spans).applyInArrow(_cut, DIGEST + ", kept binary")
     return texts.cogroup(spans).applyInArrow(_digest, DIGEST)
