@@ -680,7 +680,10 @@ def test_decontamination(spark, docs, clashing, empty):
     words = item[1].split()
     edited = " ".join(w if i % 6 else "zz" for i, w in enumerate(words))
     gapped = " ".join(words[:15] + ["extra", "words"] + words[18:])
-    made = [(0, noise(80)), (1, noise(50) + " " + item[0] + " " + noise(9)), (2, edited), (3, noise(3) + " " + gapped), (4, item[2].upper()), (5, item[3] + " . " + item[0]), (6, " ".join(reversed(words))), (7, "a " + item[4]), (8, " ".join(words[:12])), (9, None), (10, "")]
+    made = [
+        (0, noise(80)), (1, noise(50) + " " + item[0] + " " + noise(9)), (2, edited), (3, noise(3) + " " + gapped), (4, item[2].upper()),
+        (5, item[3] + " . " + item[0]), (6, " ".join(reversed(words))), (7, "a " + item[4]), (8, " ".join(words[:12])), (9, None), (10, "")
+    ]
     b = spark.createDataFrame(list(enumerate(item)) + [(9, None), (None, "x y z"), (0, item[0])], "item_id bigint, text string")
     d = spark.createDataFrame(made, "doc_id bigint, text string")
     got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(d, b).collect()}

@@ -25,7 +25,9 @@ PAGES = [
     page(3, "https://c.example.net/z", canonical="//d.example.com/de/9"),
     page(4, "https://d.example.com/de/9", canonical="/fr/9"),  # blocked itself; its class has an allowed member
     page(5, "https://example.org/en/12?q=1"), page(6, "https://example.org/en/2"), page(7, "https://notexample.org/es/"), page(8, "https://org/"), page(9, "no scheme"),
-    page(10, "https://f.com/fr/"), page(11, "https://f.com/de/?x"), page(12, "https://f.com"), page(13, "https://f.com?x/de/"), (14, None, None), (15, "https://u.net/p", None), page(0, "https://u.net/q"),
+    page(10, "https://f.com/fr/"), page(11, "https://f.com/de/?x"), page(12, "https://f.com"), page(13, "https://f.com?x/de/"), (14, None, None), (
+        15, "https://u.net/p", None
+    ), page(0, "https://u.net/q"),
     page(16, "https://self.net/a", canonical="https://self.net/a"), page(17, "https://h.net/1", canonical="https://hub.com/de/x"), page(18, "https://h.net/2", canonical="https://hub.com/de/x"),
 ]
 SCHEMA = "page_id bigint, url string, html string"
