@@ -141,6 +141,11 @@ def _dealt(rows: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
         yield int(slot[i]), rows[i:j].tobytes()
 
 
+def _scattered(kind: int, rows: np.ndarray, parts: int) -> list[tuple[int, int, bytes]]:
+    """Rows that any partition may have, in pieces that go to partitions by a hash of their first document."""
+    return [(kind, (int(rows["tie"][i]) + i // 2_000) % parts, rows[i : i + 2_000].tobytes()) for i in range(0, len(rows), 2_000)]
+
+
 def _blobs(rows: list[tuple[int, int, bytes]]):
     import pyarrow as pa
 
@@ -193,8 +198,7 @@ def _sampled(parts: int):
         word["b"], word["doc"], word["tie"], word["pos"] = 0, NO_ID, 0, -1
         sent = np.concatenate([heads[~hot], word])
         rows = [(0, s, body) for s, body in _dealt(sent[np.argsort(sent["a"], kind="stable")], parts)]
-        rows += [(2, i % parts, heads[hot][i : i + 50_000].tobytes()) for i in range(0, int(hot.sum()), 50_000)]
-        rows += [(1, i % parts, spans[i : i + 50_000].tobytes()) for i in range(0, len(spans), 50_000)]
+        rows += _scattered(2, heads[hot], parts) + _scattered(1, spans, parts)
         return _blobs(rows)
 
     def run(batches: Iterator) -> Iterator:
@@ -303,7 +307,7 @@ def _fetched(parts: int):
             heads, later = first_ones(np.array(windows, REC))
             rows += [(1, s, body) for s, body in _dealt(heads, parts)]
             spans = _spans(later["doc"], later["tie"], later["pos"])
-            rows += [(2, (int(spans["tie"][i]) + i) % parts, spans[i : i + 5_000].tobytes()) for i in range(0, len(spans), 5_000)]
+            rows += _scattered(2, spans, parts)
         return pa.Table.from_batches([_blobs(rows)])
 
     return run
