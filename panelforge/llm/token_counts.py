@@ -12,7 +12,9 @@ into a machine that reads characters from left to right:
 A state thus holds, for each earlier place from which a piece may still grow, the characters read since, the last piece of
 the prefix up to there, and its count relative to now. A transition on a character is annotated with the number of tokens
 that it emits, the difference of the prefixes' counts (which may be negative where pieces merge). States and transitions are
-compiled from the vocabulary's pieces and scores when they are first met; the library encodes nothing.
+compiled from the vocabulary's pieces and scores when they are first met; the library encodes nothing. A run from one word
+boundary to the next begins and ends in the start state, so the transitions along it are joined into one, annotated with
+their sum, which later runs of the same characters take as a whole.
 
 A chunk of text acts on the machine as a state map: run its head, up to the first boundary, from whatever state it is
 entered in; after that, emit a count and leave in a state that don't depend on the entry. Maps compose associatively, so
@@ -35,7 +37,7 @@ MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 CHUNK = 4096  #: characters
 FAN = 256  #: chunks of a text that are composed before the shuffle
-COMPILED = 200_000  #: states or pairs kept; beyond that they are compiled anew
+COMPILED = 200_000  #: states, pairs or joined transitions kept; beyond that they are compiled anew
 MARK = "▁"
 
 
@@ -58,20 +60,45 @@ class Vocabulary:
         merged = [p for p in self.score if len(p) > 1]
         #: character pairs that a merge can cross
         self.side_by_side = {p[i : i + 2] for p in merged for i in range(len(p) - 1)}
+        #: whether a mark after another character is always a boundary
+        self.marks_part = all(b != MARK or a == MARK for a, b in self.side_by_side)
         #: strings from which a longer piece may grow
         self.growing = {p[:i] for p in merged for i in range(1, len(p))}
-        #: pieces that their own merges reach
-        self.reached = {p for p in self.score if self.merges(p) == [p]}
-
-    def merges(self, text: str) -> list[str]:
-        """A short string encoded as the tokenizer does it: merge by merge."""
-        parts = list(text)
+        #: the merges of each piece that its own merges reach
+        made = {p: self.merges(p) for p in self.score}
+        self.traces = {p: trace for p, (parts, trace) in made.items() if parts == [p]}
+
+    def merges(self, text: str) -> tuple[list[str], list[tuple[float, str, str]]]:
+        """A short string encoded as the tokenizer does it, merge by merge; and each merge's score, with the first and the
+        last part after it."""
+        parts, trace = list(text), []
         while True:
             able = [(-self.score[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.score]
             if not able:
-                return parts
-            i = min(able)[1]
+                return parts, trace
+            least, i = min(able)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            trace.append((-least, parts[0], parts[-1]))
+
+    def stay_apart(self, a: str, b: str) -> bool:
+        """Whether two pieces side by side stay as they are. Until a merge crosses their border each goes through its own
+        merges in its own order, and the best of the two next ones and of the merge across comes first, the leftmost of
+        equal ones."""
+        score, own, other, i, j, x, y = self.score, self.traces[a], self.traces[b], 0, 0, a[-1], b[0]
+        while True:
+            across = score.get(x + y)
+            left = own[i][0] if i < len(own) else None
+            right = other[j][0] if j < len(other) else None
+            if across is not None and (left is None or across > left) and (right is None or across >= right):
+                return False
+            if left is not None and (right is None or left >= right):
+                x = own[i][2]
+                i += 1
+            elif right is not None:
+                y = other[j][1]
+                j += 1
+            else:
+                return True
 
 
 class State(dict):
@@ -99,11 +126,8 @@ class Transducer:
 
     def __init__(self, path: str) -> None:
         self.words = Vocabulary(path)
-        self._forget()
-
-    def _forget(self) -> None:
         self.start = State()
-        self.states, self.apart = {(): self.start}, {}
+        self.states, self.apart, self.joined = {(): self.start}, {}, {}
 
     def state(self, live: tuple) -> State:
         found = self.states.get(live)
@@ -115,7 +139,7 @@ class Transducer:
         """Whether two pieces side by side stay as they are."""
         found = self.apart.get((a, b))
         if found is None:
-            found = self.apart[a, b] = self.words.merges(a + b) == [a, b]
+            found = self.apart[a, b] = self.words.stay_apart(a, b)
         return found
 
     def compile(self, state: State, c: str) -> tuple[State, int]:
@@ -129,7 +153,7 @@ class Transducer:
         grown, last, count = [], None, 0
         for since, before, n in live:
             string = since + c
-            if last is None and string in words.reached and (not before or self._stay_apart(before, string)):
+            if last is None and string in words.traces and (not before or self._stay_apart(before, string)):
                 last, count = string, n + 1
             if string in words.growing:
                 grown.append((string, before, n))
@@ -145,11 +169,36 @@ class Transducer:
             except KeyError:
                 state, n = self.compile(state, c)
             total += n
-        if len(self.states) > COMPILED or len(self.apart) > COMPILED:
-            self._forget()
+        if len(self.apart) > COMPILED:
+            self.apart.clear()
+        if len(self.joined) > COMPILED:
+            self.joined.clear()
+        if len(self.states) > COMPILED:
+            self.start = State()
+            self.states = {(): self.start}
             state = self.state(state.live)
         return state, total
 
+    def run_words(self, text: str) -> tuple[State, int]:
+        """run() from the start state, word by word: the transitions of each closed run are joined when it is first met."""
+        parts = text.split(MARK)
+        if len(parts) < 3 or not self.words.marks_part or "" in parts[1:]:  # runs of marks are read mark by mark
+            return self.run(self.start, text)
+        closed, joined = parts[1:-1], self.joined
+        missing = [w for w in set(closed) if w not in joined]
+        if missing:
+            for w in missing:
+                n = self.run(self.start, MARK + w)[1]  # may begin a table anew
+                self.joined[w] = n
+            joined = self.joined
+        first = self.run(self.start, parts[0])[1] if parts[0] else 0
+        try:
+            total = first + sum(map(joined.__getitem__, closed))
+        except KeyError:
+            return self.run(self.start, text)
+        state, n = self.run(self.start, MARK + parts[-1])
+        return state, total + n
+
     def boundary(self, a: str, b: str) -> bool:
         """Whether no merge crosses from character a to b."""
         return a + b not in self.words.side_by_side
@@ -160,7 +209,7 @@ class Transducer:
         first = next((i for i in range(len(chunk)) if chunk[i] not in score or i and chunk[i - 1 : i + 1] not in pairs), None)
         if first is None:
             return ChunkMap(chunk)
-        state, count = self.run(self.start, chunk[first:])
+        state, count = self.run_words(chunk[first:])
         return ChunkMap(chunk[:first], count, state.live)
 
     def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
