@@ -234,7 +234,10 @@ def param_errors(true: Params, est: Params) -> list[dict]:
         if a.ndim == 2 and a.shape[0] == a.shape[1]:
             e = np.sort(np.abs(np.linalg.eigvals(b))) - np.sort(np.abs(np.linalg.eigvals(a)))
             (s1, l1), (s2, l2) = np.linalg.slogdet(a), np.linalg.slogdet(b)
-            row |= {"eig_bias": float(e.mean()), "eig_mae": float(np.abs(e).mean()), "eig_rmse": float(np.sqrt((e**2).mean())), "logdet_diff": float(l2 - l1) if s1 > 0 and s2 > 0 else None, "trace_diff": float(np.trace(b) - np.trace(a))}
+            row |= {
+                "eig_bias": float(e.mean()), "eig_mae": float(np.abs(e).mean()), "eig_rmse": float(np.sqrt((e**2).mean())),
+                "logdet_diff": float(l2 - l1) if s1 > 0 and s2 > 0 else None, "trace_diff": float(np.trace(b) - np.trace(a))
+            }
         out.append(row)
     return out
 

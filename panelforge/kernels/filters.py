@@ -54,6 +54,24 @@ def lyapunov(phi: np.ndarray, q: np.ndarray, rounds: int = 30) -> np.ndarray:
     return (p + np.swapaxes(p, -1, -2)) / 2
 
 
+def _inv(a: np.ndarray) -> np.ndarray:
+    """Inverses, or pseudo-inverses where one is singular or its inverse isn't finite."""
+    try:
+        out = np.linalg.inv(a)
+    except np.linalg.LinAlgError:
+        return np.linalg.pinv(a)
+    bad = ~np.isfinite(out).all((-1, -2))
+    return np.where(bad[..., None, None], np.linalg.pinv(np.nan_to_num(a)), out) if bad.any() else out
+
+
+def predict(b: Batch, f: np.ndarray, h: np.ndarray, p_f: np.ndarray, p_h: np.ndarray, current: bool = True) -> tuple[np.ndarray, ...]:
+    """(f, h, P_f, P_h) one step ahead of given ones. current takes the factors' noise from the log volatility before the
+    step, another convention than the filters' own, which take the predicted one."""
+    f_next, h_next = _mv(b.phi_f, f), b.mu + _mv(b.phi_h, h - b.mu)
+    noise = _diag(np.exp(np.clip(h if current else h_next, -H_MOST, H_MOST)))
+    return f_next, h_next, b.phi_f @ p_f @ np.swapaxes(b.phi_f, -1, -2) + noise, b.phi_h @ p_h @ np.swapaxes(b.phi_h, -1, -2) + b.q_h
+
+
 def _eye(k: int, x: float = 1.0) -> np.ndarray:
     return x * np.eye(k)
 
@@ -240,7 +258,7 @@ def run_filter(b: Batch, y: np.ndarray, kind: str = BIF, predict_first: bool = T
         raise ValueError(f"no such filter: {kind}")
     var = init_factor_var if init_factor_var is not None else (1.0 if kind == BIF else 1e6)
     p_f, p_h = np.broadcast_to(_eye(k, var), (r, k, k)), lyapunov(b.phi_h, b.q_h)
-    w_f, w_h = np.linalg.inv(p_f + _eye(k, 1e-6)), np.linalg.inv(p_h + _eye(k, 1e-6))
+    w_f, w_h = _inv(p_f + _eye(k, 1e-6)), _inv(p_h + _eye(k, 1e-6))
     return run_filter_from(b, y, np.zeros((r, k)), b.mu.copy(), w_f, w_h, kind, predict_first)
 
 
@@ -248,7 +266,7 @@ def run_filter_from(b: Batch, y: np.ndarray, f: np.ndarray, h: np.ndarray, w_f:
     """The recursion from a given state (f, h) with information blocks w_f and w_h."""
     r, t_all, _ = y.shape
     k = b.mu.shape[-1]
-    p_f, p_h = np.linalg.inv(w_f), np.linalg.inv(w_h)
+    p_f, p_h = _inv(w_f), _inv(w_h)
     obs = _Observation(b)
     alpha, ll = np.empty((r, t_all, 2 * k)), np.empty((r, t_all))
     cov_f, cov_h, clamped = np.empty((r, t_all, k, k)), np.empty((r, t_all, k, k)), np.zeros(r, bool)
@@ -268,7 +286,7 @@ def run_filter_from(b: Batch, y: np.ndarray, f: np.ndarray, h: np.ndarray, w_f:
                 p_f = b.phi_f @ p_f @ tr(b.phi_f) + _diag(np.exp(h))
                 p_h = b.phi_h @ p_h @ tr(b.phi_h) + b.q_h
         if kind == BF:
-            w_f, w_h = np.linalg.inv((p_f + tr(p_f)) / 2 + _eye(k, 1e-8)), np.linalg.inv((p_h + tr(p_h)) / 2 + _eye(k, 1e-8))
+            w_f, w_h = _inv((p_f + tr(p_f)) / 2 + _eye(k, 1e-8)), _inv((p_h + tr(p_h)) / 2 + _eye(k, 1e-8))
         obs.see(y[:, t])
         f_new, h_new = _mode(obs, f, h, w_f, w_h)
         m, i_ff = obs.inner(h_new)
@@ -281,7 +299,7 @@ def run_filter_from(b: Batch, y: np.ndarray, f: np.ndarray, h: np.ndarray, w_f:
         )
         ll[:, t] = fit - penalty
         f, h, w_f, w_h = f_new, h_new, u_f, u_h
-        p_f, p_h = np.linalg.inv(w_f), np.linalg.inv(w_h)
+        p_f, p_h = _inv(w_f), _inv(w_h)
         alpha[:, t, :k], alpha[:, t, k:], cov_f[:, t], cov_h[:, t] = f, h, p_f, p_h
     return Filtered(alpha, cov_f, cov_h, ll, clamped)
 

@@ -344,7 +344,10 @@ def fit(
                back(unflatten(got.x, base, free)), got.losses, [back(unflatten(v, base, free)) for v in got.points])
 
 
-def minimize_with_recovery(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, name: str = "Adam", max_steps: int = 200, rate: float = 1e-2, patience: int = 20, least_rate: float = 1e-6, **options) -> Minimum:
+def minimize_with_recovery(
+    f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, name: str = "Adam", max_steps: int = 200, rate: float = 1e-2, patience: int = 20,
+    least_rate: float = 1e-6, **options
+) -> Minimum:
     """Runs of `patience` steps from the best point so far: a run that fails or doesn't improve by a thousandth halves the
     rate, and the next begins at the best point. Values that aren't finite count as very large."""
     def safe(points: np.ndarray) -> np.ndarray:

@@ -10,12 +10,27 @@ from pyspark.sql import functions as F
 from ..functions import clean, guarded_ratio, list_mean, sem
 
 
-def group_stats(df: DataFrame, by: Sequence[str], values: Sequence[str], stats: Sequence[str] = ("mean", "std", "median", "count", "se"), null_as_zero: bool = False) -> DataFrame:
-    """<value>_<stat> for each value; NaN is skipped like NULL. null_as_zero counts missing as 0, which biases means."""
+def _quantiles(x: Column, at: Sequence[float], accuracy: int | None) -> Column:
+    """Exact and interpolated, for which a group's distinct values are counted in one task; or, for groups of any size, a
+    sketch whose ranks are wrong by 1 / accuracy of the group at most."""
+    if accuracy is None:
+        return F.percentile(x, F.array(*map(F.lit, at)))
+    return F.percentile_approx(x, F.array(*map(F.lit, at)), accuracy)
+
+
+def group_stats(
+    df: DataFrame, by: Sequence[str], values: Sequence[str], stats: Sequence[str] = ("mean", "std", "median", "count", "se"), null_as_zero: bool = False,
+    accuracy: int | None = None,
+) -> DataFrame:
+    """<value>_<stat> for each value; NaN is skipped like NULL. null_as_zero counts missing as 0, which biases means.
+    accuracy: of medians, see _quantiles(); exact unless given."""
     def of(v: str) -> dict[str, Column]:
         x = clean(F.col(v).cast("double"))
         x = F.coalesce(x, F.lit(0.0)) if null_as_zero else x
-        return {"mean": F.avg(x), "std": F.stddev_samp(x), "median": F.median(x), "count": F.count(x), "se": sem(x), "min": F.min(x), "max": F.max(x)}
+        return {
+            "mean": F.avg(x), "std": F.stddev_samp(x), "median": F.median(x) if accuracy is None else _quantiles(x, (0.5,), accuracy)[0],
+            "count": F.count(x), "se": sem(x), "min": F.min(x), "max": F.max(x)
+        }
 
     return df.groupBy(*by).agg(*[of(v)[s].alias(f"{v}_{s}") for v in values for s in stats])
 
@@ -30,19 +45,23 @@ def list_stats(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
     """(keys, mean, se, n): element-wise over arrays; arrays with a NaN or NULL are left out; errors use the population
     deviation. Sums run over single elements, so no group is gathered."""
     whole = df.filter(F.col(column).isNotNull() & ~F.exists(column, lambda x: x.isNull() | F.isnan(x)))
-    each = whole.select(*by, F.posexplode(column).alias("__i", "__x")).groupBy(*by, "__i").agg(F.avg("__x").alias("m"), (F.stddev_pop("__x") / F.sqrt(F.count("__x"))).alias("s"), F.count("__x").alias("n"))
+    each = whole.select(*by, F.posexplode(column).alias("__i", "__x")).groupBy(*by, "__i").agg(
+        F.avg("__x").alias("m"), (F.stddev_pop("__x") / F.sqrt(F.count("__x"))).alias("s"), F.count("__x").alias("n")
+    )
     packed = each.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__i", "m", "s"))).alias("a"), F.max("n").alias("n"))
     return packed.select(*by, F.transform("a", lambda v: v["m"]).alias("mean"), F.transform("a", lambda v: v["s"]).alias("se"), "n")
 
 
-def medians(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Medians of all numeric columns that aren't keys."""
+def medians(df: DataFrame, by: Sequence[str], accuracy: int | None = None) -> DataFrame:
+    """Medians of all numeric columns that aren't keys, exact unless an accuracy is given."""
     numeric = [c for c, t in df.dtypes if t in ("double", "float", "int", "bigint", "smallint", "tinyint") and c not in by]
-    return df.groupBy(*by).agg(*[F.median(c).alias(c) for c in numeric])
+    middle = (lambda c: F.median(c)) if accuracy is None else (lambda c: _quantiles(F.col(c), (0.5,), accuracy)[0])
+    return df.groupBy(*by).agg(*[middle(c).alias(c) for c in numeric])
 
 
-def five_numbers(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    q = F.percentile(value, F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))
+def five_numbers(df: DataFrame, by: Sequence[str], value: str, accuracy: int | None = None) -> DataFrame:
+    """Least, lower quartile, median, upper quartile, greatest; exact unless an accuracy is given."""
+    q = _quantiles(F.col(value), (0.0, 0.25, 0.5, 0.75, 1.0), accuracy)
     return df.groupBy(*by).agg(q.alias("q")).select(*by, *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("least", "lower", "middle", "upper", "greatest"))])
 
 

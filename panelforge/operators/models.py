@@ -157,7 +157,8 @@ def particle_df(panel: DataFrame, params: DataFrame, particles: int = 1000, resa
         p, y = _design(pdf), _y(pdf)
         x = particle.particle_filter(p, y, particles, resample_below, seed)
         means, covs = particle.smooth_particles(p, x) if smoothed else (x.means, x.covs)
-        return pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "t": np.sort(pdf["t"].to_numpy()), "state": list(means), "cov": list(covs.reshape(len(y), -1)), "dim": 2 * p.K, "ess": x.ess, "loglik": x.loglik})
+        rows = {"run_id": pdf["run_id"].iloc[0], "t": np.sort(pdf["t"].to_numpy()), "state": list(means), "cov": list(covs.reshape(len(y), -1))}
+        return pd.DataFrame(rows | {"dim": 2 * p.K, "ess": x.ess, "loglik": x.loglik})
 
     return with_params(panel, params).groupBy("run_id").applyInPandas(run, schemas.PARTICLE)
 
@@ -206,8 +207,14 @@ def fit_df(panel: DataFrame, starts: DataFrame, kind: str = "BIF", **options) ->
         run_id = pdf["run_id"].iloc[0]
         r = optimize.fit(_y(pdf), _design(pdf), kind, **options)
         row = {f.split()[0]: getattr(r, f.split()[0], None) for f in schemas.FIT.split("struct<")[0].split(",") if f.split()}
-        row |= {"fit_id": run_id, "final_loss": float(r.final_loss) if np.isfinite(r.final_loss) else None, "final_params": as_row(r.final_params), "loss_history": r.loss_history, "param_history": [as_row(p) for p in r.param_history]}
-        names = ["fit_id", "filter_type", "optimizer_name", "uses_transformations", "fix_mu", "prior_config_name", "success", "result_code", "final_loss", "steps", "time_taken", "error_message", "final_params", "loss_history", "param_history"]
+        row |= {
+            "fit_id": run_id, "final_loss": float(r.final_loss) if np.isfinite(r.final_loss) else None, "final_params": as_row(r.final_params),
+            "loss_history": r.loss_history, "param_history": [as_row(p) for p in r.param_history]
+        }
+        names = [
+            "fit_id", "filter_type", "optimizer_name", "uses_transformations", "fix_mu", "prior_config_name", "success", "result_code", "final_loss",
+            "steps", "time_taken", "error_message", "final_params", "loss_history", "param_history"
+        ]
         return pd.DataFrame([[row[n] for n in names]], columns=names)
 
     return with_params(panel, starts).groupBy("run_id").applyInPandas(run, schemas.FIT)
@@ -330,7 +337,8 @@ def residuals_df(panel: DataFrame, states: DataFrame, params: DataFrame) -> Data
                 cov_f = np.array(g["cov"].tolist()).reshape(-1, 2 * k, 2 * k)[:, :k, :k]
                 sigma = diagnostics.implied_covariance(q, cov_f)
                 z = diagnostics.standardized(q, np.array(g["y"].tolist(), float), np.array(g["state"].tolist())[:, :k], cov_f)
-                yield pd.DataFrame({"run_id": run_id, "t": g["t"].to_numpy(), "z": list(z), "logdet": diagnostics.generalized_variance(sigma)[1], "avg_corr": diagnostics.average_correlation(sigma), "factor_share": diagnostics.factor_share(q, cov_f)})
+                of = {"logdet": diagnostics.generalized_variance(sigma)[1], "avg_corr": diagnostics.average_correlation(sigma)}
+                yield pd.DataFrame({"run_id": run_id, "t": g["t"].to_numpy(), "z": list(z)} | of | {"factor_share": diagnostics.factor_share(q, cov_f)})
 
     return rows.mapInPandas(run, "run_id string, t int, z array<double>, logdet double, avg_corr double, factor_share double")
 
@@ -368,6 +376,33 @@ def multivariate_tests_df(residuals: DataFrame, run: str = "run_id", lags: int =
     return spread(residuals, run).groupBy(run).applyInPandas(go, "run_id string, test string, statistic double, p_value double")
 
 
+def student_jarque_bera_df(residuals: DataFrame, run: str = "run_id", draws: int = 2000, blocks: int = 8, seed: int = 0) -> DataFrame:
+    """(run_id, dof, n, statistic, draws, p_value): the Jarque-Bera statistic of pooled residuals z under a Student t of unit
+    variance, whose degrees of freedom are estimated first; its distribution comes from Monte Carlo draws of the same size.
+    Draws are dealt as rows, each block with a seed of its own; the p value counts the observed one among them."""
+    def observed(pdf: pd.DataFrame) -> pd.DataFrame:
+        z = np.array(pdf["z"].tolist(), float)
+        z = z[np.isfinite(z).all(1)].ravel()
+        return pd.DataFrame([(str(pdf[run].iloc[0]), diagnostics.student_df(z), len(z), diagnostics.jarque_bera(z)[0])], columns=["run_id", "dof", "n", "statistic"])
+
+    seen = spread(residuals.select(run, "z"), run).groupBy(run).applyInPandas(observed, "run_id string, dof double, n long, statistic double")
+    each = -(-draws // blocks)
+    dealt = spread(seen.crossJoin(residuals.sparkSession.range(blocks).withColumnRenamed("id", "block")), "run_id", "block")
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            above = []
+            for r in pdf.itertuples():
+                g = np.random.default_rng([seed, int(r.block)])
+                scale = np.sqrt((r.dof - 2) / r.dof)
+                above.append(sum(diagnostics.jarque_bera(scale * g.standard_t(r.dof, int(r.n)))[0] >= r.statistic for _ in range(each)))
+            yield pdf.assign(above=above)
+
+    schema = "run_id string, dof double, n long, statistic double, block long, above long"
+    sums = dealt.mapInPandas(drawn, schema).groupBy("run_id", "dof", "n", "statistic").agg(F.sum("above").alias("above"), F.lit(each * blocks).alias("draws"))
+    return sums.select("run_id", "dof", "n", "statistic", "draws", ((F.col("above") + 1) / (F.col("draws") + 1)).alias("p_value"))
+
+
 def garch_df(df: DataFrame, by: str, at: str, value: str) -> DataFrame:
     """One row a series: GARCH(1,1) parameters, fit, Wald test, conditional variances and standardised residuals in the
     order of time. A series that can't be fitted has an error."""
@@ -396,7 +431,8 @@ def dcc_df(panel: DataFrame, run: str = "run_id") -> DataFrame:
         eps, sigma = np.column_stack([g.residuals for g in fits]), np.sqrt(np.column_stack([g.variance for g in fits]))
         a, b, _ = garch.fit_dcc(eps)
         r, h = garch.dcc_path(eps, sigma, a, b)
-        return pd.DataFrame({"run_id": pdf[run].iloc[0], "t": np.sort(pdf["t"].to_numpy()), "a": a, "b": b, "corr": list(r.reshape(len(y), -1)), "cov": list(h.reshape(len(y), -1)), "dim": y.shape[1], "gmv": [garch.minimum_variance(c) for c in h]})
+        rows = {"run_id": pdf[run].iloc[0], "t": np.sort(pdf["t"].to_numpy()), "a": a, "b": b, "corr": list(r.reshape(len(y), -1)), "cov": list(h.reshape(len(y), -1))}
+        return pd.DataFrame(rows | {"dim": y.shape[1], "gmv": [garch.minimum_variance(c) for c in h]})
 
     return spread(panel.select(run, "t", "y"), run).groupBy(run).applyInPandas(go, schema)
 
@@ -519,6 +555,23 @@ def smoothing_gain_df(filtered: DataFrame, smoothed: DataFrame, truth: DataFrame
     return a.join(b, ["run_id", "kind", "k"]).withColumn("gain_pct", F.when(F.col("filtered_rmse") > 0, 100 * (1 - F.col("smoothed_rmse") / F.col("filtered_rmse"))))
 
 
+def volatility_range_df(simulated: DataFrame) -> DataFrame:
+    """(run_id, k, low, high, mean): the range of each factor's volatility, exp(h / 2); aggregates."""
+    v = F.exp(F.col("h") / 2)
+    cells = simulated.select("run_id", F.posexplode("h").alias("k", "h"))
+    return cells.groupBy("run_id", "k").agg(F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"))
+
+
+def return_correlations_df(panel: DataFrame) -> DataFrame:
+    """(run_id, a, b, corr) of every two series of a run, from one row's pairs: no join; the first step, which a simulator
+    leaves at 0, is left out."""
+    n = F.size("y")
+    pairs = F.flatten(F.transform("y", lambda x, i: F.transform(F.slice("y", i + 2, F.greatest(n - i - 1, F.lit(0))), lambda z, j: F.struct(
+        i.alias("a"), (i + j + 1).alias("b"), x.alias("x"), z.alias("z")))))
+    cells = panel.filter("t > 0").select("run_id", F.inline(pairs))
+    return cells.groupBy("run_id", "a", "b").agg(F.corr("x", "z").alias("corr"))
+
+
 def simulation_summary_df(simulated: DataFrame) -> DataFrame:
     """(run_id, series, mean, std, autocorr, autocorr_sq): what a simulated panel looks like; windows and aggregates."""
     from pyspark.sql import Window
@@ -528,4 +581,7 @@ def simulation_summary_df(simulated: DataFrame) -> DataFrame:
     cells = simulated.filter("t > 0").select("run_id", "t", F.posexplode("y").alias("series", "v"))
     w = Window.partitionBy("run_id", "series").orderBy("t")
     back = cells.withColumn("b", F.lag("v").over(w))
-    return back.groupBy("run_id", "series").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), guarded_corr("v", "b").alias("autocorr"), guarded_corr(F.col("v") ** 2, F.col("b") ** 2).alias("autocorr_sq"))
+    return back.groupBy("run_id", "series").agg(
+        F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), guarded_corr("v", "b").alias("autocorr"),
+        guarded_corr(F.col("v") ** 2, F.col("b") ** 2).alias("autocorr_sq")
+    )

@@ -58,7 +58,10 @@ def _replicate(r: dict) -> dict:
         rmse, corr = diagnostics.accuracy(np.hstack([f, h]), states)
         k, steps = r["K"], np.diff(at)
         nulled = lambda v: [None if not np.isfinite(x) else float(x) for x in v]
-        out |= {"param_gen_time": steps[0], "data_sim_time": steps[1], "filter_time": steps[2], "rmse_f": nulled(rmse[:k]), "corr_f": nulled(corr[:k]), "rmse_h": nulled(rmse[k:]), "corr_h": nulled(corr[k:]), "loglik": ll if np.isfinite(ll) else None, "error": None}
+        out |= {
+            "param_gen_time": steps[0], "data_sim_time": steps[1], "filter_time": steps[2], "rmse_f": nulled(rmse[:k]), "corr_f": nulled(corr[:k]),
+            "rmse_h": nulled(rmse[k:]), "corr_h": nulled(corr[k:]), "loglik": ll if np.isfinite(ll) else None, "error": None
+        }
     except Exception as e:  # a replicate's failure is a result
         out |= {c: None for c in ("param_gen_time", "data_sim_time", "filter_time", "rmse_f", "corr_f", "rmse_h", "corr_h", "loglik")} | {"error": f"{type(e).__name__}: {e}"}
     return out

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 NULLS = ("-99.99", "-999", "-99.9900")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None, date: str | None = None, date_format: str = "yyyy-MM-dd") -> DataFrame:
-    """CSV with a header. Without a schema every column is a string, so that no pass is spent on guessing."""
+def read_csv(
+    spark: SparkSession, path: str, schema: str | None = None, date: str | None = None, date_format: str = "yyyy-MM-dd", infer: bool = False
+) -> DataFrame:
+    """CSV with a header. Without a schema every column is a string, so that no pass is spent on guessing, unless infer asks
+    for it."""
     reader = spark.read.option("header", True)
-    df = (reader.schema(schema) if schema else reader).csv(path)
+    df = (reader.schema(schema) if schema else reader.option("inferSchema", infer)).csv(path)
     return df.withColumn(date, F.try_to_date(F.col(date).cast("string"), date_format)) if date else df
 
 
@@ -30,14 +33,19 @@ def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, text) of one file, from 1. Read as one record, as a file's lines have no number otherwise."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    """(line, text) of one file, from 1. Read as one record, as a file's lines have no number otherwise. A file that isn't
+    UTF-8 is taken for Latin-1, in which every byte is a character."""
+    whole = spark.read.format("binaryFile").load(path).select(F.col("content").cast("string").alias("utf8"), F.decode("content", F.lit("ISO-8859-1")).alias("latin"))
+    text = F.when(F.is_valid_utf8("utf8"), F.col("utf8")).otherwise(F.col("latin"))
+    return whole.select(F.posexplode(F.split(text, r"\r?\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
 
 
-def find_blocks(spark: SparkSession, path: str, keywords: Sequence[str], least_header: int = 3, least_data: int = 3, look_back: int = 5, apart: int = 2) -> list[dict]:
+def find_blocks(
+    spark: SparkSession, path: str, keywords: Sequence[str], least_header: int = 3, least_data: int = 3, look_back: int = 5, apart: int = 2
+) -> list[dict]:
     """Blocks of a file: {name, marker_line, header_line}. A title has a keyword or is set off by '--'; a header has commas
-    below it in the data's number and stands within look_back lines after its title. Titles closer than `apart` are one."""
+    below it in the data's number and stands within look_back lines after its title. Titles closer than `apart` are one.
+    Titles and the blocks found are collected; headers and data lines are joined to the titles' surroundings only."""
     commas = F.length("text") - F.length(F.replace("text", F.lit(",")))
     said = F.col("text").rlike("|".join(f"(?i){re.escape(k)}" for k in keywords)) if keywords else F.lit(False)
     lines = numbered_lines(spark, path)
@@ -46,14 +54,19 @@ def find_blocks(spark: SparkSession, path: str, keywords: Sequence[str], least_h
     for r in titles.collect():
         if not kept or r["line"] - kept[-1]["marker_line"] > apart:
             kept.append({"name": r["text"].strip().strip("-").strip(), "marker_line": r["line"]})
-    heads = sorted(r["line"] for r in lines.filter((commas >= least_header) & ~F.ltrim("text").rlike(r"^\d")).select("line").collect())
-    data = {r["line"] for r in lines.filter((commas >= least_data) & F.ltrim("text").rlike(r"^\d")).select("line").collect()}
-    out = []
-    for k in kept:
-        head = next((h for h in heads if k["marker_line"] < h <= k["marker_line"] + look_back), None)
-        if head and any(h in data for h in range(head + 1, head + 1 + look_back)):
-            out.append(k | {"header_line": head})
-    return out
+    if not kept:
+        return []
+
+    def after(df: DataFrame, column: str) -> DataFrame:
+        return df.select("*", F.explode(F.sequence(F.col(column) + 1, F.col(column) + look_back)).alias("line"))
+
+    numeric = F.ltrim("text").rlike(r"^\d")
+    heads = lines.filter((commas >= least_header) & ~numeric).select("line")
+    data = lines.filter((commas >= least_data) & numeric).select("line")
+    marks = spark.createDataFrame([(k["marker_line"],) for k in kept], "marker int")
+    first = after(marks, "marker").join(heads, "line").groupBy("marker").agg(F.min("line").alias("header"))
+    found = {r["marker"]: r["header"] for r in after(first, "header").join(data, "line", "left_semi").select("marker", "header").distinct().collect()}
+    return [k | {"header_line": found[k["marker_line"]]} for k in kept if k["marker_line"] in found]
 
 
 def read_block(spark: SparkSession, path: str, header_line: int, before_line: int | None = None, nulls: Sequence[str] = NULLS, date_format: str = "yyyyMM") -> DataFrame:

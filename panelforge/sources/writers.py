@@ -50,4 +50,5 @@ def latex(df: DataFrame, digits: int = 4, caption: str = "", label: str = "") ->
 
     body = " \\\\\n".join(" & ".join(map(plain, r)) for r in rows)
     head = [r"\begin{table}[htbp]", r"\centering"] + ([rf"\caption{{{caption}}}"] if caption else []) + ([rf"\label{{{label}}}"] if label else [])
-    return "\n".join([*head, rf"\begin{{tabular}}{{{'l' * len(names)}}}", r"\toprule", " & ".join(map(plain, names)) + r" \\", r"\midrule", body + r" \\", r"\bottomrule", r"\end{tabular}", r"\end{table}", ""])
+    table = [rf"\begin{{tabular}}{{{'l' * len(names)}}}", r"\toprule", " & ".join(map(plain, names)) + r" \\", r"\midrule", body + r" \\", r"\bottomrule"]
+    return "\n".join([*head, *table, r"\end{tabular}", r"\end{table}", ""])

@@ -134,6 +134,35 @@ def smoothing_gain(spark, sf):
     return _rounded(gain.withColumn("gain_pct", _r("gain_pct", 3)), 4)
 
 
+@query(f"WITH {M.DENSE} SELECT run_id, 0 AS k, round(min(exp(({M.MU} + y2) / 2)), 6) AS low, round(max(exp(({M.MU} + y2) / 2)), 6) AS high, round(avg(exp(({M.MU} + y2) / 2)), 6) AS mean FROM d GROUP BY 1")
+def volatility_ranges(spark, sf):
+    return _rounded(models.volatility_range_df(_with_states(_dense_by_region(spark, sf))))
+
+
+@query(f"""WITH {M.DENSE} SELECT run_id, a, b, round(r, 6) AS corr FROM (SELECT run_id, corr(y1, y2) AS r, 0 AS a, 1 AS b FROM d WHERE t > 0 GROUP BY 1
+UNION ALL SELECT run_id, corr(y1, y3), 0, 2 FROM d WHERE t > 0 GROUP BY 1 UNION ALL SELECT run_id, corr(y2, y3), 1, 2 FROM d WHERE t > 0 GROUP BY 1)""")
+def return_correlations(spark, sf):
+    return _rounded(models.return_correlations_df(_dense_by_region(spark, sf)))
+
+
+def _summary_sql() -> str:
+    cells = " UNION ALL ".join(f"SELECT run_id, t, {i} AS series, y{i + 1} AS v FROM d WHERE t > 0" for i in range(3))
+    return f"""WITH {M.DENSE}, c AS ({cells}), l AS (SELECT *, lag(v) OVER (PARTITION BY run_id, series ORDER BY t) AS b FROM c)
+SELECT run_id, series, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(corr(v, b), 6) AS autocorr, round(corr(v * v, b * b), 6) AS autocorr_sq FROM l GROUP BY 1, 2"""
+
+
+@query(_summary_sql())
+def panel_summary(spark, sf):
+    return _rounded(models.simulation_summary_df(_dense_by_region(spark, sf)))
+
+
+@query()
+def student_jarque_bera(spark, sf):
+    dense = _dense_by_region(spark, sf)
+    p = _shared_params(spark, dense)
+    return models.student_jarque_bera_df(models.residuals_df(dense, models.filter_df(dense, p), p), draws=400)
+
+
 # --- errors of parameters: sets made of suppliers ---
 
 #: (truth, estimate) of each parameter's numbers, over a = s_acctbal / 10000 and n = s_nationkey / 25.
@@ -327,7 +356,8 @@ def means_by_prefix(spark, sf):
     return _rounded(aggregate.mean_by_prefix(e, ["bif", "pf", "bf"], "rmse").select("event_id", "bif_rmse_mean", "pf_rmse_mean", "bf_rmse_mean"))
 
 
-@query("SELECT o_orderpriority AS name, round(sum(o_totalprice), 2) AS total, round(sum(sum(o_totalprice)) OVER (ORDER BY sum(o_totalprice) DESC), 2) AS running, round(sum(sum(o_totalprice)) OVER (ORDER BY sum(o_totalprice) DESC) / sum(sum(o_totalprice)) OVER (), 6) AS running_share FROM orders GROUP BY 1")
+@query("""SELECT name, round(total, 2) AS total, round(sum(total) OVER (ORDER BY total DESC), 2) AS running,
+round(sum(total) OVER (ORDER BY total DESC) / sum(total) OVER (), 6) AS running_share FROM (SELECT o_orderpriority AS name, sum(o_totalprice) AS total FROM orders GROUP BY 1)""")
 def cumulative_shares(spark, sf):
     """Of one small aggregated table: five rows meet in one task."""
     totals = _t(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("name")).agg(F.sum("o_totalprice").alias("total"))

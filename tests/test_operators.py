@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge import functions as P
-from panelforge.kernels import filters
+from panelforge.kernels import filters, likelihoods
 from panelforge.kernels import params as kp
 from panelforge.kernels import simulate as ks
 from panelforge.operators import aggregate, models, panel, reshape
@@ -24,7 +24,10 @@ def flag():
 
 def test_missing_values(spark):
     d = spark.createDataFrame([(1.0, 2.0), (float("nan"), 3.0), (None, -99.99)], "a double, b double")
-    got = d.select(P.clean("a").alias("c"), P.mean_across(["a", "b"]).alias("m"), P.present_across(["a", "b"]).alias("n"), P.sentinel_to_null("b", -99.99).alias("s"), P.finite("a").alias("f"), P.guarded_ratio("b", "a").alias("r")).collect()
+    got = d.select(
+        P.clean("a").alias("c"), P.mean_across(["a", "b"]).alias("m"), P.present_across(["a", "b"]).alias("n"),
+        P.sentinel_to_null("b", -99.99).alias("s"), P.finite("a").alias("f"), P.guarded_ratio("b", "a").alias("r")
+    ).collect()
     assert [r["c"] for r in got] == [1.0, None, None] and [r["m"] for r in got] == [1.5, 3.0, -99.99] and [r["n"] for r in got] == [2, 2, 1]
     assert [r["s"] for r in got] == [2.0, 3.0, None] and [r["f"] for r in got] == [True, False, False]
 
@@ -47,7 +50,9 @@ def test_names_and_labels(spark):
     a, b = P.portfolio_deciles("n")
     assert [tuple(r) for r in s.select(a, b).collect()] == [(3, 7), (1, 1), (10, 10), (None, None)]
     v = spark.createDataFrame([(1234.5,), (0.0001,), (None,), (12.0,)], "v double")
-    assert [tuple(r) for r in v.select(P.shown("v", 2), P.shown_adaptive("v"), P.shown_units("v")).collect()] == [("1234.50", "1234.500", "1.23B"), ("0.00", "1.00e-04", "0.00M"), ("N/A", "N/A", "N/A"), ("12.00", "12.000", "12.00M")]
+    assert [tuple(r) for r in v.select(P.shown("v", 2), P.shown_adaptive("v"), P.shown_units("v")).collect()] == [
+        ("1234.50", "1234.500", "1.23B"), ("0.00", "1.00e-04", "0.00M"), ("N/A", "N/A", "N/A"), ("12.00", "12.000", "12.00M")
+    ]
 
 
 def test_guarded_correlation_of_a_constant(spark):
@@ -124,6 +129,71 @@ def test_blocks_of_a_file(spark, tmp_path):
     assert readers.numbered_lines(spark, str(path)).count() == 15
 
 
+def test_blocks_of_a_latin1_file(spark, tmp_path):
+    path = tmp_path / "old.csv"
+    path.write_bytes("Émile's Average Returns -- Monthly\n,a,b,c\n196307, 1.0, 2.0, 3.0\n".encode("latin1"))
+    found = readers.find_blocks(spark, str(path), ["Average"])
+    assert found == [{"name": "Émile's Average Returns -- Monthly", "marker_line": 1, "header_line": 2}]
+    assert readers.find_blocks(spark, str(path), ["nothing"])[0]["marker_line"] == 1  # by its --
+    (tmp_path / "none.csv").write_text("plain\n")
+    assert readers.find_blocks(spark, str(tmp_path / "none.csv"), ["x"]) == []
+    (tmp_path / "typed.csv").write_text("a,b\n1,2.5\n")
+    assert readers.read_csv(spark, str(tmp_path / "typed.csv"), infer=True).dtypes == [("a", "int"), ("b", "double")]
+
+
+def test_quantiles_with_an_accuracy(spark):
+    d = spark.range(10_001).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
+    exact, near = ({r["g"]: r for r in aggregate.five_numbers(d, ["g"], "v", a).collect()} for a in (None, 100))
+    assert all(abs(exact[g][c] - near[g][c]) <= 10_001 / 100 for g in exact for c in ("least", "lower", "middle", "upper", "greatest"))
+    m = {r["g"]: r for r in aggregate.group_stats(d, ["g"], ["v"], ("median",), accuracy=1000).collect()}
+    assert all(abs(m[g]["v_median"] - exact[g]["middle"]) <= 11 for g in m)
+    assert all(abs(r["v"] - exact[r["g"]]["middle"]) <= 11 for r in aggregate.medians(d, ["g"], 1000).collect())
+
+
+def test_a_large_panel_is_not_collected(spark, monkeypatch):
+    monkeypatch.setattr(models, "PANEL_BYTES", 100)
+    d = spark.createDataFrame([(t, [0.1, 0.2, 0.3]) for t in range(10)], "t int, y array<double>")
+    with pytest.raises(ValueError, match="more than"):
+        models.fit_distributed(d, kp.realistic(3, 1))
+
+
+def test_a_study_of_fits(spark):
+    """Records of fits, resumed; failures are rows; the objective at the estimate is no worse than at the truth."""
+    runs = study.grid(spark, [2], [1], [40], ["BIF"], [], 1).withColumn("fix_mu", F.lit(True))
+    broken = runs.withColumns({"run_id": F.lit("broken"), "filter_type": F.lit("none")})
+    got = {r["run_id"]: r for r in study.run_fits(runs.union(broken), max_steps=200).collect()}
+    r = next(v for k, v in got.items() if k != "broken")
+    assert got["broken"]["error"] and got["broken"]["success"] is None
+    assert r["final_loss"] <= r["loss_at_truth"] + 1e-6 and r["errors"]["mu_bias"] == 0 and r["error"] is None and r["optimizer_name"] == "DampedTrustRegionBFGS"
+    assert study.run_fits(runs, done=spark.createDataFrame([(r["run_id"],)], "run_id string")).collect() == []
+
+
+def test_student_jarque_bera(spark):
+    """Residuals from a Student t aren't rejected under their own t; skewed ones are."""
+    g = np.random.default_rng(12)
+    t5, skewed = g.standard_t(7, (300, 2)) * np.sqrt(5 / 7), g.exponential(size=(300, 2)) - 1
+    rows = [("t", i, z.tolist()) for i, z in enumerate(t5)] + [("skewed", i, z.tolist()) for i, z in enumerate(skewed)]
+    got = {r["run_id"]: r for r in models.student_jarque_bera_df(spark.createDataFrame(rows, "run_id string, t int, z array<double>"), draws=400).collect()}
+    assert got["t"]["p_value"] > 0.05 and got["t"]["n"] == 600 and got["t"]["draws"] == 400 and 2.1 <= got["t"]["dof"] <= 200
+    assert got["skewed"]["p_value"] <= got["t"]["p_value"]
+
+
+def test_prediction_with_the_current_volatility():
+    b = filters.Batch.of([flag()])
+    f, h, p = np.array([[0.5]]), np.array([[-2.0]]), np.array([[[0.3]]])
+    near, own = (filters.predict(b, f, h, p, p, c) for c in (True, False))
+    assert np.allclose(near[0], 0.45) and np.allclose(near[1], -1 + 0.95 * -1.0)
+    assert np.allclose(near[2], 0.81 * 0.3 + np.exp(-2.0)) and np.allclose(own[2], 0.81 * 0.3 + np.exp(near[1])) and np.allclose(near[3], 0.95**2 * 0.3 + 0.1)
+    assert np.isfinite(filters._inv(np.zeros((2, 2, 2)))).all()
+
+
+def test_robust_objective_penalises_the_edge():
+    near = kp.Params.from_dict({"lambda_r": [[1.0], [0.5]], "Phi_f": 0.2, "Phi_h": 0.99, "mu": -1.0, "sigma2": 0.005, "Q_h": 0.1})
+    y = np.random.default_rng(0).normal(size=(20, 2))
+    plain, robust = (likelihoods.objectives([near], y, boundary_weight=w)[0] for w in (0.0, 10.0))
+    assert abs(robust - plain - likelihoods.boundary_penalty(near, weight=10.0)) < 1e-9 and robust > plain
+
+
 def test_records_arrays_and_dates(spark, tmp_path):
     for run, text in (("task_1", '{"N": 5, "rmse": [0.1, NaN], "config": {"seed": 3}}'), ("task_2", "{broken")):
         (tmp_path / "study" / run).mkdir(parents=True)
