@@ -238,6 +238,17 @@ class Transducer:
         return self.applied(self.scan([self.map(marked[i : i + chunk]) for i in range(0, len(marked), chunk)])) if text else 0
 
 
+_OWN: dict[str, Transducer] = {}
+
+
+def compiled(path: str) -> Transducer:
+    """This process's machine: what one task has compiled serves those that follow in the same worker."""
+    if path not in _OWN:
+        _OWN.clear()
+        _OWN[path] = Transducer(path)
+    return _OWN[path]
+
+
 def escaped(text: str) -> str:
     """A text as the machine reads it: spaces as marks, and one before the first character."""
     return MARK + text.replace(" ", MARK) if text else ""
@@ -253,7 +264,7 @@ def _mapped(path: str, chunk: int, fan: int):
         import pyarrow as pa
         from xxhash import xxh3_64_intdigest
 
-        machine = Transducer(path)
+        machine = compiled(path)
         for batch in batches:
             copies: dict[tuple, int] = {}
             for at in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -280,7 +291,7 @@ def _composed(path: str):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        machine, key, maps, copies, last = Transducer(path), None, [], 0, -1
+        machine, key, maps, copies, last = compiled(path), None, [], 0, -1
         for batch in batches:
             out = []
             for doc, size, digest, part, n, head, count, exit_ in zip(*[c.to_pylist() for c in batch.columns]):
