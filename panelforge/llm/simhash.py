@@ -26,8 +26,9 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from . import resemblance
 from .common import bare, free_name, small_batches, staged, utf8, width
 from .components import components
 
@@ -211,35 +212,59 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _replaced_by_prints(batches: Iterator) -> Iterator:
-    """Rows with a column __text, which their fingerprints take the place of."""
+def _described(batches: Iterator) -> Iterator:
+    """Rows (id, a, b, __text) with fingerprints, shingle-set hashes and band keys in place of texts."""
     import pyarrow as pa
 
+    sketcher = resemblance.Sketcher()
     for batch in batches:
-        at = batch.schema.get_field_index("__text")
-        values = pa.array([fingerprint(t) for t in utf8(batch.column(at))], pa.int64())
-        names = ["fp" if n == "__text" else n for n in batch.schema.names]
-        yield pa.RecordBatch.from_arrays([values if i == at else c for i, c in enumerate(batch.columns)], names)
+        texts = utf8(batch.column("__text"))
+        sets = [resemblance.shingle_set(t) for t in texts]
+        columns = (
+            pa.array([fingerprint(t) for t in texts], pa.int64()), pa.array([sketcher.set_hash(x) if len(x) else None for x in sets], pa.int64()),
+            pa.array([sketcher.bands(x) for x in sets], pa.list_(pa.int64())),
+        )
+        yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("id", "a", "b")] + list(columns), ["id", "a", "b", "fp", "s", "bands"])
+
+
+def _similar_prints(rows: DataFrame, marked: DataFrame, first: str, second: str, text: str) -> DataFrame:
+    """(u, v): fingerprints of texts whose shingle sets are equal or similar. rows: _described(), staged."""
+    sets = staged(rows.filter("s is not null").groupBy("s").agg(F.min("fp").alias("fp"), F.first("bands").alias("bands")), "shingle-bands")
+    pairs = staged(resemblance.stars(sets.select("s", "bands")), "shingle-pairs")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("s")).distinct()
+    owner = rows.join(ends, "s", "left_semi").groupBy("s").agg(F.min(F.struct("a", "b")).alias("r"))
+    owner = owner.select("s", F.col("r.a").alias(first), F.col("r.b").alias(second))
+    texts = marked.join(owner, [first, second]).select("s", F.col(f"`{text}`").alias("text")).dropDuplicates(["s"])
+    similar = resemblance.similar(pairs, resemblance.shingle_sets(texts))
+    at = sets.select("s", "fp")
+    u, v = (at.withColumnsRenamed({"s": k, "fp": f"f{k}"}) for k in ("u", "v"))
+    near = similar.join(u, "u").join(v, "v").select(F.col("fu").alias("u"), F.col("fv").alias("v"))
+    equal = rows.select("s", F.col("fp").alias("u")).distinct().join(at.withColumnRenamed("fp", "v"), "s").select("u", "v")
+    return near.union(equal).filter("u != v").distinct()
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without all but one row of each component, with all their columns: the row with the least id stays, one without
-    an id only where the component has no other; of rows that share that id the first by a hash of all their columns does.
+    """docs without all but one row of each group of near copies, with all their columns. Linked are fingerprints within
+    MAX_BITS, as in classes(), and texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, which
+    fingerprints miss (resemblance.py). Of a group the row with the least id stays, one without an id only where the group
+    has no other; of rows that share that id the first by a hash of all their columns does.
 
     Rows are told apart by two 64-bit hashes over their columns (those of map type left out), not by their ids. Choosing
     reads fingerprints, ids and hashes alone; texts are read again, by the hashes of the rows that stay, and cross the
-    network only where these are too many to be sent to every task. Rows that are equal throughout are a component's own
-    copies: one of them stays. Null and empty texts link like any other; an empty table gives none.
+    network only where these are too many to be sent to every task. Rows that are equal throughout are a group's own copies:
+    one of them stays. Null and empty texts link by their fingerprint; an empty table gives none.
     """
     small_batches(docs.sparkSession)
     first, second, count = (free_name(docs, n) for n in ("__first", "__second", "__count"))
     plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     marked = docs.withColumns({first: F.xxhash64(*plain), second: F.xxhash64(F.lit("second"), *reversed(plain))})
     slim = marked.select(F.col(f"`{key}`").alias("id"), F.col(first).alias("a"), F.col(second).alias("b"), F.col(f"`{text}`").alias("__text"))
-    rows = slim.mapInArrow(_replaced_by_prints, StructType([*slim.schema.fields[:3], StructField("fp", LongType())]))
-    rows = staged(rows.groupBy("id", "a", "b", "fp").agg(F.count("*").alias("n")), "simhash-rows")
-    roots = components(links(tabled(rows.select("fp").distinct())))
-    rooted = rows.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    more = [StructField("fp", LongType()), StructField("s", LongType()), StructField("bands", ArrayType(LongType()))]
+    rows = staged(slim.mapInArrow(_described, StructType([*slim.schema.fields[:3], *more])), "simhash-rows")
+    edges = links(tabled(rows.select("fp").distinct())).union(_similar_prints(rows, marked, first, second, text))
+    roots = components(edges)
+    counted = rows.groupBy("id", "a", "b", "fp").agg(F.count("*").alias("n"))
+    rooted = counted.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     order = F.struct(F.col("id").isNull(), "id", "a", "b")
     best = rooted.groupBy("root").agg(F.min_by(F.struct("a", "b", "n"), order).alias("best")).select("best.*")
     best = staged(best.withColumnsRenamed({"a": first, "b": second, "n": count}), "simhash-kept")

@@ -1,6 +1,8 @@
 import glob
+import os
 import random
 import re
+import sys
 import time
 from collections import Counter
 from urllib.parse import urljoin, urlparse
@@ -9,7 +11,11 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from panelforge.llm import decontaminate, mixing, quality_model, quality_rules, queries, simhash, url_rules
+from panelforge.llm import decontaminate, mixing, quality_model, quality_rules, queries, url_rules
+
+
+sys.path.insert(0, os.path.dirname(__file__))
+from test_documents import plain_groups  # noqa: E402
 
 
 def page(i, url, canonical=None, refresh=None):
@@ -180,8 +186,10 @@ def test_pipeline(spark, sf):
     first = {r["doc_id"] for r in kept[0]}
     said = {r["doc_id"]: r["kept"] for r in quality_rules.judged(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
     assert {r["doc_id"] for r in kept[1]} == {i for i in first if said[i]}
-    second = spark.createDataFrame(kept[1], docs.schema)
-    assert {r["doc_id"] for r in kept[2]} == {r["component_id"] for r in simhash.near_duplicates(second).collect()}
+    group, least = plain_groups([r["text"] for r in kept[1]]), {}
+    for r in kept[1]:
+        least[group[r["text"]]] = min(r["doc_id"], least.get(group[r["text"]], r["doc_id"]))
+    assert {r["doc_id"] for r in kept[2]} == set(least.values())
     third = spark.createDataFrame(kept[2], docs.schema)
     bad = {r["doc_id"] for r in decontaminate.contaminated(third, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert {r["doc_id"] for r in kept[3]} == {r["doc_id"] for r in kept[2]} - bad and bad
