@@ -35,7 +35,7 @@ def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, text) of one file, from 1. Read as one record, as a file's lines have no number otherwise. A file that isn't
     UTF-8 is taken for Latin-1, in which every byte is a character."""
-    whole = spark.read.format("binaryFile").load(path).select(F.col("content").cast("string").alias("utf8"), F.decode("content", F.lit("ISO-8859-1")).alias("latin"))
+    whole = spark.read.format("binaryFile").load(path).select(F.col("content").cast("string").alias("utf8"), F.decode("content", "ISO-8859-1").alias("latin"))
     text = F.when(F.is_valid_utf8("utf8"), F.col("utf8")).otherwise(F.col("latin"))
     return whole.select(F.posexplode(F.split(text, r"\r?\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
 
