@@ -229,11 +229,11 @@ def _described(batches: Iterator) -> Iterator:
 
 def _similar_prints(rows: DataFrame, marked: DataFrame, first: str, second: str, text: str) -> DataFrame:
     """(u, v): fingerprints of texts whose shingle sets are equal or similar. rows: _described(), staged."""
-    sets = staged(rows.filter("s is not null").groupBy("s").agg(F.min("fp").alias("fp"), F.first("bands").alias("bands")), "shingle-bands")
+    found = (F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct("a", "b")).alias("r"))
+    sets = staged(rows.filter("s is not null").groupBy("s").agg(*found), "shingle-bands")
     pairs = staged(resemblance.stars(sets.select("s", "bands")), "shingle-pairs")
     ends = pairs.select(F.explode(F.array("u", "v")).alias("s")).distinct()
-    owner = rows.join(ends, "s", "left_semi").groupBy("s").agg(F.min(F.struct("a", "b")).alias("r"))
-    owner = owner.select("s", F.col("r.a").alias(first), F.col("r.b").alias(second))
+    owner = sets.join(ends, "s", "left_semi").select("s", F.col("r.a").alias(first), F.col("r.b").alias(second))
     texts = marked.join(owner, [first, second]).select("s", F.col(f"`{text}`").alias("text")).dropDuplicates(["s"])
     similar = resemblance.similar(pairs, resemblance.shingle_sets(texts))
     at = sets.select("s", "fp")
