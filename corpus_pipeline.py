@@ -21,8 +21,9 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, that with the least id, of each component of near-duplicates: null ids come last, ties go by text, and rows
-    that are equal throughout leave one. Null and empty texts share a fingerprint and leave one row."""
+    """One row, that with the least id, of each group of near copies: fingerprints within 3 bits, or 5-word shingle sets with
+    a similarity of 0.8 or more. Null ids come last, ties go by a hash of the row, and rows that are equal throughout leave
+    one. Null and empty texts share a fingerprint and leave one row."""
     return simhash.keep_one(docs)
 
 
