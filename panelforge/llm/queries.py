@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, pii, quality_model, quality_rules, shards, simhash, suffix_dedup, token_counts, url_rules
+from . import (
+    decontaminate, filter_audit, lexical_search, mixing, pii, quality_model, quality_rules, shards, simhash, suffix_dedup, token_counts, toxicity, url_rules,
+)
 from .common import table
 
 
@@ -51,13 +53,29 @@ def op10_seed_align_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_filter_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_virtual_slot_shards, op2_rule_ledger, op3_suffix_array_dedup, op4_simhash_pivots, op5_contextual_pii, op6_temperature_mixing,
         op7_compression_classifier, op8_transducer_token_counts, op9_redirect_url_rules, op10_seed_align_decontamination,
+        op11_filter_orders, op12_toxic_segments, op13_lexical_search,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_rule_ledger": quality_rules.SQL, "op3_suffix_array_dedup": suffix_dedup.SQL, "op5_contextual_pii": pii.SQL, "op9_redirect_url_rules": url_rules.SQL}
+    return {
+        "op2_rule_ledger": quality_rules.SQL, "op3_suffix_array_dedup": suffix_dedup.SQL, "op5_contextual_pii": pii.SQL, "op9_redirect_url_rules": url_rules.SQL,
+        "op11_filter_orders": filter_audit.SQL, "op13_lexical_search": lexical_search.SQL,
+    }
