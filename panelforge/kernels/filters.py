@@ -8,6 +8,7 @@ step, which `constant` gives.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -72,18 +73,39 @@ def predict(b: Batch, f: np.ndarray, h: np.ndarray, p_f: np.ndarray, p_h: np.nda
     return f_next, h_next, b.phi_f @ p_f @ np.swapaxes(b.phi_f, -1, -2) + noise, b.phi_h @ p_h @ np.swapaxes(b.phi_h, -1, -2) + b.q_h
 
 
+@lru_cache(maxsize=64)
 def _eye(k: int, x: float = 1.0) -> np.ndarray:
     return x * np.eye(k)
 
 
 def _diag(x: np.ndarray) -> np.ndarray:
-    return x[..., :, None] * np.eye(x.shape[-1])
+    return x[..., :, None] * _eye(x.shape[-1])
 
 
 def _mv(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if a.shape[-1] == a.shape[-2] == 1:  # one factor: a product costs a tenth of a call to the matrix library
+        return a[..., 0] * x
     return (a @ x[..., None])[..., 0]
 
 
+def _solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a^-1 b, for matrices b."""
+    return b / a if a.shape[-1] == 1 else np.linalg.solve(a, b)
+
+
+def _logdet(a: np.ndarray) -> np.ndarray:
+    """The logarithm of a determinant; of a complex matrix the analytic one, which tangents need."""
+    if a.shape[-1] == 1:
+        return np.log(a[..., 0, 0] if np.iscomplexobj(a) else np.abs(a[..., 0, 0]))
+    sign, size = np.linalg.slogdet(a)
+    return size + np.log(sign) if np.iscomplexobj(a) else size
+
+
+def _held(h: np.ndarray) -> np.ndarray:
+    """Log volatilities within H_MOST; one beyond it is constant, and has no tangent."""
+    return np.where(np.abs(h.real) > H_MOST, np.clip(h.real, -H_MOST, H_MOST), h)
+
+
 class _Observation:
     """One observation's likelihood given (f, h): y ~ N(L f, L diag(e^h) L' + diag(s2)), by Woodbury in K dimensions."""
 
@@ -101,7 +123,7 @@ class _Observation:
     def inner(self, h: np.ndarray):
         """M = diag(e^-h) + V, and I_ff = V - V M^-1 V, the information on f."""
         m = _diag(1 / (np.exp(h) + 1e-8)) + self.v + _eye(self.k, 1e-6)
-        i_ff = self.v - self.v @ np.linalg.solve(m, self.v)
+        i_ff = self.v - self.v @ _solved(m, self.v)
         return m, (i_ff + np.swapaxes(i_ff, -1, -2)) / 2
 
     def residual(self, f: np.ndarray):
@@ -113,8 +135,8 @@ class _Observation:
         """(log likelihood, M^-1 v) at h, for a residual()."""
         if m is None:
             m = _diag(1 / (np.exp(h) + 1e-8)) + self.v + _eye(self.k, 1e-6)
-        z = np.linalg.solve(m, v[..., None])[..., 0]
-        logdet = np.linalg.slogdet(m)[1] + h.sum(-1) + self.logdet_d
+        z = _solved(m, v[..., None])[..., 0]
+        logdet = _logdet(m) + h.sum(-1) + self.logdet_d
         return -0.5 * (logdet + rr - (v * z).sum(-1)), z
 
     def value(self, f: np.ndarray, h: np.ndarray, m: np.ndarray | None = None):
@@ -179,8 +201,8 @@ def _descended(obs: _Observation, f, h, searching, f_pred, h_pred, w_f, w_h):
     for _ in range(SWEEPS):
         f_old, h_old = f, h
         m, i_ff = obs.inner(h)
-        z = np.linalg.solve(m, obs.b[..., None])[..., 0]
-        f = np.linalg.solve(i_ff + w_f, (obs.b - _mv(obs.v, z) + _mv(w_f, f_pred))[..., None])[..., 0]
+        z = _solved(m, obs.b[..., None])[..., 0]
+        f = _solved(i_ff + w_f, (obs.b - _mv(obs.v, z) + _mv(w_f, f_pred))[..., None])[..., 0]
         f = np.where(searching[:, None], f, f_old)
         v, rr = obs.residual(f)
         live = searching
@@ -192,7 +214,7 @@ def _descended(obs: _Observation, f, h, searching, f_pred, h_pred, w_f, w_h):
             wd = _mv(w_h, d)
             now = -ll + 0.5 * (d * wd).sum(-1)
             gradient = 0.5 * np.exp(h) * (np.diagonal(i_ff, axis1=-2, axis2=-1) - (v - _mv(obs.v, z)) ** 2) + wd
-            step = -np.linalg.solve(obs.information(h, i_ff)[1] + w_h, gradient[..., None])[..., 0]
+            step = -_solved(obs.information(h, i_ff)[1] + w_h, gradient[..., None])[..., 0]
             live = live & (np.abs(step).max(-1) >= CLOSE)
             if not live.any():
                 break
@@ -222,7 +244,7 @@ def _polished(obs: _Observation, f, h, f_pred, h_pred, w_f, w_h):
     def slopes(f: np.ndarray, h: np.ndarray):
         m, i_ff = obs.inner(h)
         v = obs.residual(f)[0]
-        p, e = v - _mv(obs.v, np.linalg.solve(m, v[..., None])[..., 0]), np.exp(h)
+        p, e = v - _mv(obs.v, _solved(m, v[..., None])[..., 0]), np.exp(h)
         g_h = _mv(w_h, h - h_pred) + 0.5 * e * (np.diagonal(i_ff, axis1=-2, axis2=-1) - p**2)
         return np.concatenate([_mv(w_f, f - f_pred) - p, g_h], -1), i_ff, p, e
 
@@ -250,37 +272,81 @@ def _polished(obs: _Observation, f, h, f_pred, h_pred, w_f, w_h):
     return f, h, np.abs(g).max(-1)
 
 
-def run_filter(b: Batch, y: np.ndarray, kind: str = BIF, predict_first: bool = True, init_factor_var: float | None = None) -> Filtered:
+def _followed(obs: _Observation, f, h, f_pred, h_pred, w_f, w_h, steps: int = 2):
+    """Newton steps towards the mode, none refused: from a mode of real parameters, the first gives the mode's tangents of
+    complex ones exactly, by the implicit function theorem; a second takes off what the mode was short of."""
+    k = h.shape[-1]
+    for _ in range(steps):
+        m, i_ff = obs.inner(h)
+        v = obs.residual(f)[0]
+        p, e = v - _mv(obs.v, _solved(m, v[..., None])[..., 0]), np.exp(h)
+        pe = p * e
+        i_diag = np.diagonal(i_ff, axis1=-2, axis2=-1)
+        g = np.concatenate([_mv(w_f, f - f_pred) - p, _mv(w_h, h - h_pred) + 0.5 * e * (i_diag - p**2)], -1)
+        cross = i_ff * pe[..., None, :]
+        curve = i_ff * pe[..., :, None] * pe[..., None, :] - 0.5 * e[..., :, None] * e[..., None, :] * i_ff**2
+        both = np.concatenate([
+            np.concatenate([i_ff + w_f, cross], -1),
+            np.concatenate([np.swapaxes(cross, -1, -2), curve + _diag(0.5 * e * (i_diag - p**2)) + w_h], -1)], -2)
+        step = np.linalg.solve(both, g[..., None])[..., 0]
+        f, h = f - step[..., :k], h - step[..., k:]
+    return f, h
+
+
+TANGENT = 1e-20  #: how far parameters are moved into the complex plane: far below rounding, so that tangents are exact
+
+
+def score(b: Batch, y: np.ndarray, kind: str = BIF, points: int = 1, modes: np.ndarray | None = None) -> np.ndarray:
+    """The exact slopes of one panel's log likelihood, y (T, N), as (points, directions). b: for each point as many sets of
+    parameters as directions, equal in their real parts, each with its direction times TANGENT for its imaginary part. One
+    real run a point finds the modes (points, T, 2K), unless they are given; the recursion then carries all tangents at once,
+    and needs no search."""
+    each = len(b.mu) // points
+    if modes is None:
+        real = Batch(*[np.ascontiguousarray(x[::each].real) for x in (b.lam, b.phi_f, b.phi_h, b.mu, b.s2, b.q_h)])
+        modes = run_filter(real, np.broadcast_to(y, (points, *y.shape)), kind).alpha
+    tangents = run_filter(b, np.broadcast_to(y, (len(b.mu), *y.shape)), kind, modes=np.repeat(modes, each, 0))
+    return tangents.loglik.imag.sum(-1).reshape(points, each) / TANGENT
+
+
+def run_filter(
+    b: Batch, y: np.ndarray, kind: str = BIF, predict_first: bool = True, init_factor_var: float | None = None, modes: np.ndarray | None = None
+) -> Filtered:
     """Filters R runs, y (R, T, N). BIF carries information, BF covariances; both use the same update. The first update
-    sees a predicted state, or the initial one without predict_first. init_factor_var: 1 for BIF, 1e6 for BF, unless given."""
+    sees a predicted state, or the initial one without predict_first. init_factor_var: 1 for BIF, 1e6 for BF, unless given.
+    modes (R, T, 2K), those of the parameters' real parts, are followed instead of sought, as score() does."""
     r, k = len(y), b.mu.shape[-1]
     if kind not in (BIF, BF):
         raise ValueError(f"no such filter: {kind}")
     var = init_factor_var if init_factor_var is not None else (1.0 if kind == BIF else 1e6)
     p_f, p_h = np.broadcast_to(_eye(k, var), (r, k, k)), lyapunov(b.phi_h, b.q_h)
     w_f, w_h = _inv(p_f + _eye(k, 1e-6)), _inv(p_h + _eye(k, 1e-6))
-    return run_filter_from(b, y, np.zeros((r, k)), b.mu.copy(), w_f, w_h, kind, predict_first)
+    return run_filter_from(b, y, np.zeros((r, k)), b.mu.copy(), w_f, w_h, kind, predict_first, modes)
 
 
-def run_filter_from(b: Batch, y: np.ndarray, f: np.ndarray, h: np.ndarray, w_f: np.ndarray, w_h: np.ndarray, kind: str = BIF, predict_first: bool = True) -> Filtered:
+def run_filter_from(
+    b: Batch, y: np.ndarray, f: np.ndarray, h: np.ndarray, w_f: np.ndarray, w_h: np.ndarray, kind: str = BIF, predict_first: bool = True,
+    modes: np.ndarray | None = None,
+) -> Filtered:
     """The recursion from a given state (f, h) with information blocks w_f and w_h."""
     r, t_all, _ = y.shape
     k = b.mu.shape[-1]
     p_f, p_h = _inv(w_f), _inv(w_h)
     obs = _Observation(b)
-    alpha, ll = np.empty((r, t_all, 2 * k)), np.empty((r, t_all))
-    cov_f, cov_h, clamped = np.empty((r, t_all, k, k)), np.empty((r, t_all, k, k)), np.zeros(r, bool)
+    number = np.result_type(b.lam, b.mu, b.s2, b.phi_f, b.phi_h, b.q_h)
+    alpha, ll = np.empty((r, t_all, 2 * k), number), np.empty((r, t_all), number)
+    cov_f, cov_h, clamped = np.empty((r, t_all, k, k), number), np.empty((r, t_all, k, k), number), np.zeros(r, bool)
     tr = lambda x: np.swapaxes(x, -1, -2)
     q_inv = np.linalg.inv(b.q_h + _eye(k, 1e-8))
     for t in range(t_all):
         if t or predict_first:
             f, h = _mv(b.phi_f, f), b.mu + _mv(b.phi_h, h - b.mu)
             clamped |= (np.abs(h) > H_MOST).any(-1)
-            h = np.clip(h, -H_MOST, H_MOST)
+            h = _held(h)
             if kind == BIF:
                 i_f = _diag(np.exp(-h) + 1e-8)
-                w_f = i_f - i_f @ b.phi_f @ np.linalg.solve(w_f + tr(b.phi_f) @ i_f @ b.phi_f, tr(b.phi_f) @ i_f)
-                w_h = q_inv - q_inv @ b.phi_h @ np.linalg.solve(w_h + tr(b.phi_h) @ q_inv @ b.phi_h, tr(b.phi_h) @ q_inv)
+                w_f = i_f - i_f @ b.phi_f @ _solved(w_f + tr(b.phi_f) @ i_f @ b.phi_f, tr(b.phi_f) @ i_f)
+                w_h = q_inv - q_inv @ b.phi_h @ _solved(w_h + tr(b.phi_h) @ q_inv @ b.phi_h, tr(b.phi_h) @ q_inv)
                 w_f, w_h = (w_f + tr(w_f)) / 2, (w_h + tr(w_h)) / 2
             else:
                 p_f = b.phi_f @ p_f @ tr(b.phi_f) + _diag(np.exp(h))
@@ -288,13 +354,16 @@ def run_filter_from(b: Batch, y: np.ndarray, f: np.ndarray, h: np.ndarray, w_f:
         if kind == BF:
             w_f, w_h = _inv((p_f + tr(p_f)) / 2 + _eye(k, 1e-8)), _inv((p_h + tr(p_h)) / 2 + _eye(k, 1e-8))
         obs.see(y[:, t])
-        f_new, h_new = _mode(obs, f, h, w_f, w_h)
+        if modes is None:
+            f_new, h_new = _mode(obs, f, h, w_f, w_h)
+        else:
+            f_new, h_new = _followed(obs, modes[:, t, :k], modes[:, t, k:], f, h, w_f, w_h)
         m, i_ff = obs.inner(h_new)
         fit = obs.value(f_new, h_new, m)[0]
         j_f, j_h = obs.information(h_new, i_ff)
         u_f, u_h = w_f + j_f + _eye(k, 1e-6), w_h + j_h + _eye(k, 1e-6)
         penalty = sum(
-            0.5 * (np.linalg.slogdet(u + _eye(k, 1e-8))[1] - np.linalg.slogdet(w + _eye(k, 1e-8))[1] + (d * _mv(w, d)).sum(-1))
+            0.5 * (_logdet(u + _eye(k, 1e-8)) - _logdet(w + _eye(k, 1e-8)) + (d * _mv(w, d)).sum(-1))
             for u, w, d in ((u_f, w_f, f_new - f), (u_h, w_h, h_new - h))
         )
         ll[:, t] = fit - penalty

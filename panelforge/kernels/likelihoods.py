@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 from . import filters, particle
@@ -60,8 +62,8 @@ def instability(p: Params) -> float:
     return float(np.maximum(sizes - 1 + EDGE, 0).sum())
 
 
-def logliks(params: list[Params], y: np.ndarray, kind: str = "BIF", particles: int = 1000, seed: int = 42) -> np.ndarray:
-    """The log likelihood of one panel y (T, N) under each of params."""
+def logliks(params: list[Params], y: np.ndarray, kind: str = "BIF", particles: int = 1000, seed: int = 42, seen: dict | None = None) -> np.ndarray:
+    """The log likelihood of one panel y (T, N) under each of params. seen gets the mode filters' states as "modes"."""
     if kind == "PF":
         out = []
         for p in params:
@@ -69,7 +71,10 @@ def logliks(params: list[Params], y: np.ndarray, kind: str = "BIF", particles: i
             out.append(s if np.isfinite(s) else -np.inf)
         return np.array(out)
     with np.errstate(all="ignore"):
-        return filters.total(filters.run_filter(filters.Batch.of(params), np.broadcast_to(y, (len(params), *y.shape)), kind).loglik)
+        x = filters.run_filter(filters.Batch.of(params), np.broadcast_to(y, (len(params), *y.shape)), kind)
+    if seen is not None:
+        seen["modes"] = x.alpha
+    return filters.total(x.loglik)
 
 
 def objectives(
@@ -100,6 +105,28 @@ def objectives(
     return out
 
 
+def slopes(
+    build: Callable[[np.ndarray], Params], points: np.ndarray, y: np.ndarray, kind: str = "BIF", priors: dict | None = None, boundary_weight: float = 0.0,
+    modes: np.ndarray | None = None,
+) -> np.ndarray:
+    """The exact gradients of objectives(), one a row, at stable points, one a row; build makes parameters of a vector, real or
+    complex. What priors and the boundary add is differenced: they are smooth, cheap, and never meet the gate. modes: the
+    filter's at these points, if they are known."""
+    tangents = 1j * filters.TANGENT * np.eye(points.shape[1])
+    with np.errstate(all="ignore"):
+        out = -filters.score(filters.Batch.of([build(v) for x in points for v in x + tangents]), y, kind, len(points), modes)
+    if priors is not None or boundary_weight:
+
+        def rest(v: np.ndarray) -> float:
+            p = build(v)
+            return (0.0 if priors is None else -log_prior(p, **priors)) + (boundary_penalty(p, weight=boundary_weight) if boundary_weight else 0.0)
+
+        for row, x in zip(out, points):
+            steps = 1e-6 * np.maximum(1, np.abs(x))
+            row += [(rest(x + d) - rest(x - d)) / (2 * h) for d, h in zip(np.diag(steps), steps)]
+    return out
+
+
 def boundary_penalty(p: Params, radius: float = 0.95, least_variance: float = 0.01, weight: float = 100.0) -> float:
     """A penalty that grows as eigenvalues near the unit circle and as variances near 0, before the gate closes."""
     sizes = np.abs(np.r_[np.linalg.eigvals(p.Phi_f), np.linalg.eigvals(p.Phi_h)])

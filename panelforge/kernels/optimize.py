@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from . import likelihoods
+from .filters import BF, BIF
 from .params import FIELDS, Params, flatten, identified, sound, transform, unflatten, untransform
 
 SCHEDULES = ("cosine", "exponential", "linear", "warmup_cosine", "constant", "cyclic", "step_decay", "one_cycle")
@@ -114,10 +115,49 @@ class Minimum:
 
 
 def central(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, h: float = 1e-5) -> np.ndarray:
-    """The gradient by central differences; f takes many points, one a row, and is called once."""
+    """The gradient by central differences; f takes many points, one a row, and is called once. Where a value is that of an
+    unstable point, beyond the gate, the step is shrunk until one side is within, and that side alone is used."""
     steps = h * np.maximum(1, np.abs(x))
     both = f(np.vstack([x + np.diag(steps), x - np.diag(steps)]))
-    return (both[: len(x)] - both[len(x) :]) / (2 * steps)
+    up, down = both[: len(x)], both[len(x) :]
+    out = (up - down) / (2 * steps)
+    beyond = np.flatnonzero((up >= likelihoods.UNSTABLE) | (down >= likelihoods.UNSTABLE))
+    if not len(beyond):
+        return out
+    here = float(f(x[None])[0])
+    if here >= likelihoods.UNSTABLE:
+        return out
+    for i in beyond:
+        e, step, ends = np.eye(len(x))[i], steps[i], (up[i], down[i])
+        for _ in range(8):
+            if min(ends) < likelihoods.UNSTABLE:
+                break
+            step /= 8
+            ends = f(np.vstack([x + step * e, x - step * e]))
+        sides = [s * (v - here) / step for s, v in zip((1, -1), ends) if v < likelihoods.UNSTABLE]
+        out[i] = float(np.mean(sides)) if sides else 0.0
+    return out
+
+
+def within(feasible: Callable[[np.ndarray], bool], x: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """d, cut so that x + d is feasible: numbers whose own change would leave the region stop short of its edge, the others
+    take their whole step; if that leaves it yet, all of it is halved."""
+    if feasible(x + d):
+        return d
+    d = d.copy()
+    for i in np.flatnonzero(d):
+        e = np.eye(len(x))[i]
+        for _ in range(60):
+            if feasible(x + d[i] * e):
+                break
+            d[i] /= 2
+        else:
+            d[i] = 0.0
+    for _ in range(60):
+        if feasible(x + d):
+            return d
+        d = d / 2
+    return np.zeros_like(d)
 
 
 #: Trust regions: the step of a model within a radius, by name.
@@ -169,17 +209,21 @@ def _bfgs(hessian: np.ndarray, s: np.ndarray, y: np.ndarray, damped: bool) -> np
 def minimize(
     f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, name: str = "BFGS", gradient: Callable[[np.ndarray], np.ndarray] | None = None,
     max_steps: int = 100, rate: Callable[[int], float] | float = 1e-2, rtol: float = 1e-5, atol: float = 1e-5, log: bool = False,
+    feasible: Callable[[np.ndarray], bool] | None = None, curvature: Callable[[np.ndarray], np.ndarray] | None = None,
 ) -> Minimum:
     """Minimises f, which takes points as rows of a matrix. The best point seen is returned.
 
     BFGS and ArmijoBFGS are two names of one method, quasi-Newton steps with a backtracking search for Armijo's condition.
     Success is a step within the tolerances, in the point and in the value, or that none would gain more than them; reaching
     max_steps isn't, nor is a search without a better point (line_search_failed) or a vanished radius (radius_vanished). What f raises
-    ends the run without success, and is said in `message`.
+    ends the run without success, and is said in `message`. Steps stop short of the edge of what is feasible, if that is given.
+    curvature gives a Hessian to start with, and a fresh one where a search ends with a slope left: it goes on from there, and
+    a radius counts as vanished only if it does so again.
     """
     if name not in OPTIMIZERS:
         raise ValueError(f"no such optimizer: {name}; there are {', '.join(OPTIMIZERS)}")
     slope = gradient or (lambda v: central(f, v))
+    inside = (lambda v, d: within(feasible, v, d)) if feasible else (lambda v, d: d)
     lr = rate if callable(rate) else (lambda _: rate)
     x = np.asarray(x, float)
     best = Minimum(x, np.inf, 0, False, "max_steps_reached")
@@ -220,7 +264,22 @@ def minimize(
             best.code, best.message = "nonfinite", "the start has no finite value"
             return best
         rule, n = (Rule(name) if name in RULES else None), len(x)
-        hessian, direction, radius, skipped = np.eye(n), -g, 1.0, 0
+        second = name in TRUST_REGIONS or name in ("BFGS", "ArmijoBFGS")
+        bend = curvature if second and curvature else lambda _: np.eye(n)
+        hessian, direction, radius, skipped, since, ended_well = bend(x), -g, 1.0, 0, np.inf, False
+
+        def renewed(well: bool = False) -> bool:
+            """Whether a search that would end here, well or not, goes on with a fresh Hessian: it has a slope left, and gained
+            since the last one."""
+            nonlocal hessian, radius, since, ended_well
+            worth = 0.5 * float(g @ np.linalg.solve(hessian, g)) if np.isfinite(g).all() else 0.0
+            gained = since - value > 1e-7 * (1 + abs(value))
+            ended_well = well or ended_well and not gained
+            if not second or well and not curvature or not gained or np.abs(g).max() <= atol and worth <= atol:
+                return False
+            hessian, radius, since = bend(x), 1.0, value
+            return True
+
         for step in range(max_steps):
             best.steps = step + 1
             if log:
@@ -237,10 +296,10 @@ def minimize(
                 break
             moved = True
             if rule:
-                new = x + rule.step(x, capped(g), lr(step))
+                new = x + inside(x, rule.step(x, capped(g), lr(step)))
                 new_value = float(f(new[None])[0])
             elif name in TRUST_REGIONS:
-                d = trust_step(name, g, hessian, radius)
+                d = inside(x, trust_step(name, g, hessian, radius))
                 new, promised = x + d, -(g @ d + 0.5 * d @ hessian @ d)
                 new_value = float(f(new[None])[0])
                 ratio = (value - new_value) / max(promised, 1e-300) if np.isfinite(new_value) else -1.0
@@ -249,8 +308,10 @@ def minimize(
                 elif ratio > 0.75 and np.linalg.norm(d) > 0.8 * radius or name.startswith("Damped") and ratio > 0.75:
                     radius = min(2 * radius, 1e6)
                 moved = ratio > 1e-4
+                if radius < 1e-14 and renewed():
+                    continue
                 if radius < 1e-14:
-                    best.success = promised <= atol + rtol * abs(value)
+                    best.success = ended_well or promised <= atol + rtol * abs(value)
                     best.code = "successful" if best.success else "radius_vanished"
                     break
             else:
@@ -261,13 +322,22 @@ def minimize(
                 else:
                     d = -np.linalg.solve(hessian, g)
                     d = d if d @ g < 0 else -g
+                short = inside(x, d)
+                d = short if short @ g < 0 else d
                 found = least(d) if name == "NonlinearCG" else searched(d)
                 if found is None and abs(g @ d) <= atol + rtol * abs(value):  # nothing worth a step is left
+                    if renewed(True):
+                        continue
                     best.success, best.code = True, "successful"
                     break
                 if found is None and not np.array_equal(d, -g):  # once more from the gradient alone
                     hessian, direction = np.eye(n), -g
                     found = searched(-g)
+                if found is None and renewed():
+                    continue
+                if found is None and ended_well:
+                    best.success, best.code = True, "successful"
+                    break
                 if found is None:
                     best.code, best.message = "line_search_failed", "no step along the direction improves the value"
                     break
@@ -285,7 +355,7 @@ def minimize(
             x, value, g = new, new_value, new_g
             if value < best.value:
                 best.x, best.value = x, value
-            if done and not (rule and step < 5):
+            if done and not (rule and step < 5) and not renewed(True):
                 best.success, best.code = True, "successful"
                 break
     except Exception as e:
@@ -293,6 +363,28 @@ def minimize(
     return best
 
 
+CURVED = 40  #: free numbers up to which fits take Hessians from differences of exact gradients
+
+
+def _slope(x: np.ndarray, ways: tuple, seen: dict) -> np.ndarray:
+    """The exact gradient; the filter's modes are known where the value was worked out last."""
+    slopes, build, *rest = ways
+    return slopes(build, x[None], *rest, modes=seen["modes"] if seen.get("at") == x.tobytes() else None)[0]
+
+
+def _curvature(x: np.ndarray, ways: tuple) -> np.ndarray:
+    """The Hessian by central differences of exact gradients, all points at once, made positive: eigenvalues by their sizes."""
+    slopes, build, *rest = ways
+    steps = 1e-4 * np.maximum(1, np.abs(x))
+    g = slopes(build, np.vstack([x + np.diag(steps), x - np.diag(steps)]), *rest)
+    hessian = (g[: len(x)] - g[len(x) :]) / (2 * steps[:, None])
+    if not np.isfinite(hessian).all():
+        return np.eye(len(x))
+    values, vectors = np.linalg.eigh((hessian + hessian.T) / 2)
+    sizes = np.maximum(np.abs(values), 1e-6 * max(np.abs(values).max(), 1e-6))
+    return (vectors * sizes) @ vectors.T
+
+
 @dataclass
 class Fit:
     filter_type: str
@@ -314,10 +406,11 @@ class Fit:
 def fit(
     y: np.ndarray, start: Params, kind: str = "BIF", optimizer: str | None = None, transformed: bool = True, fix_mu: bool = False, true_mu=None,
     priors: dict | None = None, stability_weight: float = 1000.0, max_steps: int = 50, learning_rate: Callable[[int], float] | float = 1e-2,
-    free: tuple[str, ...] = FIELDS, log: bool = False, evaluate=None, **options,
+    free: tuple[str, ...] = FIELDS, log: bool = False, evaluate=None, gradients=None, **options,
 ) -> Fit:
     """Estimates parameters on one panel y (T, N). fix_mu holds mu at true_mu, which it needs. evaluate, if given, works
-    out the objective for many candidates, (list of Params) -> values, and may do so on a cluster."""
+    out the objective for many candidates, (list of Params) -> values, and gradients its exact slopes, as likelihoods.slopes() does;
+    both may do so on a cluster. Mode filters' fits take exact slopes, and Hessians by their differences."""
     name = optimizer or DEFAULT_OPTIMIZER.get(kind)
     if name is None:
         raise ValueError(f"no such filter: {kind}")
@@ -329,17 +422,35 @@ def fit(
     back = (lambda p: identified(untransform(p))) if transformed else identified
     fixed = np.asarray(true_mu, float) if fix_mu else None
 
+    exact, seen = evaluate is None and kind in (BIF, BF), {}
+
     def values(points: np.ndarray) -> np.ndarray:
         candidates = [unflatten(v, base, free) for v in points]
         if evaluate is not None:
             return np.asarray(evaluate([back(c) for c in candidates]), float)
-        return likelihoods.objectives(candidates, y, kind, priors, stability_weight, transformed, fixed, **options)
+        seen.clear()
+        more = {"seen": seen} if exact and len(points) == 1 else {}
+        out = likelihoods.objectives(candidates, y, kind, priors, stability_weight, transformed, fixed, **options, **more)
+        if seen:
+            seen["at"] = points[0].tobytes()  # where a gradient is asked for next, as a rule
+        return out
+
+    def build(v: np.ndarray) -> Params:
+        p = back(unflatten(v, base, free))
+        return p if fixed is None else p.replace(mu=fixed)
+
+    def feasible(v: np.ndarray) -> bool:
+        return bool(np.isfinite(v).all()) and likelihoods.instability(build(v)) == 0
 
     wrong = sound(start) + ([] if np.isfinite(y).all() and y.ndim == 2 and y.shape[1] == start.N else ["the observations aren't a finite (T, N) array"])
     if wrong:
         got = Minimum(flatten(base, free), math.inf, 0, False, "error", "; ".join(wrong))
     else:
-        got = minimize(values, flatten(base, free), name, max_steps=max_steps, rate=learning_rate, log=log)
+        exact = exact or gradients is not None
+        ways = (gradients or likelihoods.slopes, build, y, kind, priors, options.get("boundary_weight", 0.0))
+        slope = (lambda v: _slope(v, ways, seen)) if exact else None
+        bend = (lambda v: _curvature(v, ways)) if exact and flatten(base, free).size <= CURVED else None
+        got = minimize(values, flatten(base, free), name, slope, max_steps, learning_rate, log=log, feasible=feasible, curvature=bend)
     return Fit(kind, name, transformed, fix_mu, "none" if priors is None else "custom", got.success, got.code, got.value, got.steps, time.perf_counter() - began, got.message,
                back(unflatten(got.x, base, free)), got.losses, [back(unflatten(v, base, free)) for v in got.points])
 

@@ -102,6 +102,8 @@ def safe_arctanh(x):
 
 
 def softplus(x):
+    if np.iscomplexobj(x):  # tangents
+        return np.where(x.real > 0, x, 0) + np.log1p(np.exp(np.where(x.real > 0, -x, x)))
     return np.logaddexp(0.0, x)
 
 
@@ -112,7 +114,7 @@ def inverse_softplus(x):
 
 
 def _diagonal(x: np.ndarray, f) -> np.ndarray:
-    out = np.array(x, float)
+    out = np.array(x, complex if np.iscomplexobj(x) else float)
     np.fill_diagonal(out, f(np.diag(out)))
     return out
 

@@ -224,7 +224,7 @@ PANEL_BYTES = 64 << 20  #: of a panel that fit_distributed sends to every task
 
 
 def fit_distributed(panel: DataFrame, start: Params, kind: str = "BIF", **options) -> optimize.Fit:
-    """One estimation whose gradients are Spark jobs: every step's candidates are rows, evaluated in parallel. The panel is
+    """One estimation whose values and slopes are Spark jobs: every step's candidates are rows, evaluated in parallel. The panel is
     one run; one of more than PANEL_BYTES is refused before any of it is collected."""
     spark = panel.sparkSession
     size = 8 * (panel.agg(F.sum(F.size("y"))).first()[0] or 0)
@@ -246,8 +246,20 @@ def fit_distributed(panel: DataFrame, start: Params, kind: str = "BIF", **option
         got = table.mapInPandas(run, "i int, value double").collect()
         return np.array([r["value"] for r in sorted(got, key=lambda r: r["i"])])
 
+    def gradients(build, points: np.ndarray, _y, kind: str, priors, boundary_weight: float, modes=None) -> np.ndarray:
+        """Exact slopes, a point a row: a Hessian's points are worked out in parallel."""
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "i int, v array<double>").repartition(len(points))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                at = np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1)
+                yield pd.DataFrame({"i": pdf["i"], "g": list(likelihoods.slopes(build, at, data.value, kind, priors, boundary_weight)) if len(pdf) else []})
+
+        return np.array([r["g"] for r in sorted(table.mapInPandas(run, "i int, g array<double>").collect(), key=lambda r: r["i"])])
+
     try:
-        return optimize.fit(y, start, kind, evaluate=evaluate, **options)
+        exact = {"gradients": gradients} if kind != "PF" else {}
+        return optimize.fit(y, start, kind, evaluate=evaluate, **exact, **options)
     finally:
         data.destroy()
 
