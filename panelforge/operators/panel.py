@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import guarded_corr, portfolio_deciles, present_across
+from .ranged import running_sum
 
 
 def melt(df: DataFrame, ids: Sequence[str], series: str = "series_id", value: str = "value") -> DataFrame:
@@ -113,8 +114,12 @@ def densify(df: DataFrame, at: str, series: str, value: str, run: str = "run_id"
 
 
 def cumulative_share(df: DataFrame, order: str, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Running sum and its share of the whole, largest `order` first. df: an aggregated, small table."""
-    w = Window.partitionBy(*by).orderBy(F.desc(order), *[])
+    """Running sum and its share of the whole, largest `order` first. Without `by` rows are dealt by ranges, whose sums are
+    carried on, so that no task holds the whole table."""
+    if not by:
+        run = running_sum(df, [F.desc(order)], F.col(value), "running")
+        return run.join(F.broadcast(df.agg(F.sum(value).alias("__all")))).withColumn("running_share", F.col("running") / F.col("__all")).drop("__all")
+    w = Window.partitionBy(*by).orderBy(F.desc(order))
     run = F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return df.select("*", run.alias("running"), (run / F.sum(value).over(Window.partitionBy(*by))).alias("running_share"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import functions as P
 from . import model_sql as M
 from .kernels.params import Params, realistic
-from .operators import aggregate, models, panel, reshape
+from .operators import aggregate, models, panel, ranged, reshape
 from .plans import study
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,9 +165,7 @@ BY total DESC, p_brand ROWS UNBOUNDED PRECEDING), 2) AS running, round(sum(total
 sum(total) OVER (), 6) AS running_share FROM s""")
 def cumulative_explained(spark, sf):
     s = _t(spark, sf, "part").groupBy("p_brand").agg(F.sum("p_retailprice").alias("total"))
-    w = Window.orderBy(F.desc("total"), "p_brand").rowsBetween(Window.unboundedPreceding, 0)
-    total = s.agg(F.sum("total").alias("whole"))
-    run = s.crossJoin(total).withColumn("running", F.sum("total").over(w))
+    run = ranged.running_sum(s, [F.desc("total"), F.col("p_brand")], F.col("total"), "running").crossJoin(F.broadcast(s.agg(F.sum("total").alias("whole"))))
     return run.select("p_brand", _r("total", 2).alias("total"), _r("running", 2).alias("running"), _r(F.col("running") / F.col("whole")).alias("running_share"))
 
 
@@ -633,4 +631,4 @@ def simulated_panel_summary(spark, sf):
     return models.simulation_summary_df(models.simulate_df(models.params_df(spark, {"a": _flag_params()}), 200, 4))
 
 
-from . import study_queries  # noqa: E402, F401 - registers its queries
+from . import long_queries, study_queries  # noqa: E402, F401 - they register their queries

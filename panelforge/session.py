@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -19,3 +21,15 @@ def session(name: str = "panelforge", master: str | None = None, **settings: str
     for k, v in (SETTINGS | settings).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, worked out once and written to the folder that driver and executors share (spark.checkpoint.dir): lost executors don't
+    lose it, and its plan is cut. Without that setting a cluster is refused, and a local session gets a folder of its own."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="panelforge-"))
+    return df.checkpoint()
