@@ -4,8 +4,8 @@ The fixed patterns give seed entities. Candidates are strings shaped like identi
 with the lexical patterns they stand in: a label before them (`Tel:`, `phone = `), or the words on both sides. Patterns and
 the values they announce are a bipartite graph, scored in rounds: a pattern is as good for a kind as the values it announces
 that are of the kind, against those of other kinds and, at a discount, those not known; a value is as good as its best
-pattern. Values that a confident pattern announces count from the next round on, so they induce patterns of their own, until
-a round finds nothing new. What confident patterns announce in the shape of their kind is added. DataFrame operations only.
+pattern. Values that a confident pattern announces count from the next round on, so they induce patterns of their own. A
+pattern once confident stays so, and rounds go on until none joins, however long a chain of patterns is. What confident patterns announce in the shape of their kind is added. DataFrame operations only.
 
 A match's place is the length of the pieces between matches: split() and regexp_extract_all() walk a text alike. Places are
 summed in blocks, patterns are written so that no start inside a run is tried twice, and candidates meet fixed spans in the
@@ -35,14 +35,12 @@ CANDIDATE = (
     r"(?<![\p{L}\p{N}_.@+%-])(?:[\p{L}\p{N}_.+%-]++(?:@|\x20?+[\[({]at[\])}]\x20?+)[\p{L}\p{N}_]++(?:[.-]++[\p{L}\p{N}_]++)*+"
     r"|[+(]{0,2}+[0-9](?:[\x20().-]{0,3}+[0-9])*+)(?![\p{L}\p{N}_@])"
 )
-_NAME = r"(?<![\p{L}\p{N}_.-])([\p{L}_][\p{L}\p{N}_.-]{0,63})"
-LABEL = _NAME + r"\x20?[:=]\x20?[\"']?\z"  #: before a candidate
-WORD_BEFORE = _NAME + r"[\s\"'(]{1,2}\z"
-WORD_AFTER = r"\A[^\p{L}\p{N}_]{1,3}([\p{L}_][\p{L}\p{N}_-]{0,63})"
-CONTEXT = 80  #: characters on either side in which a pattern's words of up to 64 are looked for
+#: Read backward from a candidate, so that a name of any length is one anchored run: the label or word before it.
+LABEL = r"\A[\"']?\x20?[:=]\x20?([\p{L}\p{N}_.-]*+)"
+WORD_BEFORE = r"\A[\s\"'(]{1,2}([\p{L}\p{N}_.-]*+)"
+WORD_AFTER = r"\A[^\p{L}\p{N}_]{1,3}([\p{L}_][\p{L}\p{N}_-]*+)"
 #: What a candidate, without its separators, must look like to be taken for a kind that the fixed pattern didn't see.
 SHAPES = {"email": r"@|[\[({]at[\])}]", "ip": r"^[0-9]{1,3}(?:[.-][0-9]{1,3}){3}$", "card": r"^(?:[^0-9]*[0-9]){12,19}$", "phone": r"^(?:[^0-9]*[0-9]){5,15}$"}
-ROUNDS = 6  #: at most
 MIN_SEEDS = 5  #: different values of a kind that a pattern must announce
 UNKNOWN = 0.1  #: how much a value that nothing is known of counts against a pattern
 CONFIDENCE = 0.8  #: of a pattern, to yield values
@@ -135,14 +133,14 @@ def candidates(text: Column) -> Column:
     """array<struct<start, end, value, label, pair>> of candidates with a pattern: the label before them, and the words
     around them as `before _ after`, in lower case; null where there is none."""
 
-    def word(side: Column, pattern: str) -> Column:
-        return F.lower(F.nullif(F.regexp_extract(side, pattern, 1), F.lit("")))
+    def named(name: Column) -> Column:
+        return F.when(name.rlike(r"^[\p{L}_]"), F.lower(name))
 
     def seen(x: Column) -> Column:
-        before, after = F.right(x["before"], F.lit(CONTEXT)), F.left(x["after"], F.lit(CONTEXT))
-        label = F.concat(word(before, LABEL), F.lit(":"))
-        pair = F.concat(word(before, WORD_BEFORE), F.lit(" _ "), word(after, WORD_AFTER))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), label.alias("label"), pair.alias("pair"))
+        back = F.reverse(x["before"])
+        label, before = (named(F.reverse(F.regexp_extract(back, p, 1))) for p in (LABEL, WORD_BEFORE))
+        pair = F.concat(before, F.lit(" _ "), named(F.regexp_extract(x["after"], WORD_AFTER, 1)))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), F.concat(label, F.lit(":")).alias("label"), pair.alias("pair"))
 
     found = F.filter(F.transform(located(text, CANDIDATE), seen), lambda x: x["label"].isNotNull() | x["pair"].isNotNull())
     none = F.array().cast("array<struct<start:int,end:int,value:string,label:string,pair:string>>")
@@ -216,18 +214,20 @@ def bootstrap(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     touches; and the patterns. rows: scanned()."""
     seen = staged(against_spans(rows), "pii-seen")
     edges = staged(graph(seen), "pii-graph")
-    found, n = None, 0
-    for _ in range(ROUNDS):
+    sure = found = None
+    while True:
         if found is None:
             scored = edges.withColumn("score", F.col("seed"))
         else:
             scored = edges.join(found, ["value", "kind"], "left").withColumn("score", F.coalesce(F.greatest("seed", "said"), "seed"))
-        sure = staged(confident(scored), "pii-patterns")
+        # a confident pattern stays so: patterns only join, and the rounds end when none does
+        new = confident(scored)
+        new = staged(new if sure is None else new.join(sure, "pattern", "left_anti"), "pii-patterns")
+        if sure is not None and new.isEmpty():
+            break
+        sure = new if sure is None else staged(sure.unionByName(new), "pii-patterns")
         told = edges.filter("seed = 0").join(sure, ["pattern", "kind"]).groupBy("value", "kind").agg(F.max("good").alias("said"))
         found = staged(told, "pii-found")
-        before, n = n, found.count()
-        if n == before:
-            break
     fresh = seen.filter(~F.col("touched")).select("doc_id", "h", "start", "end", "value", F.explode(F.array_compact(F.array("label", "pair"))).alias("pattern"))
     fits = fresh.join(sure, "pattern").filter(F.array_contains(_shaped(F.col("value")), F.col("kind")))
     best = fits.groupBy("doc_id", "h", "start", "end").agg(F.max_by("kind", F.struct("good", "kind")).alias("kind"))

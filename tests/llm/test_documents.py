@@ -565,6 +565,22 @@ def test_found_values_induce_patterns(spark):
     assert got[500] == "phone:5:13" and got[501] == ""
 
 
+def test_long_chains_and_long_labels(spark):
+    """Eight labels, each announced by values of the one before; and a label of 200 characters."""
+    labels = [f"label{'abcdefgh'[k]}" for k in range(8)]
+    number = lambda i: f"55{10000 + 37 * i}"
+    lines = [f"{labels[0]}: +49 30 55{10000 + 37 * i}" for i in range(5)]
+    lines += [f"{labels[0]}: {number(100 + i)}" for i in range(5)]
+    for k in range(1, 8):
+        lines += [f"{labels[k]}: {number(100 * k + i)}" for i in range(5)] + [f"{labels[k]}: {number(100 * (k + 1) + i)}" for i in range(5)]
+    long = "x" * 200
+    lines += [f"{long}: +49 30 66{10000 + 37 * i}" for i in range(5)] + [f"{long}: 77{10000 + 37 * i}" for i in range(3)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["n_added"] for r in pii.found(docs).collect()}
+    assert [got[i] for i, t in enumerate(lines) if "+" not in t] == [1] * sum("+" not in t for t in lines)
+    assert all(got[i] == 0 for i, t in enumerate(lines) if "+" in t)
+
+
 def test_long_texts_take_linear_time(spark):
     text = "mail: someone@host.example, " * 40_000
     began = time.perf_counter()
