@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import model_sql as M
+from .functions import tables
 from .kernels.scan import Linear
 from .operators import lagged, long_runs, regression, tiles
 from .queries import _dense_by_region, _month, _r, _rounded, _t, query
@@ -192,3 +193,16 @@ SELECT z.component::INT AS component, n.a AS series, round(z.x * sign, 4) AS loa
 FROM z JOIN n ON n.i = z.i JOIN d ON d.component = z.component""")
 def wide_components(spark, sf):
     return _rounded(tiles.components(_by_part(spark, sf, "p_brand"), "at", 2, span=32, side=8), 4)
+
+
+# --- a table function, called from SQL ---
+
+
+@query(f"""WITH RECURSIVE {_EVENT_HOURS}, r AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY hr) AS i, value / 50 AS value FROM v),
+p(series, i, h) AS (SELECT series, 1::BIGINT, 1::DOUBLE FROM r WHERE i = 1 UNION ALL SELECT p.series, p.i + 1, 0.1 + 0.15 * r.value ** 2 + 0.7 * p.h FROM p
+JOIN r ON r.series = p.series AND r.i = p.i JOIN r n ON n.series = p.series AND n.i = p.i + 1) SELECT series, i::INT AS i, round(h, 6) AS variance FROM p""")
+def garch_table_function(spark, sf):
+    tables.register(spark)
+    hours = _event_hours(spark, sf).select("series", "at", (F.col("value") / 50).alias("value"))
+    hours.createOrReplaceTempView("event_hours")
+    return _rounded(spark.sql("SELECT * FROM garch_path(TABLE(event_hours) PARTITION BY series ORDER BY (at), 0.1, 0.15, 0.7, 1.0)"))

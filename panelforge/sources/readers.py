@@ -9,6 +9,8 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 NULLS = ("-99.99", "-999", "-99.9900")
 
 
@@ -33,11 +35,19 @@ def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, text) of one file, from 1. Read as one record, as a file's lines have no number otherwise. A file that isn't
-    UTF-8 is taken for Latin-1, in which every byte is a character."""
-    whole = spark.read.format("binaryFile").load(path).select(F.col("content").cast("string").alias("utf8"), F.decode("content", "ISO-8859-1").alias("latin"))
-    text = F.when(F.is_valid_utf8("utf8"), F.col("utf8")).otherwise(F.col("latin"))
-    return whole.select(F.posexplode(F.split(text, r"\r?\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    """(line, text) of one file, from 1, whatever the splits it is read in: lines are counted by split, and a line's number is
+    that of its split's first line and its place among the split's rows. Lines end with a newline, with or without a carriage
+    return before it. A file that isn't UTF-8 throughout is taken for Latin-1, in which every byte is a character."""
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("raw"), F.col("_metadata.file_block_start").alias("split"), F.col("_metadata.file_size").alias("size"))
+    rows = kept(raw.withColumn("id", F.monotonically_increasing_id()))  # ids are of one reading
+    splits = rows.groupBy("split").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.bool_and(F.is_valid_utf8(F.col("raw").cast("string"))).alias("utf8"))
+    before = splits.alias("a").join(splits.alias("b"), F.expr("b.split < a.split"), "left").groupBy("a.split", "a.first").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    both = rows.join(F.broadcast(before), "split").crossJoin(F.broadcast(splits.agg(F.bool_and("utf8").alias("utf8"))))
+    text = F.when(F.col("utf8"), F.col("raw").cast("string")).otherwise(F.decode("raw", "ISO-8859-1"))
+    lines = both.select((F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), F.regexp_replace(text, r"\r$", "").alias("text"))
+    # what follows the last newline is a line too, if an empty one, which the reader leaves out
+    ends = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("raw") + 1).alias("bytes"), F.max("size").alias("size")).filter("bytes = size")
+    return lines.union(ends.select((F.col("n") + 1).alias("line"), F.lit("").alias("text")))
 
 
 def find_blocks(

@@ -354,3 +354,43 @@ def test_whole_runs_however_batches_cut_them():
         found = list(models._whole_runs(cut))
         assert [r.run_id for r in found] == ["a", "b", "c"]
         assert all(r.t.tolist() == [0, 1, 2, 3] and r.y.shape == (4, 3) for r in found)
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    """A file over many splits gives the lines, and the blocks, that one split gives."""
+    path = tmp_path / "many.csv"
+    rows = [f"{200001 + i % 12},{i}.5,{i * 2}" for i in range(700)]
+    lines = ["a text above", "", "  Average Value Weighted", ",A,B,C", *rows[:400], "", "  Average Equal Weighted", ",A,B,C", *rows[400:], "a text below"]
+    path.write_bytes("\r\n".join(lines).encode())
+    want = [(i + 1, t) for i, t in enumerate(lines)]
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    for size in ("512", "128m"):
+        for n in names:
+            spark.conf.set(n, size if size != "128m" else "4m")
+        spark.conf.set(names[0], size)
+        try:
+            got = readers.numbered_lines(spark, str(path))
+            parts = spark.read.text(str(path)).rdd.getNumPartitions()
+            assert (parts > 10) == (size == "512")
+            assert sorted((r["line"], r["text"]) for r in got.collect()) == want
+            assert [b["header_line"] for b in readers.find_blocks(spark, str(path), ["Average"], least_header=2, least_data=2)] == [4, 407]
+        finally:
+            for n in names:
+                spark.conf.unset(n)
+
+
+def test_garch_paths_from_sql(spark):
+    """The table function gives each partition's path, in the order asked for, and says what it lacks."""
+    from panelforge.functions import tables
+    from panelforge.kernels import garch
+
+    tables.register(spark)
+    rng = np.random.default_rng(3)
+    x = {"a": rng.normal(size=30), "b": rng.normal(size=7)}
+    spark.createDataFrame([(k, i, float(v)) for k, s in x.items() for i, v in enumerate(s)], "series string, at int, value double").repartition(5).createOrReplaceTempView("returns")
+    got = spark.sql("SELECT * FROM garch_path(TABLE(returns) PARTITION BY series ORDER BY (at), 0.01, 0.1, 0.8, 0.5)").collect()
+    for k, s in x.items():
+        own = sorted((r for r in got if r["series"] == k), key=lambda r: r["i"])
+        assert np.allclose([r["variance"] for r in own], garch.variance_path(s * s, 0.01, 0.1, 0.8, 0.5)[:, 0]) and [r["i"] for r in own] == list(range(1, len(s) + 1))
+    with pytest.raises(Exception, match="series"):
+        spark.sql("SELECT * FROM garch_path(TABLE(SELECT at, value FROM returns) ORDER BY (at), 0.01, 0.1, 0.8, 0.5)").collect()
