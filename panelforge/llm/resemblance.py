@@ -3,11 +3,16 @@
 Fingerprints within a few bits miss most near copies: texts whose 5-word shingle sets have a Jaccard similarity of 0.8 differ
 in about ten bits of 64, a distance at which pivots or blocks would have to face a large share of all pairs. So pairs are
 proposed by min-hashes here: BANDS keys of ROWS least hashes each, of which two sets with similarity x share one with
-chance 1 - (1 - x^ROWS)^BANDS; at 0.8 all but one in eight million pairs. Every proposed pair is verified on the whole sets.
+chance 1 - (1 - x^ROWS)^BANDS; at 0.8 all but one in eight million pairs share one. Every proposed pair is verified on the whole
+sets.
 
 A key's sets propose a star around the least of them, so that a large group of near copies gives about one pair a copy; what
 that leaves apart is tried around a set drawn by a hash of key and set, which differs from key to key. No key emits all its
 pairs. Equal sets are one vertex.
+
+That is not exact: two similar sets that are the centre of none of their keys never meet. Pairs and small groups, and crowds
+around one text, are found whole; of a large crowd of copies that resemble each other only here and there, links are lost
+and the crowd falls into more groups than it has.
 """
 
 from __future__ import annotations
