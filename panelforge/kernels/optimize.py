@@ -273,7 +273,7 @@ def minimize(
             since the last one."""
             nonlocal hessian, radius, since, ended_well
             worth = 0.5 * float(g @ np.linalg.solve(hessian, g)) if np.isfinite(g).all() else 0.0
-            gained = since - value > 1e-7 * (1 + abs(value))
+            gained = since - value > rtol * (1 + abs(value))
             ended_well = well or ended_well and not gained
             if not second or well and not curvature or not gained or np.abs(g).max() <= atol and worth <= atol:
                 return False
@@ -363,6 +363,7 @@ def minimize(
     return best
 
 
+LEAST_SHARE = 1e-4  #: of a series' variance, at least, that a fit leaves to its own noise, unless it starts below
 CURVED = 40  #: free numbers up to which fits take Hessians from differences of exact gradients
 
 
@@ -439,8 +440,15 @@ def fit(
         p = back(unflatten(v, base, free))
         return p if fixed is None else p.replace(mu=fixed)
 
+    floor = np.minimum(LEAST_SHARE * y.var(0), start.sigma2) if y.ndim == 2 and y.shape[1] == start.N else 0.0
+
     def feasible(v: np.ndarray) -> bool:
-        return bool(np.isfinite(v).all()) and likelihoods.instability(build(v)) == 0
+        if not np.isfinite(v).all():
+            return False
+        p = build(v)
+        # without these bounds the likelihood has none: a series that a factor fits exactly, or volatilities beyond any data
+        bounded = (p.sigma2 >= floor).all() and (np.abs(p.mu) <= 30).all() and (np.diag(p.Q_h) <= 100).all()
+        return bool(bounded) and likelihoods.instability(p) == 0
 
     wrong = sound(start) + ([] if np.isfinite(y).all() and y.ndim == 2 and y.shape[1] == start.N else ["the observations aren't a finite (T, N) array"])
     if wrong:

@@ -393,4 +393,4 @@ def test_garch_paths_from_sql(spark):
         own = sorted((r for r in got if r["series"] == k), key=lambda r: r["i"])
         assert np.allclose([r["variance"] for r in own], garch.variance_path(s * s, 0.01, 0.1, 0.8, 0.5)[:, 0]) and [r["i"] for r in own] == list(range(1, len(s) + 1))
     with pytest.raises(Exception, match="series"):
-        spark.sql("SELECT * FROM garch_path(TABLE(SELECT at, value FROM returns) ORDER BY (at), 0.01, 0.1, 0.8, 0.5)").collect()
+        spark.sql("SELECT * FROM garch_path(TABLE(SELECT at, value FROM returns) WITH SINGLE PARTITION ORDER BY (at), 0.01, 0.1, 0.8, 0.5)").collect()
