@@ -135,7 +135,7 @@ def test_redirect_log(spark):
 def test_sql(spark, sf, name):
     got = queries.queries()[name](spark, sf)
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.sql(queries.oracle_sql()[name])
     assert sorted(want.columns) == sorted(got.columns)
